@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import chat, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_format_chats": chat.op3_format_chats,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_format_chats": chat.OP3_SQL}
