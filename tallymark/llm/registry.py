@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing
+from . import chat, mixing, packing, recompression
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_dedup_recompression": recompression.op2_dedup_recompression,
         "op3_format_chats": chat.op3_format_chats,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_format_chats": chat.OP3_SQL}
+    return {"op2_dedup_recompression": recompression.OP2_SQL, "op3_format_chats": chat.OP3_SQL}
