@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, recompression
+from . import chat, metric_join, mixing, packing, recompression, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_dedup_recompression": recompression.op2_dedup_recompression,
         "op3_format_chats": chat.op3_format_chats,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
+        "op7_top_k": topk.op7_top_k,
+        "op9_embedding_near_dedup": metric_join.op9_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_dedup_recompression": recompression.OP2_SQL, "op3_format_chats": chat.OP3_SQL}
+    return {
+        "op2_dedup_recompression": recompression.OP2_SQL,
+        "op3_format_chats": chat.OP3_SQL,
+        "op7_top_k": topk.OP7_SQL,
+    }
