@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, metric_join, mixing, packing, recompression, topk
+from . import chat, metric_join, mixing, packing, quality, recompression, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_format_chats": chat.op3_format_chats,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
         "op7_top_k": topk.op7_top_k,
+        "op8_simhash_trie": simhash.op8_simhash_trie,
         "op9_embedding_near_dedup": metric_join.op9_embedding_near_dedup,
+        "op10_quality_resampling": quality.op10_quality_resampling,
     }
 
 

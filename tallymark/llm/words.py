@@ -8,8 +8,9 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Byte classes of words: white space 0, all else 1.
+WORDS = np.ones(256, np.uint8)
+WORDS[[0x20, 9, 10, 11, 12, 13]] = 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,26 +22,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Texts joined by one space each, with the words' places.
+    """Texts joined by one space each, with the places of their words: runs of bytes of one class but 0.
 
     ``data``: bytes; ``begin``, ``end``: each text's byte range; ``starts``, ``ends``: each word's;
     ``doc``: each word's text; ``first``: each text's first word (one entry more than texts).
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], classes: np.ndarray = WORDS) -> None:
         joined = b" ".join(texts) + b" " if texts else b""
         self.raw = joined + bytes(16)
         self.data = np.frombuffer(self.raw, np.uint8)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.end = np.cumsum(sizes + 1) - 1
         self.begin = self.end - sizes
-        space = _SPACE[self.data[: len(joined)]]
-        flips = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-        self.starts, self.ends = flips[::2], flips[1::2]
+        kind = classes[self.data[: len(joined)]]
+        flips = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        if len(kind) and kind[0]:
+            flips = np.concatenate(([0], flips))
+        run = kind[flips] != 0
+        ends = np.append(flips[1:], len(joined))
+        self.starts, self.ends = flips[run], ends[run]
         self.first = np.concatenate((np.searchsorted(self.starts, self.begin), [len(self.starts)])) if len(texts) else np.zeros(1, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-    def names(self, seed: int, lower: bool = False) -> np.ndarray:
+    def names(self, seed: int) -> np.ndarray:
         """A 64-bit name for each word, from all its bytes, eight at a time."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
