@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, metric_join, mixing, packing, quality, recompression, simhash, topk
+from . import chat, licenses, metric_join, mixing, packing, quality, recompression, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_dedup_recompression": recompression.op2_dedup_recompression,
         "op3_format_chats": chat.op3_format_chats,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
         "op7_top_k": topk.op7_top_k,
         "op8_simhash_trie": simhash.op8_simhash_trie,
