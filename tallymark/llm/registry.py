@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, metric_join, mixing, packing, quality, recompression, simhash, topk
+from . import chat, licenses, metric_join, mixing, packing, quality, recompression, simhash, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_format_chats": chat.op3_format_chats,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_pack_best_fit": packing.op5_pack_best_fit,
+        "op6_dedup_suffix_array": suffixes.op6_dedup_suffix_array,
         "op7_top_k": topk.op7_top_k,
         "op8_simhash_trie": simhash.op8_simhash_trie,
         "op9_embedding_near_dedup": metric_join.op9_embedding_near_dedup,
