@@ -21,13 +21,13 @@ STATISTICS = ("images_per_second", "elapsed_seconds", "microseconds_per_image")
 
 
 def throughput(elapsed: Column, items: Column, statistic: str) -> Column:
-    """One sample's value of a statistic."""
+    """One sample's value of a statistic (F6); null where the divisor is 0."""
     if statistic == "elapsed_seconds":
         return elapsed.cast("double")
     if statistic == "images_per_second":
-        return items / elapsed
+        return F.try_divide(items.cast("double"), elapsed)
     if statistic == "microseconds_per_image":
-        return elapsed * 1e6 / items
+        return F.try_divide(elapsed * 1e6, items)
     raise ValueError(f"unknown statistic {statistic!r}; one of {', '.join(STATISTICS)}")
 
 
@@ -130,7 +130,7 @@ def item_id(path: Column, digest: Column) -> Column:
 
 def percent_change(new: Column, base: Column) -> Column:
     """X17."""
-    return (new / base - 1) * 100
+    return (F.try_divide(new, base) - 1) * 100
 
 
 def is_digest(text: Column) -> Column:

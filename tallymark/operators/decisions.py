@@ -51,8 +51,8 @@ def rank_correlation(left: DataFrame, right: DataFrame, keys: Sequence[str], ite
     """Spearman's correlation of two rankings of the same items (A13); null where a ranking is constant."""
     a = average_rank(left, keys, value, "_a").select(*keys, item, "_a")
     b = average_rank(right, keys, value, "_b").select(*keys, item, "_b")
-    out = a.join(b, [*keys, item]).groupBy(*keys).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("items"))
-    return out.withColumn("rho", F.when(~F.isnan("rho"), rounded(F.col("rho"))))
+    out = a.join(b, [*keys, item]).groupBy(*keys).agg(rounded(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))).alias("rho"), F.count("*").alias("items"))
+    return out
 
 
 def top_tier(df: DataFrame, keys: Sequence[str], mean: str = "mean", margin: float = PRACTICAL_MARGIN) -> DataFrame:
@@ -66,7 +66,7 @@ def paired_ratio(df: DataFrame, left: Column, right: Column, keys: Sequence[str]
     """Two configurations' values of the same blocks, as ratios (J9). ``unpaired`` says where one side lacks the block."""
     a = df.filter(left).select(*keys, block, F.col(value).alias("_l"))
     b = df.filter(right).select(*keys, block, F.col(value).alias("_r"))
-    return a.join(b, [*keys, block], "full_outer").select(*keys, block, rounded(F.col("_l") / F.col("_r")).alias("ratio"), (F.col("_l").isNull() | F.col("_r").isNull()).alias("unpaired"))
+    return a.join(b, [*keys, block], "full_outer").select(*keys, block, rounded(F.try_divide(F.col("_l"), F.col("_r"))).alias("ratio"), (F.col("_l").isNull() | F.col("_r").isNull()).alias("unpaired"))
 
 
 def thread_contrast(agg: DataFrame, decoders: Sequence[str], base_workers: Sequence[int]) -> DataFrame:
@@ -110,7 +110,7 @@ def followup_candidates(blocks: DataFrame, cells: DataFrame, grid: Sequence[int]
     keys = [*CELL, "decoder"]
     loader = blocks.filter("protocol = 'loader-supply'")
     per = loader.groupBy(*keys, "repetition").agg(F.max(F.when(F.col("workers") == high, F.col("v"))).alias("_h"), F.max(F.when(F.col("workers") == low, F.col("v"))).alias("_l"), F.collect_set("workers").alias("_w"))
-    cell = per.groupBy(*keys).agg((F.avg("_h") / F.avg("_l") - 1).alias("_gain"), F.min(F.col("_h") / F.col("_l")).alias("_least"), F.size(F.array_distinct(F.flatten(F.collect_list("_w")))).alias("_points"))
+    cell = per.groupBy(*keys).agg((F.try_divide(F.avg("_h"), F.avg("_l")) - 1).alias("_gain"), F.min(F.try_divide(F.col("_h"), F.col("_l"))).alias("_least"), F.size(F.array_distinct(F.flatten(F.collect_list("_w")))).alias("_points"))
     out = cells.join(cell, keys, "left")
     full = F.coalesce(F.col("_points") == len(set(grid)), F.lit(False))
     chosen = F.coalesce(full & (F.col("_gain") >= minimum_gain) & (F.col("_least") >= 1), F.lit(False))
@@ -133,13 +133,13 @@ def decision_rows(agg: DataFrame, blocks: DataFrame) -> DataFrame:
     rows = leader.join(winner, CELL).join(chosen, [*CELL, "decode_leader"])
     series = blocks.filter("protocol = 'loader-supply'").select(*CELL, "decoder", "requested_threads", "workers", "repetition", "v")
     side = lambda who, workers, threads, name: rows.select(*CELL, F.col(who).alias("decoder"), F.col(workers).alias("_w"), F.col(threads).alias("_t")).join(series, [*CELL, "decoder"]).filter(F.col("workers").eqNullSafe(F.col("_w")) & F.col("requested_threads").eqNullSafe(F.col("_t"))).select(*CELL, "repetition", F.col("v").alias(name))
-    regret = side("decode_leader", "selected_workers", "_ct", "_a").join(side("loader_leader", "loader_leader_workers", "_wt", "_b"), [*CELL, "repetition"]).groupBy(*CELL).agg(rounded(F.max((1 - F.col("_a") / F.col("_b")) * 100)).alias("worst_block_regret_percent"), F.count("*").alias("paired_blocks"))
+    regret = side("decode_leader", "selected_workers", "_ct", "_a").join(side("loader_leader", "loader_leader_workers", "_wt", "_b"), [*CELL, "repetition"]).groupBy(*CELL).agg(rounded(F.max((1 - F.try_divide(F.col("_a"), F.col("_b"))) * 100)).alias("worst_block_regret_percent"), F.count("*").alias("paired_blocks"))
     rho = rank_correlation(direct, peak, CELL, "decoder", "mean").select(*CELL, "rho")
     tier = top_tier(peak, CELL).groupBy(*CELL).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "decoder"))), lambda r: r["decoder"]).alias("top_tier"))
     out = rows.join(regret, CELL, "left").join(rho, CELL, "left").join(tier, CELL)
     return out.select(
         *CELL, "decode_leader", "decode_leader_mean", "loader_leader", "loader_leader_mean", "loader_leader_workers", "selected_workers",
-        rounded((1 - F.col("_chosen") / F.col("loader_leader_mean")) * 100).alias("regret_percent"), "worst_block_regret_percent", "paired_blocks",
+        rounded((1 - F.try_divide(F.col("_chosen"), F.col("loader_leader_mean"))) * 100).alias("regret_percent"), "worst_block_regret_percent", "paired_blocks",
         F.col("rho").alias("rank_correlation"), (F.col("decode_leader") == F.col("loader_leader")).alias("leaders_match"), "top_tier",
     )
 

@@ -22,7 +22,7 @@ def summarize_distribution(df: DataFrame, keys: Sequence[str], value: str) -> Da
     """n, mean, exact median, minimum, maximum, sample deviation (null for one value) and its ratio to the mean (A1)."""
     v = F.col(value)
     out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.stddev_samp(v).alias("sample_std"))
-    out = out.withColumn("coefficient_of_variation", rounded(F.col("sample_std") / F.col("mean")))
+    out = out.withColumn("coefficient_of_variation", rounded(F.try_divide("sample_std", "mean")))
     return out.select(*keys, "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "median")], "minimum", "maximum", rounded(F.col("sample_std")).alias("sample_std"), "coefficient_of_variation")
 
 
@@ -124,7 +124,7 @@ def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) ->
 def relative_to_first(per_block: DataFrame, cell: Sequence[str], point: str = "workers", block: str = "repetition", value: str = "v") -> DataFrame:
     """Each point's mean ratio to the first point of its cell, taken within blocks."""
     w = Window.partitionBy(*cell, block).orderBy(point)
-    ratio = per_block.filter(F.col(point).isNotNull()).withColumn("ratio", F.col(value) / F.first_value(value).over(w))
+    ratio = per_block.filter(F.col(point).isNotNull()).withColumn("ratio", F.try_divide(F.col(value), F.first_value(value).over(w)))
     return ratio.groupBy(*cell, point).agg(rounded(F.avg("ratio")).alias("mean_ratio"), F.count("*").alias("blocks"))
 
 
