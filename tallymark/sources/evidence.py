@@ -24,9 +24,9 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     A run exists only where its ``COMMITTED.json`` does; hidden staging folders are not seen. A missing
     document is a null struct.
     """
-    runs = _json(spark, f"{root}/runs/*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), F.struct("*").alias("marker"))
+    runs = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), F.struct("*").alias("marker"))
     for name, schema in schemas.DOCUMENTS.items():
-        doc = _json(spark, f"{root}/runs/*/{name}.json", schema).select(_folder().alias("run_key"), F.struct("*").alias(name))
+        doc = _json(spark, f"{root}/runs/[^._]*/{name}.json", schema).select(_folder().alias("run_key"), F.struct("*").alias(name))
         runs = runs.join(doc, "run_key", "left")
     return runs
 
@@ -39,11 +39,12 @@ def marker_rules(runs: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, root: str, name: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``root/runs/*/<name>.jsonl`` with their run key, and the malformed lines as violations."""
-    raw = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/runs/*/{name}.jsonl")
-    rows = raw.select(_folder().alias("run_key"), F.col("_metadata.file_path").alias("_file"), *raw.columns)
-    good = rows.filter("_corrupt is null").drop("_corrupt", "_file")
-    return good, violation(rows.filter("_corrupt is not null"), ["_file"], "malformed-line", F.col("_corrupt"))
+    """Rows of ``root/runs/[^._]*/<name>.jsonl`` with their run key, and the malformed lines as violations."""
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(f"{root}/runs/[^._]*/{name}.jsonl").filter("value <> ''").select(_folder().alias("run_key"), F.col("_metadata.file_path").alias("_file"), "value", parsed.alias("_r"))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    good = rows.filter(~broken).select("run_key", "_r.*").drop("_corrupt")
+    return good, violation(rows.filter(broken), ["_file"], "malformed-line", F.col("value"))
 
 
 def read_samples(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +65,8 @@ def read_remote_layout(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
 
     Second: markers whose bundle is missing, as violations. Bundles without a marker are not there.
     """
-    markers = _json(spark, f"{root}/runs/*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), "bundle_id")
-    bundles = _json(spark, f"{root}/bundles/*/manifest.json", schemas.MANIFEST).select(_folder().alias("bundle_id"), F.struct("*").alias("manifest"))
+    markers = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), "bundle_id")
+    bundles = _json(spark, f"{root}/bundles/[^._]*/manifest.json", schemas.MANIFEST).select(_folder().alias("bundle_id"), F.struct("*").alias("manifest"))
     return markers.join(bundles, "bundle_id"), violation(markers.join(bundles, "bundle_id", "left_anti"), ["run_key"], "bundle-missing", F.col("bundle_id"))
 
 
@@ -83,8 +84,8 @@ def read_package_items(spark: SparkSession, path: str) -> DataFrame:
 
 def read_audits(spark: SparkSession, root: str) -> DataFrame:
     """Committed support audits at item grain (S9): ``root/audits/<key>/audit.json`` beside its ``COMMITTED.json``."""
-    marks = _json(spark, f"{root}/audits/*/COMMITTED.json", "audit_id string").select(_folder().alias("_key"))
-    docs = _json(spark, f"{root}/audits/*/audit.json", schemas.AUDIT)
+    marks = _json(spark, f"{root}/audits/[^._]*/COMMITTED.json", "audit_id string").select(_folder().alias("_key"))
+    docs = _json(spark, f"{root}/audits/[^._]*/audit.json", schemas.AUDIT)
     docs = docs.select(_folder().alias("_key"), *docs.columns).join(marks, "_key", "left_semi").drop("_key")
     context = [c for c in docs.columns if c not in ("successful_item_ids", "failures")]
     good = docs.select(*context, F.explode("successful_item_ids").alias("item_id"), F.lit(True).alias("ok"))

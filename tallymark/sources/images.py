@@ -38,12 +38,15 @@ def with_identity(images: DataFrame, root: str) -> DataFrame:
 
 
 def scan_sources(spark: SparkSession, root: str, smallest: int) -> tuple[DataFrame, DataFrame]:
-    """Lossless sources under ``root`` and what disqualifies the set (S2): not PNG, empty, too small or repeated."""
+    """Lossless sources under ``root`` and what disqualifies the set (S2): not PNG, too small or repeated.
+
+    Spark's scans skip empty files, so those are no sources at all.
+    """
     files = scan_images(spark, root, ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"))
     number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
     png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
     out = files.select("path", "size", png.alias("png"), F.sha2("content", 256).alias("sha256"), F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
-    rules = rule_rows(out, ["path"], {"empty": F.col("size") == 0, "not-png": ~F.col("png") & (F.col("size") > 0), "too-small": F.greatest("width", "height") < smallest})
+    rules = rule_rows(out, ["path"], {"not-png": ~F.col("png"), "too-small": F.greatest("width", "height") < smallest})
     return out.filter("png"), rules.unionByName(violation(duplicates(out, ["sha256"]), ["sha256"], "repeated-source", F.col("n")))
 
 
