@@ -24,14 +24,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, table
+from .common import table
 from .words import Batch, covered, mix, windows
 
 _U = np.uint64
@@ -101,7 +100,7 @@ def anchors(names: np.ndarray, batch: Batch, window: int) -> tuple[np.ndarray, n
 
 def _batch(table: pa.Table) -> tuple[pa.Table, Batch, np.ndarray]:
     """A chunk's rows in the same order each time, with their words."""
-    rows = table.sort_by("_row")
+    rows = table.sort_by([("doc_id", "ascending"), ("_row", "ascending")])
     batch = Batch([t.encode() for t in rows.column("text").to_pylist()])
     return rows, batch, batch.names(1)
 
@@ -127,10 +126,14 @@ def _candidates(names: np.ndarray, batch: Batch, window: int, shared: np.ndarray
 
 
 def _distinct(names: np.ndarray, batch: Batch, at: np.ndarray, window: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct windows at ``at``: two name lanes, the least document rank, and each place's entry."""
+    """The distinct windows at ``at``: two name lanes, the least document rank, and each place's entry.
+
+    Documents come by rank, so a stable sort leaves the least first. (Should two windows share one lane, an
+    entry may come twice; its owner merges it.)
+    """
     one = windows(names, window, LANES[0])[at]
     two = windows(mix(names + _U(7)), window, LANES[1])[at]
-    order = np.lexsort((rank[batch.doc[at]], two, one))
+    order = np.argsort(one, kind="stable")
     a, b, d = one[order], two[order], rank[batch.doc[at]][order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -144,11 +147,12 @@ def _spread(names: np.ndarray, owners: int) -> np.ndarray:
     return ((names >> _U(32)) * _U(owners) >> _U(32)).astype(np.int64)
 
 
-def _blobs(owner: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[bytes]]]:
-    """Sorted ``owner`` with its columns, as one record an owner."""
+def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple[int, list[bytes]]]:
+    """Sorted ``owner`` with its columns, as one record an owner; the last ``bits`` columns are flags, packed."""
+    whole = len(columns) - bits
     head = np.flatnonzero(np.diff(owner, prepend=-1))
     tail = np.append(head[1:], len(owner))
-    return [(int(owner[a]), [c[a:b].tobytes() for c in columns]) for a, b in zip(head, tail, strict=True)]
+    return [(int(owner[a]), [c[a:b].tobytes() if i < whole else np.packbits(c[a:b]).tobytes() for i, c in enumerate(columns)]) for a, b in zip(head, tail, strict=True)]
 
 
 def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -176,6 +180,8 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: t
     if keep:
         schema = schema.add("text", "string").add("rest", rows.schema["rest"].dataType)
     out_schema = to_arrow_schema(schema)
+    found_ddl = "owner long, chunk long, a binary, b binary, doc binary"
+    found_schema = to_arrow_schema(T.StructType.fromDDL(found_ddl))
 
     def reveal(_, part):
         _, batch, names = _batch(part)
@@ -187,19 +193,26 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: t
         new[1:] = key[1:] != key[:-1]
         several = np.logical_or.reduceat(np.concatenate(([False], ~new[1:] & (doc[1:] != doc[:-1]))), np.flatnonzero(new)) if len(key) else new
         key = key[new]
-        blobs = _blobs(_spread(key, owners), (key & _U(0xFFFFFFFF)).astype("<u4"), np.asarray(several, np.uint8))
+        blobs = _blobs(_spread(key, owners), (key & _U(0xFFFFFFFF)).astype("<u4"), np.asarray(several, np.uint8), bits=1)
         chunk = part.column("chunk")[0].as_py()
         return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "names": pa.array([b[0] for _, b in blobs], pa.binary()), "several": pa.array([b[1] for _, b in blobs], pa.binary())})
 
     def report(part):
         sent = [np.frombuffer(x, "<u4") for x in part.column("names").to_pylist()]
-        several = [np.frombuffer(x, np.uint8).astype(bool) for x in part.column("several").to_pylist()]
-        low = np.sort(np.concatenate(sent))
-        shared = np.union1d(low[1:][low[1:] == low[:-1]], np.concatenate([s[m] for s, m in zip(sent, several, strict=True)]))
-        masks = [np.packbits(np.isin(s, shared)) for s in sent]
-        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "mask": pa.array([m.tobytes() for m in masks], pa.binary())})
-
-    def shared_of(masks: pd.DataFrame, key: np.ndarray) -> np.ndarray:
+        low = np.concatenate(sent)
+        several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(x)) for b, x in zip(part.column("several").to_pylist(), sent, strict=True)]).astype(bool)
+        order = np.argsort(low)
+        new = np.ones(len(low), bool)
+        new[1:] = low[order][1:] != low[order][:-1]
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(low)))
+        shared = np.empty(len(low), bool)
+        shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(several[order], head), size)
+        ends = np.cumsum([len(x) for x in sent])
+        masks = [np.packbits(shared[e - len(x) : e]).tobytes() for x, e in zip(sent, ends, strict=True)]
+        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "mask": pa.array(masks, pa.binary())})
+
+    def shared_of(masks, key):
         """The chunk's own names, sorted as they were sent, that the masks mark."""
         key = np.unique(key)
         owner = _spread(key, owners)
@@ -210,48 +223,48 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: t
         return np.concatenate(out) if out else key[:0]
 
     def verify(_, left, right):
-        empty = pa.table({"owner": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "doc": pa.array([], pa.binary()), "known": pa.array([], pa.binary())})
         if not left.num_rows:
-            return empty
+            return found_schema.empty_table()
         part, batch, names = _batch(left)
-        masks = right.to_pandas()
-        known = shared_of(masks, anchors(names, batch, window)[1])
-        at, a, b, d, _ = _windows_of(part, batch, names, known)
-        blobs = _blobs(_spread(a, owners), a.astype("<u8"), b.astype("<u8"), d.astype("<i8"))
-        chunk = left.column("chunk")[0].as_py()
-        return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "a": pa.array([x[0] for _, x in blobs], pa.binary()), "b": pa.array([x[1] for _, x in blobs], pa.binary()), "doc": pa.array([x[2] for _, x in blobs], pa.binary()), "known": pa.array([None] * len(blobs), pa.binary())}) if blobs else empty
-
-    def _windows_of(part, batch, names, known):
         rank, no_id = _ids(part)
+        known = shared_of(right.to_pandas(), anchors(names, batch, window)[1])
         at = _candidates(names, batch, window, known, no_id)
-        a, b, d, entry = _distinct(names, batch, at, window, rank)
-        return at, a, b, d, entry
+        a, b, d, _ = _distinct(names, batch, at, window, rank)
+        blobs = _blobs(_spread(a, owners), a.astype("<u8"), b.astype("<u8"), d.astype("<i8"))
+        places = np.zeros(len(names), bool)
+        places[at] = True
+        chunk = left.column("chunk")[0].as_py()
+        blobs.append((-1 - chunk, [None, None, np.packbits(places).tobytes()]))  # the chunk's own note to itself
+        columns = [pa.array([o for o, _ in blobs], pa.int64()), pa.array([chunk] * len(blobs), pa.int64()), *(pa.array([x[i] for _, x in blobs], pa.binary()) for i in range(3))]
+        return pa.Table.from_arrays(columns, schema=found_schema)
 
     def settle(part):
-        sizes = [len(x) // 8 for x in part.column("doc").to_pylist()]
+        if part.column("owner")[0].as_py() < 0:
+            return part.select(["chunk", "owner", "doc"])
+        blobs = part.column("doc").to_pylist()
         a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8") for c in ("a", "b"))
-        d = np.frombuffer(b"".join(part.column("doc").to_pylist()), "<i8")
-        order = np.lexsort((d, b, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        least = np.empty(len(a), np.int64)
-        least[order] = d[order][new][np.cumsum(new) - 1]
-        ends = np.cumsum(sizes)
-        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "mask": pa.array([None] * len(sizes), pa.binary()), "least": pa.array([least[e - n : e].astype("<i8").tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+        d = np.frombuffer(b"".join(blobs), "<i8")
+        order = np.argsort(a)
+        same = a[order][1:] == a[order][:-1]
+        if (b[order][1:][same] != b[order][:-1][same]).any():
+            order = np.lexsort((b, a))
+            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        least = np.empty(len(a), "<i8")
+        least[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.append(head, len(a))))
+        ends = np.cumsum([len(x) // 8 for x in blobs])
+        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "doc": pa.array([least[e - len(x) // 8 : e].tobytes() for x, e in zip(blobs, ends, strict=True)], pa.binary())})
 
     def apply(_, left, right):
         if not left.num_rows:
             return out_schema.empty_table()
         part, batch, names = _batch(left)
-        answers = right.to_pandas()
-        masks = answers[answers["mask"].notna()]
-        known = shared_of(masks, anchors(names, batch, window)[1])
-        at, a, _, d, entry = _windows_of(part, batch, names, known)
-        least, owner = d.copy(), _spread(a, owners)
-        for o, x in answers.loc[answers["least"].notna(), ["owner", "least"]].itertuples(index=False):
-            s, e = np.searchsorted(owner, [o, o + 1])
-            least[s:e] = np.frombuffer(x, "<i8")
         rank, _ = _ids(part)
+        answers = dict(zip(right.column("owner").to_pylist(), right.column("doc").to_pylist(), strict=True))
+        places = answers.pop(-1 - left.column("chunk")[0].as_py())
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(places, np.uint8), count=len(names)))
+        _, _, d, entry = _distinct(names, batch, at, window, rank)
+        least = np.concatenate([d[:0], *(np.frombuffer(answers[o], "<i8") for o in sorted(answers))])
         begins = np.zeros(len(names), bool)
         begins[at[least[entry] < rank[batch.doc[at]]]] = True
         gone = covered(begins, window, len(names))
@@ -266,10 +279,9 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: t
 
     by_chunk = rows.groupBy("chunk")
     sent = by_chunk.applyInArrow(reveal, "owner long, chunk long, names binary, several binary")
-    masks = cut(sent.groupBy("owner").applyInArrow(report, "chunk long, owner long, mask binary"))
-    found = by_chunk.cogroup(masks.groupBy("chunk")).applyInArrow(verify, "owner long, chunk long, a binary, b binary, doc binary, known binary")
-    least = found.groupBy("owner").applyInArrow(settle, "chunk long, owner long, mask binary, least binary")
-    answers = masks.withColumn("least", F.lit(None).cast("binary")).unionByName(least)
+    masks = sent.groupBy("owner").applyInArrow(report, "chunk long, owner long, mask binary")
+    found = by_chunk.cogroup(masks.groupBy("chunk")).applyInArrow(verify, found_ddl)
+    answers = found.groupBy("owner").applyInArrow(settle, "chunk long, owner long, doc binary")
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, schema)
 
 
