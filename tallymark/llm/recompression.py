@@ -151,7 +151,7 @@ def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple
     """Sorted ``owner`` with its columns, as one record an owner; the last ``bits`` columns are flags, packed."""
     whole = len(columns) - bits
     head = np.flatnonzero(np.diff(owner, prepend=-1))
-    tail = np.append(head[1:], len(owner))
+    tail = np.append(head[1:], len(owner))[: len(head)]
     return [(int(owner[a]), [c[a:b].tobytes() if i < whole else np.packbits(c[a:b]).tobytes() for i, c in enumerate(columns)]) for a, b in zip(head, tail, strict=True)]
 
 

@@ -88,9 +88,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     first = _loads(np.concatenate((text, np.zeros(16, np.uint8))), ">")[:n]
-    sa = np.argsort(first, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = first[sa][1:] != first[sa][:-1]
+    if (text[-8:] == 0).any():  # the padding must not equal zeros of the text: shorter suffixes come first
+        full = np.minimum(n - np.arange(n), 8)
+        sa = np.lexsort((full, first))
+        new = np.ones(n, bool)
+        new[1:] = (first[sa][1:] != first[sa][:-1]) | (full[sa][1:] != full[sa][:-1])
+    else:
+        sa = np.argsort(first, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = first[sa][1:] != first[sa][:-1]
     done = 8
     while True:
         head = np.flatnonzero(new)
@@ -293,7 +299,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         pieces, owner, who, *_ = pieces_of(b, mask, rank)
         sizes = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
         head = np.flatnonzero(np.diff(owner, prepend=-1))
-        tail = np.append(head[1:], len(owner))
+        tail = np.append(head[1:], len(owner))[: len(head)]
         rows = [(int(owner[i]), b"".join(pieces[i:j]), sizes[i:j].astype("<u4").tobytes(), who[i:j].astype("<i8").tobytes()) for i, j in zip(head.tolist(), tail.tolist(), strict=True)]
         chunk = left.column("chunk")[0].as_py()
         rows.append((-1 - chunk, None, None, np.packbits(mask).tobytes()))  # the chunk's own note to itself
@@ -321,7 +327,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         for mine in entries:
             flat = np.concatenate([found[k] for k in mine])
             cut = np.zeros(len(flat), bool)
-            cut[np.cumsum([0, *(len(found[k]) for k in mine[:-1])])] = True
+            cut[np.cumsum([0, *(len(found[k]) for k in mine[:-1])])] = True  # each piece starts a run
             cut[1:] |= flat[1:] != flat[:-1]
             head = np.flatnonzero(cut)
             runs.append(np.diff(np.append(head, len(flat))).astype("<u4").tobytes())
