@@ -63,9 +63,9 @@ def test_support_keeps_selection_order(spark):
 
 
 def test_coverage_has_a_combined_row(spark):
-    rows = [("ajpegli", "empty", False)] * 276 + [("ajpegli", "four", False), ("simple", "four", True)] + [("simple", "empty", True)] * 276
+    rows = [("alpha", "empty", False)] * 276 + [("alpha", "four", False), ("beta", "four", True)] + [("beta", "empty", True)] * 276
     got = {(r.decoder, r.category): (r.accepted, r.total) for r in support.coverage_by_category(spark.createDataFrame(rows, "decoder string, category string, ok boolean")).collect()}
-    assert got == {("ajpegli", "empty"): (0, 276), ("ajpegli", "four"): (0, 1), ("ajpegli", "combined"): (0, 277), ("simple", "empty"): (276, 276), ("simple", "four"): (1, 1), ("simple", "combined"): (277, 277)}
+    assert got == {("alpha", "empty"): (0, 276), ("alpha", "four"): (0, 1), ("alpha", "combined"): (0, 277), ("beta", "empty"): (276, 276), ("beta", "four"): (1, 1), ("beta", "combined"): (277, 277)}
 
 
 def test_a_failing_check_fails_no_job(spark):
