@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pack_columns(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, rest``: all other columns as one struct, so that none clashes with a name used on the way."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(None).cast("string").alias("none")])).alias("rest"))
+
+
+def unpack_columns(packed: DataFrame, columns: list[str], counted: bool = False) -> DataFrame:
+    """The columns that :func:`pack_columns` put away, in order; ``counted``: ``n_chars`` follows the text."""
+    take = lambda c: F.col(c) if c in ("doc_id", "text") else F.length("text").cast("long").alias(c) if counted and c == "n_chars" else F.col(f"rest.`{c}`").alias(c)
+    return packed.select(*[take(c) for c in columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, pack_columns, table, unpack_columns
 
 #: The fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
@@ -131,18 +131,13 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document comes once for each epoch that takes words of it. Where the mix ends inside a
     document, that copy holds the words taken, joined by spaces; ``n_chars`` follows the text.
     """
-    columns = docs.columns
     documents, pieces = mix(docs)
-    copies = pieces.groupBy("doc_id", "row", "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b")).join(documents.select("row", "size"), "row").select(F.col("doc_id").alias("_id"), "a", "b", F.col("size").alias("_size"), "row", "epoch")
-    # rows with the same doc_id and size are the same document repeated: each takes its own share
-    order = Window.partitionBy("doc_id", "_size").orderBy("text")
-    whole = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_nth", F.row_number().over(order))
-    nth = Window.partitionBy("_id", "_size").orderBy("row")
-    copies = copies.withColumn("_nth", F.dense_rank().over(nth)).withColumnRenamed("_size", "_taken_size").withColumnRenamed("_nth", "_taken_nth")
-    joined = whole.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_taken_size")) & (F.col("_nth") == F.col("_taken_nth")))
+    copies = pieces.groupBy("doc_id", "row", "epoch").agg(F.min("from_word").alias("a"), F.max("to_word").alias("b")).join(documents.select("row", "size"), "row")
+    # rows of one doc_id and size are the same document repeated: each takes its own share
+    copies = copies.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "size").orderBy("row"))).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "a", "b")
+    whole = pack_columns(docs).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("text")))
+    joined = whole.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")), " ")
-    cut_text = F.when(F.col("b") - F.col("a") < F.col("_size"), part).otherwise(F.col("text"))
-    joined = joined.withColumn("text", cut_text)
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*columns)
+    taken = joined.withColumn("text", F.when(F.col("b") - F.col("a") < F.col("size"), part).otherwise(F.col("text")))
+    return unpack_columns(taken, docs.columns, counted=True)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, pack_columns, table, unpack_columns
 from .words import Batch, mix
 
 _U = np.uint64
@@ -153,7 +153,7 @@ def bar_of(keys: DataFrame, k: int, bins: int = 1024) -> tuple[float, int | None
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 20000, prior: float = 8.0, scale: float = 64.0, seed: int = 29) -> DataFrame:
-    """``docs`` with ``log_weight``, ``gumbel_key`` and ``kept``.
+    """``docs`` with ``log_weight``, ``gumbel_key`` and ``kept``, which replace columns of those names.
 
     ``labels(doc_id, quality)``: at most ``sample`` good ones fit the target model, and as many of all
     labels divide good from bad; both are taken in the order of a hash of the doc_id. Without labels of both kinds all rows stay. Null and empty texts have log weight 0.
@@ -181,4 +181,5 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the resampling keeps."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    kept = classify(pack_columns(docs), table(spark, sf_dir, "labels")).filter("kept")
+    return unpack_columns(kept, docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import pack_columns, table, unpack_columns
 from .words import Batch, covered, mix, windows
 
 _U = np.uint64
@@ -155,29 +155,28 @@ def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple
     return [(int(owner[a]), [c[a:b].tobytes() if i < whole else np.packbits(c[a:b]).tobytes() for i, c in enumerate(columns)]) for a, b in zip(head, tail, strict=True)]
 
 
-def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
     doc_id; windows are judged on the input. Null texts have no words; texts of fewer than ``window``
     words keep all; repeated rows of one doc_id are one document for this purpose, so they do not remove
     each other; rows with a null doc_id keep their words and remove none of others. Other columns are ignored.
-    ``keep`` names columns to carry along: it adds ``text`` (the kept words joined by one space, or the
-    text itself where nothing goes) and ``rest``, a struct of those columns.
+    ``carry`` adds ``text`` (the kept words joined by one space, or the text itself where nothing goes) and
+    ``rest``, a column of ``docs`` that goes along.
 
     Chunks hold about ``chunk_bytes`` of text; owners of names are as many as chunks, so both keep their
     size as the corpus grows.
     """
     if window < 13:
         raise ValueError("window must be at least 13 words")
-    rest = [F.struct(*keep).alias("rest")] if keep else []
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *rest)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *(["rest"] if carry else []))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod("_row", F.lit(chunks)))
     owners = chunks
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
-    if keep:
+    if carry:
         schema = schema.add("text", "string").add("rest", rows.schema["rest"].dataType)
     out_schema = to_arrow_schema(schema)
     found_ddl = "owner long, chunk long, a binary, b binary, doc binary"
@@ -272,7 +271,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, keep: t
         removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[batch.first])
         texts = kept_texts(batch, ~gone)
         out = {"doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())}
-        if keep:
+        if carry:
             before = part.column("text").to_pylist()
             out |= {"text": pa.array([t.decode() if n else b for t, n, b in zip(texts, removed, before, strict=True)], pa.string()), "rest": part.column("rest")}
         return pa.table(out)
@@ -307,10 +306,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that lose all their words go.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = dedup(docs, keep=others or ("doc_id",)).filter("n_removed < n_words or n_words = 0")
-    chars = lambda c: F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c)
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else chars(c) for c in docs.columns])
+    out = dedup(pack_columns(docs), carry=True).filter("n_removed < n_words or n_words = 0")
+    return unpack_columns(out, docs.columns, counted=True)
 
 
 OP2_SQL = r"""

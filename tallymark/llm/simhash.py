@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, pack_columns, table, unpack_columns
 from .components import connected_components, spanning
 
 _U = np.uint64
@@ -162,6 +162,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, budget: int =
     Of repeated rows with that doc_id one stays; rows with a null doc_id stay only where their group has no other.
     """
     found = near_duplicates(docs, budget, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    joined = pack_columns(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     first = Window.partitionBy("doc_id").orderBy("text")
-    return joined.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth").select(*docs.columns)
+    once = joined.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return unpack_columns(once, docs.columns)

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallymark.llm import chat, mixing, packing, recompression, simhash, suffixes
+from tallymark.llm import chat, mixing, packing, quality, recompression, simhash, suffixes
 from tallymark.llm.words import Batch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -377,6 +377,22 @@ def test_texts_survive_the_template(spark):
             assert len(r.formatted[s.start : s.end]) >= len(learned[3] or "")
 
 
+CLASHES = ["row", "epoch", "a", "b", "size", "nth", "chunk", "_row", "_id", "kept", "log_weight", "gumbel_key", "fp", "component_id", "rest", "source", "n_words", "quality"]
+
+
+@pytest.mark.parametrize("stage", [quality.quality_stage, simhash.dedup_stage, recompression.dedup_stage, mixing.mix_stage])
+def test_stages_keep_clashing_columns(spark, stage, tmp_path):
+    d = spark.createDataFrame([(i, passage(30 + i, 100 * i), *[f"{c}{i}" if c != "source" else "s" for c in CLASHES], 7) for i in range(12)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES) + ", n_chars long")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = stage(spark, d, str(tmp_path))
+    assert out.dtypes == d.dtypes
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES if c != "source")
+    if stage is mixing.mix_stage or stage is recompression.dedup_stage:
+        assert all(r.n_chars == len(r.text) for r in rows)
+    assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_repeated_rows_are_turns_of_their_own(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
     rows = chat.read_back(chat.render(chat.fold(chat.conversation_events(df)))).orderBy("position").collect()
