@@ -19,6 +19,8 @@ GOLDEN = 0.6180339887498949
 SHARDS = 1024
 #: Cells of the unit interval by which points find their source.
 CELLS = 4096
+#: Slots of the schedule that are ranked together.
+SEGMENT = 1024
 
 
 def _overlap(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
@@ -68,7 +70,7 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     cells = cells.withColumn("hi", F.when(F.col("hi") >= 1 - 1e-12, F.lit(2.0)).otherwise(F.col("hi")))
     points = spark.range(-int(-total // block_words)).withColumnRenamed("id", "slot")
     points = points.withColumn("at", (F.col("slot") + 0.5) * GOLDEN).withColumn("at", F.col("at") - F.floor("at")).withColumn("cell", F.floor(F.col("at") * CELLS))
-    slots = points.join(cells, "cell").filter("at >= lo and at < hi").select("slot", "source", F.expr("slot div 65536").alias("segment"))
+    slots = points.join(cells, "cell").filter("at >= lo and at < hi").select("slot", "source", F.expr(f"slot div {SEGMENT}").alias("segment"))
     counts = slots.groupBy("source", "segment").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("segment")) - F.col("n")).withColumnRenamed("source", "s").withColumnRenamed("segment", "g").drop("n")
     local = slots.withColumn("i", F.row_number().over(Window.partitionBy("source", "segment").orderBy("slot")))
