@@ -76,6 +76,10 @@ class Bytes:
         stop = edge[np.searchsorted(edge, start) + 1] if len(start) else start
         return start, stop - start
 
+    def names(self, at: np.ndarray) -> np.ndarray:
+        """The least hashes at ``at``, spread evenly over 64 bits again (minima crowd near zero)."""
+        return mix(self.minima[at] ^ _U(0xA5A5A5A5A5A5A5A5))
+
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.end, at, side="right")
 
@@ -98,15 +102,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         new = np.ones(n, bool)
         new[1:] = first[sa][1:] != first[sa][:-1]
     done = 8
+    del first
+    rank = np.empty(n, np.int64)
     while True:
         head = np.flatnonzero(new)
-        group = np.repeat(head, np.diff(np.append(head, n)))
-        rank = np.empty(n, np.int64)
+        size = np.diff(np.append(head, n))
+        group = np.repeat(head, size)
         rank[sa] = group
         if done >= depth or len(head) == n:
             return sa
-        open_ = np.repeat(np.diff(np.append(head, n)) > 1, np.diff(np.append(head, n)))
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(np.repeat(size > 1, size))
         to = sa[at] + done
         key = group[at] * (n + 1) + np.where(to < n, rank[np.minimum(to, n - 1)] + 1, 0)
         order = np.argsort(key, kind="stable")
@@ -201,7 +206,7 @@ def least_documents(pieces: list[bytes], docs: np.ndarray, window: int, shard_by
     return out
 
 
-def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_bytes: int = 3 << 20) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it also starts in a document with a
@@ -214,7 +219,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
-    owners = 2 * chunks
+    owners = 4 * chunks
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod("_row", F.lit(chunks)))
     found_ddl = "owner long, chunk long, bytes binary, sizes binary, doc binary"
     found_schema = to_arrow_schema(T.StructType.fromDDL(found_ddl))
@@ -231,7 +236,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
 
     def keys(b):
         start, _ = b.runs(b.valid)
-        return b.minima[start], b.docs(start)
+        return b.names(start), b.docs(start)
 
     def reveal(_, part):
         part, b, _ = read(part)
@@ -272,7 +277,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
     def pieces_of(b, mask, rank):
         """Distinct pieces in the order of their owners, the least rank of each, and each run's entry."""
         start, length = b.runs(mask)
-        owner = _spread(b.minima[start], owners)
+        owner = _spread(b.names(start), owners)
         order = np.argsort(owner, kind="stable")  # within an owner by place, so by rank
         raw, entry, seen, ids = b.data.tobytes(), np.empty(len(start), np.int64), {}, []
         who = rank[b.docs(start)]
@@ -291,7 +296,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
             return found_schema.empty_table()
         part, b, rank = read(left)
         start, length = b.runs(b.valid)
-        known = np.isin(b.minima[start], shared_of(right, b.minima[start]))
+        names = b.names(start)
+        known = np.isin(names, shared_of(right, names))
         edges = np.zeros(b.size + 1, np.int32)
         np.add.at(edges, start[known], 1)
         np.add.at(edges, start[known] + length[known], -1)
