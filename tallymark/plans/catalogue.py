@@ -12,7 +12,7 @@ from tallymark.functions import digests
 from tallymark.operators import catalog, decisions, matrix, metrics, profiles, publish, support, validate
 from tallymark.plans.fixtures import read, view, with_views
 from tallymark.sources import images as image_scans
-from tallymark.sources.sinks import shared_folder
+from tallymark.sources.sinks import materialize, shared_folder
 from tallymark.streaming import runs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,7 +234,7 @@ select workload, machine_type, dl as decode_leader, dm as decode_leader_mean, wl
   round((1 - cm / wm) * 100, 6) as regret_percent, worst as worst_block_regret_percent, n as paired_blocks, rho as rank_correlation, dl = wl as leaders_match, top_tier
 from rows left join reg using (workload, machine_type) left join rho using (workload, machine_type) join tier using (workload, machine_type)""")
 def decision_rows(spark, d):
-    b = controlled_blocks(spark, d)
+    b = materialize(controlled_blocks(spark, d), "blocks")  # a row per cell and repetition, read eight times
     return decisions.decision_rows(cells(b), b).withColumn("top_tier", F.concat_ws(",", "top_tier"))
 
 

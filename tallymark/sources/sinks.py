@@ -23,6 +23,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and read it back.
+
+    The result is computed once, has no lineage to repeat, and survives lost executors.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Write an immutable table (K1): one that is there already must hold the same rows."""
     spark = df.sparkSession

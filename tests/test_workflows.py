@@ -89,6 +89,11 @@ def test_evidence_document(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "doc/curves")).count() == 6
 
 
+def test_materialized_tables_hold_the_rows(spark):
+    df = spark.range(5).filter("id > 1")
+    assert sorted(sinks.materialize(df, "t").collect()) == sorted(df.collect()) and sinks.materialize(df.limit(0), "t").count() == 0
+
+
 def test_catalogue_order_is_declared(spark):
     df = spark.createDataFrame([("1", "a", "twitter"), ("1", "a", "orig"), ("0", "b", "whatsapp")], "scene_id string, device_id string, provenance string")
     assert [r.provenance for r in catalog.catalog_order(df).collect()] == ["whatsapp", "orig", "twitter"]
