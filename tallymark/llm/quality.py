@@ -45,8 +45,8 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), np.concatenate((batch.doc, batch.doc[1:][pair]))
 
 
-def steps(texts: list[bytes]) -> Iterator[slice]:
-    """Ranges of texts of about STEP_BYTES."""
+def steps(texts: list[str]) -> Iterator[slice]:
+    """Ranges of texts of about STEP_BYTES characters."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > STEP_BYTES:
@@ -69,10 +69,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> np.nda
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
             good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
             for s in steps(texts):
-                bucket, doc = ngrams(texts[s])
+                bucket, doc = ngrams([t.encode() for t in texts[s]])
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[s][doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
@@ -99,11 +99,11 @@ def weigh(docs: DataFrame, model: np.ndarray, scale: float, seed: int) -> DataFr
 
     @F.pandas_udf("double")
     def log_weight(column: pd.Series) -> pd.Series:
-        texts = [t.encode() if t else b"" for t in column]
+        texts = [t or "" for t in column]
         out = np.zeros(len(texts))
         for s in steps(texts):
-            bucket, doc = ngrams(texts[s])
-            n = len(texts[s])
+            bucket, doc = ngrams([t.encode() for t in texts[s]])
+            n = s.stop - s.start
             total, many = np.bincount(doc, model[bucket], minlength=n), np.bincount(doc, minlength=n)
             out[s] = scale * total / np.maximum(many, 1)
         return pd.Series(out)
