@@ -155,7 +155,7 @@ def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple
     return [(int(owner[a]), [c[a:b].tobytes() if i < whole else np.packbits(c[a:b]).tobytes() for i, c in enumerate(columns)]) for a, b in zip(head, tail, strict=True)]
 
 
-def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller
