@@ -72,9 +72,9 @@ def _windows(text: str, width: int) -> list[str]:
 def fit(negatives: list[str], rounds: int = 400, l2: float = 1e-3) -> Model:
     """Fit on the templates and on paragraphs ``negatives``; every fourth negative is held out to calibrate.
 
-    N-grams that occur in a paragraph of the corpus sample are no evidence for a family: their weights
-    are dropped, so only words that are rare in the corpus speak for a notice. That makes the model sparse,
-    and a paragraph without any of its words is certainly unknown.
+    N-grams that occur in a paragraph of the corpus sample, or all of whose words do, are no evidence for a
+    family and no feature, so only words that are rare in the corpus speak for a notice. That makes
+    the model sparse, and a paragraph without any of those words is certainly unknown.
     """
     classes = [*TEMPLATES, UNKNOWN]
     train = [(grams(tokens(part)), k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for part in _windows(t, 10)]
@@ -83,7 +83,7 @@ def fit(negatives: list[str], rounds: int = 400, l2: float = 1e-3) -> Model:
     unknown = [grams(tokens(t)) for t in [*clean, *DISTRACTORS]]
     train += [(g, len(TEMPLATES)) for i, g in enumerate(unknown) if i % 4 or i >= len(clean)]
     common = set().union(*(grams(tokens(t)) for t in clean), set()) if clean else set()
-    names = sorted({f for g, k in train[:notices] for f in g})
+    names = sorted({f for g, k in train[:notices] for f in g if f not in common and any(word not in common for word in f.split(" "))})
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(train), len(names)))
     for i, (g, _) in enumerate(train):
@@ -97,8 +97,6 @@ def fit(negatives: list[str], rounds: int = 400, l2: float = 1e-3) -> Model:
         g = (_softmax(x @ w + b) - y) * cost
         w -= 8.0 * (x.T @ g + l2 * w / len(classes))
         b -= 8.0 * g.sum(axis=0)
-    used = np.array([f not in common for f in names])
-    w[~used] = 0
     held = [g for i, g in enumerate(unknown) if i % 4 == 0]
     z = np.zeros((len(held) + 1, len(names)))
     for i, g in enumerate(held):
