@@ -1,7 +1,8 @@
 """Substring dedup on words by recompression.
 
 Every word gets a 64-bit name. Rounds of recompression then rename the text of every document:
-runs of one name become one symbol, and adjacent symbols whose names lie in the left and the right
+runs of one word become one symbol (runs of longer symbols stay in their elements, or periodic text
+would have no symbol starts), and adjacent symbols whose names lie in the left and the right
 half of that round's alphabet become one symbol. A symbol's name is a hash of the names it
 replaces, so all tasks give equal runs and pairs equal names without a shared dictionary, and equal
 passages get the same symbols in their interior wherever they stand.
@@ -52,13 +53,14 @@ def symbol_starts(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> t
     at, sym, of = np.arange(len(names)), names, doc
     with np.errstate(over="ignore"):
         for r in range(rounds):
-            # runs of one symbol
-            new = np.ones(len(sym), bool)
-            new[1:] = (sym[1:] != sym[:-1]) | (of[1:] != of[:-1])
-            head = np.flatnonzero(new)
-            length = np.diff(np.append(head, len(sym)))
-            at, of, base = at[head], of[head], sym[head]
-            sym = np.where(length > 1, mix(base ^ mix(length.astype(np.uint64) + _U(1000 + r))), base)
+            # runs of one word; a run of symbols pairs with itself nowhere (one side), so its elements stay symbols with starts
+            if r == 0:
+                new = np.ones(len(sym), bool)
+                new[1:] = (sym[1:] != sym[:-1]) | (of[1:] != of[:-1])
+                head = np.flatnonzero(new)
+                length = np.diff(np.append(head, len(sym)))
+                at, of, base = at[head], of[head], sym[head]
+                sym = np.where(length > 1, mix(base ^ mix(length.astype(np.uint64) + _U(1000 + r))), base)
             # pairs of a left and a right symbol
             side = mix(sym + _U(r + 1)) & _U(1)
             pair = np.zeros(len(sym), bool)
@@ -79,12 +81,16 @@ def phrase_size(window: int) -> int:
 def anchors(names: np.ndarray, batch: Batch, window: int) -> tuple[np.ndarray, np.ndarray]:
     """``(place, key)`` of the phrases by which passages of ``window`` words are found.
 
-    Let no two adjacent words of a window be equal. Its words but the first and last are then single
-    symbols of round one. The start of a symbol is certain, given the window alone, at word 1 or 2 in
-    round one, at most 2 words on in round two and 4 more in round three: so at word 8 at the latest, and
-    the next ``window - 8`` words are inside. If adjacent words j - 1 and j are equal, the place j itself is an anchor, with the
-    phrase that begins there (j <= 8) or the one that ends there (j >= window - 9). Either way two equal windows
-    share a phrase, and ``near`` below finds it. Windows must have at least 13 words.
+    Let no two adjacent words among words 0 to 8 of a window be equal. Words 1 to 7 are then single symbols
+    of round one. Of two symbols in a row at most one is the second of a pair, and a symbol on the left side is
+    none: so if the symbol at a certain start is of the left side, that start stays certain after the round, else
+    the next one is. So the start of a symbol is certain, given the window alone, at word 1 or 2 in round
+    one, at most 2 words on in round two and 4 more in round three, where symbols have at most 2 and 4 words:
+    rounds two and three fold no runs, so this holds in periodic text too. That is word 8 at the latest, and
+    the next ``window - 8`` words are inside; the names it takes to decide reach to word 8. If adjacent words
+    j - 1 and j are equal, the place j itself is an anchor, with the phrase that begins there (j <= 8) or the one
+    that ends there (j >= window - 9). Either way two equal windows share a phrase, and ``near`` below finds it.
+    Windows must have at least 13 words.
     """
     n = phrase_size(window)
     starts, _ = symbol_starts(names, batch.doc)

@@ -112,6 +112,22 @@ def test_equal_windows_share_a_phrase(words, left, right):
     assert found[0] & found[1]
 
 
+def test_copies_of_periodic_passages_go(spark):
+    import duckdb
+
+    rows = []
+    for period in (2, 3, 4):
+        for k in range(12):
+            text = " ".join(f"p{period}{k}{i % period}" for i in range(40 + 5 * k))
+            rows += [(len(rows), text), (len(rows) + 1, text if k % 2 else f"x{period}{k} {text} y")]
+    got = sorted(tuple(r) for r in recompression.dedup(docs(spark, rows)).collect())
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar)")
+    base.executemany("insert into documents values (?, ?)", rows)
+    assert got == sorted(base.execute(recompression.OP2_SQL).fetchall()) == sorted(words_removed(rows))
+    assert all(r[2] >= 40 for r in got if r[0] % 2)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=200), st.integers(1, 3))
 def test_suffix_array_sorts(data, alphabet):
