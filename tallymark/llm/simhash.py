@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pack_columns, table, unpack_columns
@@ -157,12 +157,12 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, budget: int = 2, shingle: int = 5) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row with the smallest doc_id stays.
+    """Pipeline stage: of each group of near-duplicates the first row by doc_id (null last), then text, stays.
 
-    Of repeated rows with that doc_id one stays; rows with a null doc_id stay only where their group has no other.
+    Rows are known by a number of their own, so null or repeated doc_ids do not tie unrelated texts together.
     """
-    found = near_duplicates(docs, budget, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    joined = pack_columns(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = joined.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    return unpack_columns(once, docs.columns)
+    rows = cut(pack_columns(docs).withColumn("row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), budget, shingle).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text", "row"))
+    kept = rows.select("row", "doc_id", "text").join(groups, "row").groupBy("component").agg(first.alias("first")).select("first.row")
+    return unpack_columns(rows.join(kept, "row", "left_semi"), docs.columns)

@@ -236,6 +236,13 @@ def test_of_each_group_one_document_stays(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "9", "None"]
 
 
+def test_documents_of_null_or_equal_ids_stay(spark):
+    rows = [(None, passage(40)), (None, passage(40, 100)), (None, passage(40, 200)), (None, passage(40)), (4, passage(40, 300)), (4, passage(40, 400)), (5, passage(40, 500)), (None, passage(40, 500))]
+    out = simhash.dedup_stage(spark, docs(spark, rows), "")
+    want = [(None, passage(40)), (None, passage(40, 100)), (None, passage(40, 200)), (4, passage(40, 300)), (4, passage(40, 400)), (5, passage(40, 500))]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 # ---- mixing ---------------------------------------------------------------------------------------
 
 
