@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pack_columns, table, unpack_columns
 from .components import connected_components, spanning
+from .similar import similar
 
 _U = np.uint64
 
@@ -156,13 +157,15 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, budget: int = 2, shingle: int = 5) -> DataFrame:
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the first row by doc_id (null last), then text, stays.
 
+    Texts link whose sets of word shingles have a Jaccard similarity of ``threshold`` or more. At 0.8 fingerprints
+    differ in some 10 bits, with which nearly all nodes of the trie meet; so :mod:`.similar` finds the pairs.
     Rows are known by a number of their own, so null or repeated doc_ids do not tie unrelated texts together.
     """
     rows = cut(pack_columns(docs).withColumn("row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), budget, shingle).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    groups = similar(rows, shingle, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text", "row"))
     kept = rows.select("row", "doc_id", "text").join(groups, "row").groupBy("component").agg(first.alias("first")).select("first.row")
     return unpack_columns(rows.join(kept, "row", "left_semi"), docs.columns)

@@ -243,6 +243,31 @@ def test_documents_of_null_or_equal_ids_stay(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_texts_of_jaccard_four_fifths_link(spark):
+    """Edited copies go at 0.8 or more and stay below; copies that meet only through a third go with it."""
+    rows = []
+    for k in range(30):
+        base = [f"w{k}x{i}" for i in range(100)]
+        rows.append((2 * k, " ".join(base)))
+        for at in (10, 50)[: 1 + k % 2]:
+            base[at] = "changed"
+        rows.append((2 * k + 1, " ".join(base)))
+    far = [f"z{i}" for i in range(100)]
+    rows += [(100, " ".join(far)), (101, " ".join(["q"] * 30 + far[30:]))]
+    hub = [f"h{i}" for i in range(100)]
+    rows += [(200 + k, " ".join(hub[: 10 * k + 5] + ["new", "one"] + hub[10 * k + 7 :])) for k in range(1, 9)] + [(300, " ".join(hub))]
+    assert all(0.8 <= jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 1 for k in range(30)) and jaccard(rows[60][1], rows[61][1]) < 0.8
+    hubs = [r[1] for r in rows if 200 < r[0] < 300]
+    assert all(jaccard(a, b) < 0.8 for a in hubs for b in hubs if a != b) and all(jaccard(a, rows[-1][1]) >= 0.8 for a in hubs)
+    kept = sorted(r.doc_id for r in simhash.dedup_stage(spark, docs(spark, rows), "").collect())
+    assert kept == [*range(0, 60, 2), 100, 101, 201]
+
+
 # ---- mixing ---------------------------------------------------------------------------------------
 
 
