@@ -48,6 +48,9 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+_TEMPLATE_GRAMS = [grams(tokens(t)) for notices in TEMPLATES.values() for t in notices]
+
+
 @dataclass
 class Model:
     """Weights by n-gram and class, the classes (the last is unknown), the bar and the words one of which any notice needs."""
@@ -69,17 +72,28 @@ def _windows(text: str, width: int) -> list[str]:
     return [text] + ([" ".join(words[i : i + width]) for i in range(0, len(words) - width, 4)] if len(words) > 2 * width else [])
 
 
+def resembles(text: str, agreement: float = 0.5) -> bool:
+    """Whether a paragraph agrees with a template as :func:`scan` confirms it, in a pair of words at least."""
+    own = grams(tokens(text))
+    for g in _TEMPLATE_GRAMS:
+        shared = own & g
+        if any(" " in f for f in shared) and len(shared) >= agreement * min(len(own), len(g)):
+            return True
+    return False
+
+
 def fit(negatives: list[str], rounds: int = 400, l2: float = 1e-3) -> Model:
     """Fit on the templates and on paragraphs ``negatives``; every fourth negative is held out to calibrate.
 
     N-grams that occur in a paragraph of the corpus sample, or all of whose words do, are no evidence for a
-    family and no feature, so only words that are rare in the corpus speak for a notice. That makes
+    family and no feature, so only words that are rare in the corpus speak for a notice. The sample is not labelled, so
+    paragraphs that resemble a template or speak of licences are no negatives. That makes
     the model sparse, and a paragraph without any of those words is certainly unknown.
     """
     classes = [*TEMPLATES, UNKNOWN]
     train = [(grams(tokens(part)), k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for part in _windows(t, 10)]
     notices = len(train)
-    clean = [n for n in negatives if not {"license", "licensed", "licence", "copyright", "spdx-license-identifier"} & set(tokens(n))]
+    clean = [n for n in negatives if not {"license", "licensed", "licence", "copyright", "spdx-license-identifier"} & set(tokens(n)) and not resembles(n)]
     unknown = [grams(tokens(t)) for t in [*clean, *DISTRACTORS]]
     train += [(g, len(TEMPLATES)) for i, g in enumerate(unknown) if i % 4 or i >= len(clean)]
     common = set().union(*(grams(tokens(t)) for t in clean), set()) if clean else set()

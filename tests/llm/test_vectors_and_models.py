@@ -191,6 +191,16 @@ def test_held_out_wordings(spark):
     assert [got[i].family for i in range(len(said))] == list(said)
 
 
+def test_notices_in_the_sample_are_no_negatives(spark):
+    said = [(family, notice) for family, notices in licenses.TEMPLATES.items() for notice in notices] + [("Proprietary", "All rights reserved.")]
+    texts = [f"{CLEAN[i % len(CLEAN)]}\n{notice}" for i, (_, notice) in enumerate(said)] + CLEAN[:6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.fit(licenses.sample_paragraphs(df, 200, 2000))
+    got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    assert [(got[i].family, got[i].confirmed) for i in range(len(said))] == [(family, True) for family, _ in said]
+    assert all(got[i].family == "unknown" for i in range(len(said), len(texts)))
+
+
 def test_scan_of_repeated_and_no_rows(spark):
     model = licenses.fit(CLEAN)
     df = spark.createDataFrame([(1, "Released under the MIT License.")] * 3 + [(None, "x")], "doc_id long, text string")
