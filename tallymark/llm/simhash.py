@@ -166,6 +166,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: fl
     """
     rows = cut(pack_columns(docs).withColumn("row", F.monotonically_increasing_id()))
     groups = similar(rows, shingle, threshold)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text", "row"))
-    kept = rows.select("row", "doc_id", "text").join(groups, "row").groupBy("component").agg(first.alias("first")).select("first.row")
+    placed = cut(rows.select("row", "doc_id").join(groups, "row"))
+    ids = placed.groupBy("component", "doc_id").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    least = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "row")).alias("f")).select("component", "f.doc_id", "f.n", "f.row")
+    # only rows of one component and doc_id are told apart by text
+    tied = placed.join(least.filter("n > 1").select("component", F.col("doc_id").alias("_id")), "component").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "component")
+    texts = rows.select("row", "text").join(tied, "row").groupBy("component").agg(F.min(F.struct("text", "row")).alias("f")).select("f.row")
+    kept = cut(least.filter("n = 1").select("row").unionByName(texts))
     return unpack_columns(rows.join(kept, "row", "left_semi"), docs.columns)
