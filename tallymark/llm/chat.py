@@ -2,8 +2,8 @@
 
 A log holds events of conversations: ``delta`` appends text to a message, ``edit`` replaces what the
 message has so far, ``regenerate`` discards it (deltas that follow build the new answer). Logs are
-partitioned by conversation and sorted by sequence; the fold keeps each message's events from its
-last edit or regeneration on and concatenates them. The messages are then rendered with a template
+partitioned by conversation and sorted by sequence; the fold keeps each message's last edit or regeneration
+and the deltas after it and concatenates them. The messages are then rendered with a template
 whose control strings are escaped, reversibly, wherever a text or role holds them.
 """
 
@@ -33,21 +33,27 @@ def fold(events: DataFrame) -> DataFrame:
     """``conv_id, message, role, text`` of the final messages.
 
     ``events(conv_id, seq, message, kind, role, text)``: ``message`` is the message's position in its
-    conversation, ``kind`` is ``delta``, ``edit`` or ``regenerate`` (null: delta). Null texts are empty.
-    The role is that of the last event that has one. A conversation's events are partitioned once, on ``conv_id``; ties in
-    ``seq`` go by kind, role and text. Null conversation ids make one conversation. A message whose
-    last event is a regeneration is kept, empty.
+    conversation, ``kind`` is ``delta``, ``edit`` or ``regenerate``; null and unknown kinds are deltas. Null texts are
+    empty. Events go by ``seq`` (null: before all numbers), at one ``seq`` edits, then regenerations, then deltas, then by
+    role and text (nulls first). The last edit or regeneration sets the text (regenerations: to nothing) and the
+    deltas after it are appended; a repeated edit counts once, repeated deltas each. The role is that of the last event that has
+    one, whether its text still counts or not. A message whose last event is a regeneration is kept, empty.
+
+    A conversation's events are partitioned once, on ``conv_id``; discarded events are dropped before a message's parts
+    are gathered. Null conversation ids make one conversation.
     """
-    e = events.select("conv_id", "seq", "message", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rank = F.when(F.col("kind") == "edit", 0).when(F.col("kind") == "regenerate", 1).otherwise(2)
+    e = events.select("conv_id", "message", F.struct("seq", rank.alias("rank"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("event"))
     within = Window.partitionBy("conv_id", "message")
-    last = F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(within)
-    kept = e.repartition("conv_id").withColumn("_reset", last).filter("_reset is null or seq >= _reset")
-    part = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
-    # an edit or regeneration sorts before deltas of the same sequence number
-    parts = F.array_sort(F.collect_list(F.struct("seq", (F.col("kind") == "delta").alias("delta"), "kind", "role", part.alias("text"))))
-    out = kept.groupBy("conv_id", "message").agg(parts.alias("parts"))
-    role = F.element_at(F.filter(F.transform("parts", lambda p: p["role"]), lambda r: r.isNotNull()), -1)
-    return out.select("conv_id", "message", F.when(F.exists("parts", lambda p: p["role"].isNotNull()), role).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    reset = F.max(F.when(F.col("event.rank") < 2, F.col("event"))).over(within)
+    role = F.max(F.when(F.col("event.role").isNotNull(), F.col("event"))).over(within)
+    placed = e.repartition("conv_id").withColumn("reset", reset).withColumn("role", role["role"])
+    # a delta counts if it comes after the reset; the first of all events carries the message where no delta does
+    counts = (F.col("event.rank") == 2) & (F.col("reset").isNull() | (F.col("event") > F.col("reset")))
+    parts = F.array_sort(F.collect_list(F.when(counts, F.struct("event.seq", "event.role", "event.text"))))
+    out = placed.groupBy("conv_id", "message").agg(F.max("reset").alias("reset"), F.max("role").alias("role"), parts.alias("parts"))
+    base = F.when(F.col("reset.rank") == 0, F.col("reset.text")).otherwise(F.lit(""))
+    return out.select("conv_id", "message", "role", F.concat(base, F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("text"))
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
@@ -89,13 +95,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """``conversations(conv_id, turn, role, text)`` as a log: each row is a message of one delta.
+    """``conversations(conv_id, turn, role, text)`` as the log of an interface that streams, edits and regenerates.
 
-    Rows go by turn, then role and text (nulls first), so ties and repeated rows keep a place of their own.
+    Rows go by turn, then role and text (nulls first), so ties and repeated rows keep a place of their own: the
+    message's position. Its text streams in as two deltas, of which only the first names the role. Every third message
+    is then edited: an edit without a role gives the first half again, a delta the rest. Every third is regenerated: what came so
+    far is a draft, and the whole text follows as two deltas.
     """
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = conversations.select("conv_id", F.row_number().over(w).cast("long").alias("seq"), "role", "text")
-    return c.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    c = conversations.select("conv_id", F.row_number().over(w).cast("long").alias("message"), "role", "text")
+    half = F.expr("length(text) div 2")
+    head, tail = F.col("text").substr(F.lit(1), half), F.expr("substring(text, length(text) div 2 + 1)")
+
+    def event(kind: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+
+    streamed = [event("delta", head, F.col("role")), event("delta", tail)]
+    edited = [*streamed, event("edit", head), event("delta", tail)]
+    again = [streamed[0], event("regenerate", F.lit(None).cast("string")), event("delta", head), event("delta", tail)]
+    log = F.when(F.col("message") % 3 == 0, F.array(*edited)).when(F.col("message") % 3 == 1, F.array(*again)).otherwise(F.array(*streamed))
+    c = c.select("conv_id", "message", F.posexplode(log).alias("step", "event"))
+    return c.select("conv_id", (F.col("message") * 4 + F.col("step")).alias("seq"), "message", "event.kind", "event.role", "event.text")
 
 
 def op3_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
