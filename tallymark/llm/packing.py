@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +62,20 @@ def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, tokenizer: str = "byte_bpe_50k", end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document, closed by ``end_id``; a null text is empty."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text), end_id], dtype="<u4")
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut_points(len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pieces, PIECES)
+            of, rows = [], []
+            for i, text in enumerate(batch.column("text")):
+                ids = np.array([*encode(text.as_py()), end_id], dtype="<u4")
+                cuts = cut_points(len(ids), capacity)
+                of += [i] * len(cuts)
+                rows += [(k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts)]
+            piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 4
+            columns = [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pieces, PIECES)
 
 
 def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -187,6 +187,18 @@ def test_fingerprints_and_components(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
 
 
+BIG = [(2**60 + 1, passage(30)), (2**60 + 3, passage(30, 500)), (None, "x"), (2**60 + 5, passage(30))]
+
+
+def test_large_ids_beside_a_null_stay_exact(spark):
+    d = docs(spark, BIG).coalesce(1)
+    assert sorted(str(r.doc_id) for r in simhash.near_duplicates(d).collect()) == sorted(str(r[0]) for r in BIG)
+    assert {r.component_id for r in simhash.near_duplicates(d).collect()} == {2**60 + 1, 2**60 + 3, None}
+    assert sorted(str(r.doc_id) for r in packing.pack(packing.tokenize(d)).collect()) == sorted(str(r[0]) for r in BIG)
+    assert sorted(str(r.doc_id) for r in packing.pack_stage(spark, d, "").collect()) == sorted(str(r[0]) for r in BIG)
+    assert sorted(str(r.doc_id) for r in simhash.dedup_stage(spark, d, "").collect()) == sorted(str(r[0]) for r in BIG[:3])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=30), st.integers(0, 3), st.integers(0, 12))
 def test_trie_connects_what_pairs_connect(seeds, budget, depth):
@@ -400,7 +412,59 @@ def test_edits_and_regenerations_fold(spark):
     ]
     df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string")
     got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.fold(df.repartition(5)).collect()}
-    assert got[1, 0][1] == "Hi!" and got[1, 1][1] == "right" and got[1, 2] == ("user", "") and got[None, 0] == (None, "n")
+    assert got == {(1, 0): ("user", "Hi!"), (1, 1): ("assistant", "right"), (1, 2): ("user", ""), (None, 0): (None, "n")}
+
+
+def folded(events):
+    """The messages of a log, folded event by event."""
+    kinds = {"edit": 0, "regenerate": 1}
+
+    def order(e):
+        return (e[1] is not None, e[1] or 0), kinds.get(e[3], 2), (e[4] is not None, e[4] or ""), e[5] or ""
+
+    out = {}
+    for e in sorted(events, key=order):
+        conv, _, message, kind, role, text = e
+        was = out.get((conv, message), (None, ""))
+        text = text or ""
+        if kind == "edit":
+            now = text
+        elif kind == "regenerate":
+            now = ""
+        else:
+            now = was[1] + text
+        out[conv, message] = (role if role is not None else was[0], now)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fold_of_random_logs(spark, seed):
+    """Deltas, edits and regenerations with ties, missing roles, texts and numbers, against a plain fold; then the loss mask."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *xs: xs[rng.integers(len(xs))]
+    events = []
+    for _ in range(400):
+        seq = None if rng.random() < 0.05 else int(rng.integers(0, 60))
+        events.append((pick(1, 2, 3, None), seq, int(rng.integers(0, 6)), pick("delta", "delta", "delta", "edit", "regenerate", None, "odd"), pick("user", "assistant", None, None), pick("a", "b<|", "[INST]", "", None)))
+    events += events[:40]  # repeated events
+    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string").repartition(5)
+    messages = chat.fold(df).cache()
+    want = folded(events)
+    assert {(r.conv_id, r.message): (r.role, r.text) for r in messages.collect()} == want
+    back = {}
+    for r in chat.read_back(chat.render(messages)).collect():
+        back.setdefault(r.conv_id, []).append((r.position, r.role, r.text, r.learned))
+    for conv, turns in back.items():
+        mine = [want[k] for k in sorted(k for k in want if k[0] == conv)]
+        assert [(r, t, x or "") for _, r, t, x in sorted(turns)] == [(r or "", t, t if r == "assistant" else "") for r, t in mine]
+
+
+def test_conversations_come_back_from_their_log(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "x" * (t + c) + "é") for c in range(3) for t in range(7)] + [(9, 0, None, None), (9, 1, "assistant", "")]
+    log = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"delta", "edit", "regenerate"}
+    got = sorted(((r.conv_id, r.message - 1, r.role, r.text) for r in chat.fold(log).collect()), key=str)
+    assert got == sorted(((c, t, r, x or "") for c, t, r, x in rows), key=str)
 
 
 def test_texts_survive_the_template(spark):
