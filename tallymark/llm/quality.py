@@ -1,12 +1,15 @@
 """Quality classification by importance resampling.
 
 Two generative models over hashed n-grams, one of the target (texts labelled good) and one of the
-raw corpus, give each document an importance weight: the ratio of its probabilities. Documents are
-then sampled without replacement in proportion to the weights, by the Gumbel top-k trick: add Gumbel noise
-to the log weights and keep the largest. How many stay follows from the labelled rows: as many as
-have a weight above the one that best divides good from bad.
+raw corpus, give each document an importance weight: the ratio of its probabilities under the two, tempered.
+Documents are then sampled without replacement in proportion to the weights, by the Gumbel top-k trick: add
+Gumbel noise to the log weights and keep the k largest. A document far more likely under the target is almost
+surely kept, and one far less likely almost surely goes; in between chance decides at the rate of the weight.
 
-Everything but the target model and that division covers all documents.
+k is given, or the number of good documents to expect: the sum over the corpus of the probabilities that a
+logistic fit to the labelled rows assigns to the weights.
+
+Everything but the target model and that fit covers all documents.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pack_columns, table, unpack_columns
@@ -89,12 +92,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> np.nda
     return np.log((target + prior) / (expected + prior))
 
 
-def weigh(docs: DataFrame, model: np.ndarray, scale: float, seed: int) -> DataFrame:
+def weigh(docs: DataFrame, model: np.ndarray, evidence: float, seed: int) -> DataFrame:
     """Adds ``log_weight`` and ``gumbel_key`` to ``docs(doc_id, text)``.
 
-    The log weight is the mean log ratio of the text's n-grams times ``scale``, the number of n-grams that
-    count as independent evidence, so a long text is not weighed by its length; no n-grams: 0. The
-    noise is a hash of the doc_id and text, so reruns agree.
+    The log weight is the sum of the log ratios of the text's n-grams, tempered: n-grams overlap and depend on each other,
+    so those beyond ``evidence`` only make the mean more certain, that is, the sum is scaled by ``evidence`` / their number.
+    Without that, noise of standard deviation 1.28 would not matter beside a long text's sum. No n-grams: 0.
+    The noise is a hash of the doc_id and text, so reruns agree.
     """
 
     @F.pandas_udf("double")
@@ -105,23 +109,36 @@ def weigh(docs: DataFrame, model: np.ndarray, scale: float, seed: int) -> DataFr
             bucket, doc = ngrams([t.encode() for t in texts[s]])
             n = s.stop - s.start
             total, many = np.bincount(doc, model[bucket], minlength=n), np.bincount(doc, minlength=n)
-            out[s] = scale * total / np.maximum(many, 1)
+            out[s] = total * np.minimum(1, evidence / np.maximum(many, 1))
         return pd.Series(out)
 
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), 11) + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(1 << 53)
     return docs.withColumn("log_weight", log_weight(F.col("text"))).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def divide(weight: np.ndarray, good: np.ndarray) -> float:
-    """The weight that best divides labelled rows: of balanced accuracy, in the middle of the gap."""
+def calibrate(weight: np.ndarray, good: np.ndarray, rounds: int = 100) -> tuple[float, float] | None:
+    """``(slope, intercept)`` of the log odds of good by weight: logistic regression by Newton steps, the slope slightly shrunk.
+
+    None where labels of one kind are missing.
+    """
     if not len(weight) or good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(weight, kind="stable")
-    w, g = weight[order], good[order]
-    right = np.concatenate(([0], np.cumsum(~g))) / (~g).sum() + (g.sum() - np.concatenate(([0], np.cumsum(g)))) / g.sum()
-    right[1:-1][w[1:] == w[:-1]] = -1  # equal weights stay together
-    k = int(right.argmax())
-    return -np.inf if k == 0 else np.inf if k == len(w) else float((w[k - 1] + w[k]) / 2)
+        return None
+    x, at = np.column_stack((weight, np.ones(len(weight)))), np.zeros(2)
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float(np.logaddexp(0, np.where(good, -z, z)).sum() + 0.005 * at[0] ** 2)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        slope = x.T @ (p - good) + np.array([0.01 * at[0], 0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.01, 1e-6]), slope)
+        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        at = at - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(at[0]), float(at[1])
 
 
 def bar_of(keys: DataFrame, k: int, bins: int = 1024) -> tuple[float, int | None]:
@@ -152,31 +169,54 @@ def bar_of(keys: DataFrame, k: int, bins: int = 1024) -> tuple[float, int | None
     return -last[0], last[2]
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 20000, prior: float = 8.0, scale: float = 64.0, seed: int = 29) -> DataFrame:
-    """``docs`` with ``log_weight``, ``gumbel_key`` and ``kept``, which replace columns of those names.
+def scores(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = 20000, prior: float = 8.0, evidence: float = 16.0, seed: int = 29) -> tuple[DataFrame, np.ndarray, tuple[float, int | None] | None]:
+    """``(table, model, bar)``: the narrow table ``doc_id, log_weight, gumbel_key``, the model and the k-th row by key.
 
-    ``labels(doc_id, quality)``: at most ``sample`` good ones fit the target model, and as many of all
-    labels divide good from bad; both are taken in the order of a hash of the doc_id. Without labels of both kinds all rows stay. Null and empty texts have log weight 0.
-    Null labels are ignored; repeated rows are rows of their own; an empty table gives an empty result.
+    The bar is None where all rows stay. See :func:`classify`.
     """
     known = labels.filter("doc_id is not null and quality is not null")
     model = fit(docs, known, sample, prior)
-    scored = weigh(docs, model, scale, seed)
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "quality").dropDuplicates(["_id"])
-    small = cut(weigh(docs.select("doc_id", "text"), model, scale, seed).join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "log_weight", "gumbel_key", "quality"))
-    pairs = small.filter("quality is not null").select("log_weight", "quality").limit(2 * sample).toPandas()
-    border = divide(pairs["log_weight"].to_numpy(), pairs["quality"].to_numpy() == 1)
-    k = small.filter(F.col("log_weight") >= border).count()
-    if k == 0:
-        return scored.withColumn("kept", F.lit(False))
-    key, doc_id = bar_of(small, k)
-    tie = F.lit(True) if doc_id is None else F.coalesce(F.col("doc_id") <= doc_id, F.lit(False))
-    return scored.withColumn("kept", (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & tie))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("quality"))
+    scored = weigh(docs.select("doc_id", "text"), model, evidence, seed).select("doc_id", "log_weight", "gumbel_key")
+    scored = cut(scored.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left").drop("_id"))
+    if k is None:
+        pairs = scored.filter("quality is not null").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.max("quality").alias("q")).orderBy("doc_id").toPandas()  # `sample` rows at most
+        line = calibrate(pairs["w"].to_numpy(), pairs["q"].to_numpy() == 1)
+        if line is None:
+            return scored, model, None
+        odds = F.exp(-(F.col("log_weight") * line[0] + line[1]))
+        # thousandths add up to the same number in any order
+        k = (scored.agg(F.sum(F.round(1000 / (1 + odds)).cast("long"))).first()[0] or 0) // 1000
+    if k >= scored.count():
+        return scored, model, None
+    return scored, model, bar_of(scored, k) if k else (np.inf, None)
+
+
+def above(bar: tuple[float, int | None] | None) -> Column:
+    """Whether a row with ``gumbel_key`` and ``doc_id`` is among those down to the bar."""
+    if bar is None:
+        return F.lit(True)
+    tie = F.lit(True) if bar[1] is None else F.coalesce(F.col("doc_id") <= bar[1], F.lit(False))
+    return (F.col("gumbel_key") > float(bar[0])) | ((F.col("gumbel_key") == float(bar[0])) & tie)
+
+
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = 20000, prior: float = 8.0, evidence: float = 16.0, seed: int = 29) -> DataFrame:
+    """``docs`` with ``log_weight``, ``gumbel_key`` and ``kept``, which replace columns of those names.
+
+    ``k`` rows are kept (None: as many as are expected to be good; rows that tie with the k-th in key and doc_id stay with it).
+    ``labels(doc_id, quality)``: at most ``sample`` good ones fit the target model, and as many of all
+    labels the logistic line; both are taken in the order of a hash of the doc_id. Without labels of both kinds
+    and without ``k`` all rows stay. Null and empty texts have log weight 0. Null labels are ignored, a doc_id labelled twice
+    counts as good if one label says so; repeated rows are rows of their own; an empty table gives an empty result.
+    """
+    _, model, bar = scores(docs, labels, k, sample, prior, evidence, seed)
+    return weigh(docs, model, evidence, seed).withColumn("kept", above(bar))
 
 
 def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return classify(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    scored, _, bar = scores(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.drop("quality").withColumn("kept", above(bar))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
