@@ -1,17 +1,20 @@
 """Licence scan: a trained paragraph classifier, scored with DataFrame operations only.
 
-Paragraphs (lines of text) become sets of word 1-grams and 2-grams. A sparse softmax regression over
-them names a licence family or the class ``unknown``; its probabilities are calibrated by a temperature and a
-bar on held-out paragraphs, below which the answer is unknown; and a family counts as confirmed only
+Paragraphs (lines of text) become sets of word 1-grams and 2-grams. A sparse softmax regression over the n-grams of
+known notices names a licence family or the class ``unknown``, which paragraphs of the corpus train; a
+paragraph's features are scaled by the root of the number of its n-grams, so a few chance words in long prose say
+little. A temperature and a bar, both from held-out paragraphs and held-out variants of notices, calibrate the
+probabilities; below the bar, and without a pair of words known from a notice, the answer is unknown. A family counts as confirmed only
 if the paragraph also resembles one of that family's templates.
 
-The model is fitted from the templates and a bounded sample of paragraphs of the corpus, which is
-where its unknown class comes from. Scoring reads every paragraph of every document.
+The model is fitted from the templates and a bounded sample of paragraphs of the corpus. The sample is not labelled, so
+paragraphs that resemble a template are left out of it. Scoring covers every paragraph of every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,13 +56,17 @@ _TEMPLATE_GRAMS = [grams(tokens(t)) for notices in TEMPLATES.values() for t in n
 
 @dataclass
 class Model:
-    """Weights by n-gram and class, the classes (the last is unknown), the bar and the words one of which any notice needs."""
+    """Weights by n-gram and class, the classes (the last is unknown), the bar, and words one of which any notice needs.
+
+    Weights and biases are divided by the temperature already.
+    """
 
     classes: list[str]
     bias: list[float]
     weights: dict[str, list[float]]
     bar: float
     needles: list[str]
+    temperature: float
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -82,68 +89,83 @@ def resembles(text: str, agreement: float = 0.5) -> bool:
     return False
 
 
-def fit(negatives: list[str], rounds: int = 400, l2: float = 1e-3) -> Model:
-    """Fit on the templates and on paragraphs ``negatives``; every fourth negative is held out to calibrate.
+def fit(negatives: list[str], rounds: int = 400, l1: float = 5e-4, step: float = 8.0) -> Model:
+    """Fit on the templates and on paragraphs ``negatives``.
 
-    N-grams that occur in a paragraph of the corpus sample, or all of whose words do, are no evidence for a
-    family and no feature, so only words that are rare in the corpus speak for a notice. The sample is not labelled, so
-    paragraphs that resemble a template or speak of licences are no negatives. That makes
-    the model sparse, and a paragraph without any of those words is certainly unknown.
+    Every fourth negative is held out, and so are variants of each notice that lack every fourth word; the temperature
+    is the one under which these are most likely (all families together weigh as much as the negatives), the bar lies between the
+    probabilities of the two kinds. Training is by gradient steps with soft thresholding, so most weights are exactly 0.
+
+    ``needles``: a paragraph none of whose n-grams speaks more for some family than for unknown has less than the bar by
+    the biases alone, which the bar is kept above. So a notice needs an n-gram that does, and that n-gram's rarest word.
     """
     classes = [*TEMPLATES, UNKNOWN]
-    train = [(grams(tokens(part)), k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for part in _windows(t, 10)]
-    notices = len(train)
-    clean = [n for n in negatives if not {"license", "licensed", "licence", "copyright", "spdx-license-identifier"} & set(tokens(n)) and not resembles(n)]
-    unknown = [grams(tokens(t)) for t in [*clean, *DISTRACTORS]]
-    train += [(g, len(TEMPLATES)) for i, g in enumerate(unknown) if i % 4 or i >= len(clean)]
-    common = set().union(*(grams(tokens(t)) for t in clean), set()) if clean else set()
-    names = sorted({f for g, k in train[:notices] for f in g if f not in common and any(word not in common for word in f.split(" "))})
+    clean = [n for n in negatives if not resembles(n)]
+    held = [n for i, n in enumerate(clean) if i % 4 == 0]
+    seen = [n for i, n in enumerate(clean) if i % 4] + DISTRACTORS
+    cue = [" ".join(n.split()[:8]) for n in seen] or [""]
+    notices = [(part, k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for part in _windows(t, 10)]
+    # a notice also stands within a paragraph that says other things
+    notices += [(f"{cue[7 * i % len(cue)]} {text}", k) for i, (text, k) in enumerate(notices)]
+    variants = [(" ".join(w for j, w in enumerate(t.split()) if j % 4 != r or len(t.split()) < 4), k) for k, family in enumerate(TEMPLATES) for t in TEMPLATES[family] for r in (0, 3)]
+    names = sorted(set().union(*_TEMPLATE_GRAMS))
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(train), len(names)))
-    for i, (g, _) in enumerate(train):
-        x[i, [at[f] for f in g if f in at]] = 1
-    y = np.eye(len(classes))[[k for _, k in train]]
-    cost = 1 / np.maximum(y.sum(axis=0), 1)
-    cost = (y * cost).sum(axis=1, keepdims=True) / len(classes)
+
+    def matrix(texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), len(names)))
+        for i, t in enumerate(texts):
+            g = grams(tokens(t))
+            x[i, [at[f] for f in g if f in at]] = 1 / np.sqrt(max(len(g), 1))
+        return x
+
+    x = matrix([t for t, _ in notices] + seen)
+    y = np.eye(len(classes))[[k for _, k in notices] + [len(TEMPLATES)] * len(seen)]
+    cost = (y * (1 / np.maximum(y.sum(axis=0), 1) * np.array([1.0] * len(TEMPLATES) + [float(len(TEMPLATES))]))).sum(axis=1, keepdims=True) / (2 * len(TEMPLATES))
     w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    b[-1] = 1.0
     for _ in range(rounds):
         g = (_softmax(x @ w + b) - y) * cost
-        w -= 8.0 * (x.T @ g + l2 * w / len(classes))
-        b -= 8.0 * g.sum(axis=0)
-    held = [g for i, g in enumerate(unknown) if i % 4 == 0]
-    z = np.zeros((len(held) + 1, len(names)))
-    for i, g in enumerate(held):
-        z[i, [at[f] for f in g if f in at]] = 1
-    p_held = _softmax(z @ w + b)[:, :-1].max(axis=1).max()
-    p_true = (_softmax(x[:notices] @ w + b) * y[:notices]).sum(axis=1).min()
-    bar = float(np.clip((p_held + p_true) / 2, 0.3, 0.9))
-    positive = sorted({f for f, row in zip(names, w, strict=True) if row[:-1].max() > 0.0})
-    needles = sorted({max(re.split(r"[^a-z0-9]+", f), key=lambda part: (part not in common, len(part))) for f in positive})
-    return Model(classes, b.tolist(), {f: row.tolist() for f, row in zip(names, w, strict=True) if np.abs(row).max() > 0}, bar, needles)
+        w -= step * (x.T @ g)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        b -= step * g.sum(axis=0)
+    z, v = matrix([*held, *DISTRACTORS]) @ w + b, matrix([t for t, _ in variants]) @ w + b
+    of = np.array([k for _, k in variants])
+
+    def loss(t: float) -> float:
+        return -np.log(_softmax(z / t)[:, -1] + 1e-12).mean() - np.log(_softmax(v / t)[np.arange(len(of)), of] + 1e-12).mean()
+
+    temperature = float(min(2.0 ** np.arange(-4, 4.25, 0.25), key=loss))
+    w, b = w / temperature, b / temperature
+    no, yes = _softmax(z / temperature)[:, :-1].max(axis=1), _softmax(v / temperature)[np.arange(len(of)), of]
+    nothing = 1 / (1 + np.exp(b[-1] - b[:-1].max()))
+    bar = float(max(np.clip((np.quantile(no, 0.999) + np.quantile(yes, 0.05)) / 2, 0.3, 0.9), nothing + 1e-6))
+    common = Counter(word for n in seen for word in set(re.split(r"[^a-z0-9]+", n.lower())))
+    speaks = [f for f, row in zip(names, w, strict=True) if row[:-1].max() > row[-1]]
+    needles = sorted({min(re.split(r"[^a-z0-9]+", f), key=lambda part: (common[part], -len(part), part)) for f in speaks})
+    return Model(classes, b.tolist(), {f: row.tolist() for f, row in zip(names, w, strict=True)}, bar, needles, temperature)
 
 
 def sample_paragraphs(docs: DataFrame, documents: int, paragraphs: int) -> list[str]:
     """At most ``paragraphs`` lines from the ``documents`` first documents by a hash of the doc_id."""
     some = docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(documents)
-    lines = some.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").orderBy(F.xxhash64("line"), "line").limit(paragraphs)
+    lines = some.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(paragraphs)
     return [r["line"] for r in lines.select(F.substring("line", 1, 2000).alias("line")).collect()]
 
 
 def scan(docs: DataFrame, model: Model, agreement: float = 0.5) -> DataFrame:
-    """``doc_id, family, probability, confirmed, n_notices``: one row for each row of ``docs(doc_id, text)``.
+    """``doc_id, family, probability, confirmed, n_notices, suspected``: one row for each row of ``docs(doc_id, text)``.
 
-    ``n_notices``: paragraphs of a family above the bar that a template confirms (the share of the
+    A paragraph is found if a family's probability reaches the bar and it holds a pair of words of some template; it is
+    confirmed if a template of that family agrees: the share of the
     template's n-grams found in the paragraph, or of the paragraph's in the template, is at least
-    ``agreement``). ``family``, ``probability`` and ``confirmed`` are those of the best paragraph, confirmed
-    ones first, then by probability and place; ``unknown``, 0 and false where none is above the bar. Null and
-    empty texts have none; repeated rows are rows of their own; other columns are ignored.
+    ``agreement``. ``n_notices`` counts confirmed paragraphs; ``family`` and ``probability`` are those of the best of them, by
+    probability, then place; ``unknown`` and 0 where there is none. ``suspected`` is then the family of the best paragraph found but
+    not confirmed (null: none). Null and empty texts have none; repeated rows are rows of their own; other columns are ignored.
     """
     spark = docs.sparkSession
     k = len(model.classes) - 1
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()] or [("", [0.0] * (k + 1))], "gram string, w array<double>")
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")
-    # exact: a paragraph without any of these words has no evidence for a family
+    # exact: a paragraph without any of these words cannot reach the bar (see fit)
     may = F.arrays_overlap(words, F.array(*[F.lit(n) for n in model.needles]))
     lines = F.when(may, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
@@ -158,7 +180,7 @@ def scan(docs: DataFrame, model: Model, agreement: float = 0.5) -> DataFrame:
         *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k + 1)],
         F.collect_set(F.when(F.col("w").isNotNull(), F.col("gram"))).alias("known"),
     )
-    logits = F.array(*[F.col(f"s{i}") + F.lit(model.bias[i]) for i in range(k + 1)])
+    logits = F.array(*[F.col(f"s{i}") / F.sqrt(F.greatest(F.col("n"), F.lit(1))) + F.lit(model.bias[i]) for i in range(k + 1)])
     scored = scored.withColumn("e", F.transform(logits, lambda x: F.exp(x))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     best = F.array_max(F.slice("e", 1, k))
     names = F.array(*[F.lit(c) for c in model.classes])
@@ -172,14 +194,21 @@ def scan(docs: DataFrame, model: Model, agreement: float = 0.5) -> DataFrame:
     alike = checks[0]
     for c in checks[1:]:
         alike = alike | c
-    found = (F.col("n") > 0) & (F.col("probability") >= model.bar)
+    found = F.exists("known", lambda g: F.contains(g, F.lit(" "))) & (F.col("probability") >= model.bar)
     scored = scored.select("doc_id", "row", "place", "family", "probability", found.alias("found"), (found & alike).alias("confirmed"))
-    top = F.max(F.when(F.col("found"), F.struct("confirmed", "probability", (-F.col("place")).alias("place"), "family")))
-    out = scored.groupBy("doc_id", "row").agg(top.alias("top"), F.sum(F.col("confirmed").cast("long")).alias("n_notices"))
-    return out.select("doc_id", F.coalesce("top.family", F.lit(UNKNOWN)).alias("family"), F.round(F.coalesce("top.probability", F.lit(0.0)), 6).alias("probability"), F.coalesce("top.confirmed", F.lit(False)).alias("confirmed"), F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"))
-
-
-def op4_license_scan(spark: SparkSession, sf_dir: str, documents: int = 200, paragraphs: int = 2000) -> DataFrame:
+    best = F.struct("probability", (-F.col("place")).alias("place"), "family")
+    out = scored.groupBy("doc_id", "row").agg(F.max(F.when(F.col("confirmed"), best)).alias("top"), F.max(F.when(F.col("found"), best)).alias("other"), F.sum(F.col("confirmed").cast("long")).alias("n_notices"))
+    return out.select(
+        "doc_id",
+        F.coalesce("top.family", F.lit(UNKNOWN)).alias("family"),
+        F.round(F.coalesce("top.probability", F.lit(0.0)), 6).alias("probability"),
+        F.col("top").isNotNull().alias("confirmed"),
+        F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"),
+        F.when(F.col("top").isNull(), F.col("other.family")).alias("suspected"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str, documents: int = 400, paragraphs: int = 3000) -> DataFrame:
     """The licence of every document; the classifier's sample of the corpus is bounded by ``documents`` and ``paragraphs``."""
     docs = table(spark, sf_dir, "documents")
     return scan(docs, fit(sample_paragraphs(docs, documents, paragraphs)))

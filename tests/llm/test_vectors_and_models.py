@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 
 import numpy as np
@@ -253,6 +254,81 @@ def test_notices_in_the_sample_are_no_negatives(spark):
     assert all(got[i].family == "unknown" for i in range(len(said), len(texts)))
 
 
+def plain_scan(text, model, agreement=0.5):
+    """The scan in plain Python: ``family, probability, n_notices, suspected``."""
+    confirmed, found = [], []
+    for place, line in enumerate((text or "").split("\n")):
+        g = licenses.grams(licenses.tokens(line))
+        known = [x for x in g if x in model.weights]
+        z = [b + sum(model.weights[x][i] for x in known) / math.sqrt(max(len(g), 1)) for i, b in enumerate(model.bias)]
+        p = [math.exp(x) / sum(map(math.exp, z)) for x in z][:-1]
+        if max(p) < model.bar or not any(" " in x for x in known):
+            continue
+        family = model.classes[p.index(max(p))]
+        hit = (max(p), -place, family)
+        found.append(hit)
+        if any(max(len(g & t) / len(t), len(g & t) / len(g)) >= agreement for t in (licenses.grams(licenses.tokens(n)) for n in licenses.TEMPLATES[family])):
+            confirmed.append(hit)
+    top = max(confirmed, default=(0.0, 0, licenses.UNKNOWN))
+    return top[2], round(top[0], 6), len(confirmed), None if confirmed or not found else max(found)[2]
+
+
+def check_against_plain(df, model):
+    texts = [r.text for r in df.collect()]
+    got = sorted((r.family, round(r.probability, 5), r.n_notices, str(r.suspected)) for r in licenses.scan(df, model).collect())
+    want = sorted((f, round(p, 5), n, str(s)) for f, p, n, s in (plain_scan(t, model) for t in texts))
+    assert [(g[0], g[2], g[3]) for g in got] == [(w[0], w[2], w[3]) for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-5)
+
+
+def test_scan_against_plain_scoring(spark):
+    """Every paragraph of whole texts, those that the needles pass over too."""
+    rng = np.random.default_rng(6)
+    notices = [n for ns in licenses.TEMPLATES.values() for n in ns]
+    words = sorted({w for n in notices for w in n.split()}) + ["river", "stone", "of", "the", "house"] * 9
+    texts = []
+    for _ in range(300):
+        lines = [" ".join(rng.choice(words, rng.integers(0, 14))) for _ in range(rng.integers(0, 4))]
+        if rng.random() < 0.5:
+            cut = notices[rng.integers(len(notices))].split()
+            lines.append(" ".join(cut[rng.integers(0, 3) :][: rng.integers(1, 30)]))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "\n\n"])], "doc_id long, text string")
+    check_against_plain(df, licenses.fit(CLEAN))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the provided tables")
+def test_query_against_plain_scoring(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = licenses.fit(licenses.sample_paragraphs(docs, 400, 3000))
+    check_against_plain(docs.select("doc_id", "text"), model)
+
+
+def test_a_notice_common_in_the_sample_names_only_its_documents(spark):
+    """One-sentence documents of which every tenth holds one family's notice."""
+    for family in ("BSD", "Proprietary", "GPL"):
+        notice = licenses.TEMPLATES[family][0]
+        rng = np.random.default_rng(8)
+        words = ["the", "river", "of", "and", "source", "in", "old", "house", "forms", "are", "met", "with", "public", "this", "work", "light"]
+        texts = [" ".join(rng.choice(words, 9)) + "." + (("\n" if i % 20 else " ") + notice if i % 10 == 0 else "") for i in range(400)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.family for r in licenses.scan(df, licenses.fit(licenses.sample_paragraphs(df, 200, 2000))).collect()}
+        assert all(got[i] == licenses.UNKNOWN for i in got if i % 10)
+        assert np.mean([got[i] == family for i in got if i % 10 == 0]) >= 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the provided tables")
+def test_planted_notices_are_found(spark):
+    said = {"This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    sf = "/root/testdata/sf0.01"
+    want = {r.doc_id: {said[x] for x in (r.text or "").split("\n") if x in said} for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in licenses.op4_license_scan(spark, sf).collect()}
+    for family in said.values():
+        mine = [i for i in want if want[i] == {family}]
+        assert mine and np.mean([got[i].family == family and got[i].confirmed for i in mine]) >= 0.95, family
+    assert all(got[i].family == licenses.UNKNOWN for i in want if not want[i])
+
+
 def test_scan_of_repeated_and_no_rows(spark):
     model = licenses.fit(CLEAN)
     df = spark.createDataFrame([(1, "Released under the MIT License.")] * 3 + [(None, "x")], "doc_id long, text string")
@@ -268,5 +344,5 @@ def test_model_without_a_sample():
 
 
 def test_sample_is_bounded(spark):
-    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a\nb\nc").alias("text"))
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.format_string("a%1$d\nb%1$d\nc%1$d", "id").alias("text"))
     assert len(licenses.sample_paragraphs(df, 10, 15)) == 15
