@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
         for batch in batches:
             if not batch.num_rows:
                 continue
-            size = pa.compute.list_value_length(batch.column("v")).to_numpy()
+            size = pc.list_value_length(batch.column("v")).to_numpy()
             x = np.zeros((batch.num_rows, dim))
             x[np.arange(dim)[None, :] < size[:, None]] = batch.column("v").flatten().to_numpy()
             x = _unit(x)

@@ -157,19 +157,17 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the first row by doc_id (null last), then text, stays.
+    """Pipeline stage: of each group of near-duplicates the first row by doc_id (null last), then by a hash of the row, stays.
 
     Texts link whose sets of word shingles have a Jaccard similarity of ``threshold`` or more. At 0.8 fingerprints
     differ in some 10 bits, with which nearly all nodes of the trie meet; so :mod:`.similar` finds the pairs.
-    Rows are known by a number of their own, so null or repeated doc_ids do not tie unrelated texts together.
+    Rows are known by a hash of all their columns (none of them a map), so null or repeated doc_ids do not tie unrelated
+    texts together; of rows equal in all columns one stays.
     """
-    rows = cut(pack_columns(docs).withColumn("row", F.monotonically_increasing_id()))
-    groups = similar(rows, shingle, threshold)
-    placed = cut(rows.select("row", "doc_id").join(groups, "row"))
-    ids = placed.groupBy("component", "doc_id").agg(F.count("*").alias("n"), F.min("row").alias("row"))
-    least = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "row")).alias("f")).select("component", "f.doc_id", "f.n", "f.row")
-    # only rows of one component and doc_id are told apart by text
-    tied = placed.join(least.filter("n > 1").select("component", F.col("doc_id").alias("_id")), "component").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select("row", "component")
-    texts = rows.select("row", "text").join(tied, "row").groupBy("component").agg(F.min(F.struct("text", "row")).alias("f")).select("f.row")
-    kept = cut(least.filter("n = 1").select("row").unionByName(texts))
-    return unpack_columns(rows.join(kept, "row", "left_semi"), docs.columns)
+    packed = pack_columns(docs).withColumn("key", F.xxhash64("doc_id", "text", "rest"))
+    placed = similar(packed.select("key", "doc_id", "text"), shingle, threshold)
+    ids = placed.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
+    kept = cut(ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("f")).select("f.key", "f.n"))
+    found = packed.join(kept, "key")
+    once = found.filter("n > 1").groupBy("key").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "rest")])
+    return unpack_columns(found.filter("n = 1").select("doc_id", "text", "rest").unionByName(once.select("doc_id", "text", "rest")), docs.columns)

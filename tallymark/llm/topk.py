@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def _tiles(rows: DataFrame, size: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            values, ends = batch.column("values"), np.cumsum(pa.compute.list_value_length(batch.column("values")).to_numpy())
+            values, ends = batch.column("values"), np.cumsum(pc.list_value_length(batch.column("values")).to_numpy())
             flat = values.flatten().to_numpy().astype(np.int64)
             dims = np.diff(ends, prepend=0)
             out: list[tuple[bytes, bytes, int]] = []

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallymark.llm import chat, mixing, packing, quality, recompression, simhash, suffixes
 from tallymark.llm.words import Batch
@@ -534,3 +535,56 @@ def test_plans_of_native_operators_have_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.render(chat.fold(chat.conversation_events(df))))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_prefixes_find_what_hubs_leave(spark, monkeypatch):
+    """Texts that share one long passage, so that many share buckets, with near copies among them; without hubs, prefixes alone connect all."""
+    from tallymark.llm import similar
+
+    rng = np.random.default_rng(4)
+    common = passage(60, 9000)
+    rows = []
+    for k in range(40):
+        own = [f"o{k}x{i}" for i in range(int(rng.integers(20, 120)))]
+        rows.append((len(rows), common + " " + " ".join(own)))
+        own[len(own) // 2] = "changed"
+        rows.append((len(rows), common + " " + " ".join(own)))
+    rows += [(len(rows) + k, passage(k)) for k in range(8)]
+    label = list(range(len(rows)))
+    for _ in range(3):
+        for i in range(len(rows)):
+            for j in range(i):
+                if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+    want = {}
+    for (d, _), l in zip(rows, label):
+        want.setdefault(l, set()).add(d)
+    df = docs(spark, rows).select(F.col("doc_id").alias("key"), "doc_id", "text")
+    for rounds in (0, 1, 3):
+        monkeypatch.setattr(similar, "ROUNDS", rounds)
+        got = {}
+        for r in similar.similar(df).collect():
+            got.setdefault(r.component, set()).add(r.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), rounds
+
+
+def test_near_copies_of_the_given_documents_go(spark):
+    """Recall of pairs of Jaccard 0.8 or more, by brute force over shared shingles."""
+    from itertools import combinations
+
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
+    sets = {r.doc_id: frozenset(tuple(w[i : i + 5]) for w in [r.text.lower().split()] for i in range(max(1, len(w) - 4))) for r in d.collect()}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    pairs = {p for ids in by.values() for p in combinations(sorted(ids), 2)}
+    close = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = {i: i for i in sets}
+    for _ in range(4):
+        for a, b in close:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = {r.doc_id for r in simhash.dedup_stage(spark, d, sf).collect()}
+    near = [p for p in close if sets[p[0]] != sets[p[1]]]
+    assert len(near) >= 10 and kept == set(label.values())
