@@ -38,6 +38,10 @@ _U = np.uint64
 ROUNDS = 3
 #: Odd factors of the two lanes of a window's 128-bit name.
 LANES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Owners of the name space for a small corpus, and the bytes of text for which a large one has an owner.
+OWNERS, OWNER_BYTES = 64, 16 << 20
+#: Names that an owner settles at once.
+SETTLE = 1 << 20
 
 
 def _same_doc(batch: Batch, lag: int) -> np.ndarray:
@@ -161,6 +165,22 @@ def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple
     return [(int(owner[a]), [c[a:b].tobytes() if i < whole else np.packbits(c[a:b]).tobytes() for i, c in enumerate(columns)]) for a, b in zip(head, tail, strict=True)]
 
 
+def owners_for(size: int) -> int:
+    """How many owners share the names of ``size`` bytes of text: independent of the chunks, and with a fixed load each.
+
+    A chunk sends a row to each owner at most, so rows a step are OWNERS a chunk up to a GB of text and never more than names.
+    """
+    return max(OWNERS, int(size // OWNER_BYTES) + 1)
+
+
+def ranges(sent: list[np.ndarray], parts: int) -> list[np.ndarray]:
+    """For each of the sorted arrays ``sent``, where ``parts`` even ranges of their common values begin and end."""
+    some = [x for x in sent if len(x)]
+    low, high = min(int(x[0]) for x in some), max(int(x[-1]) for x in some)
+    edges = np.array([low + (high - low + 1) * k // parts for k in range(parts)], np.uint64)
+    return [np.append(np.searchsorted(x, edges), len(x)) for x in sent]
+
+
 def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
@@ -171,16 +191,16 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
     ``carry`` adds ``text`` (the kept words joined by one space, or the text itself where nothing goes) and
     ``rest``, a column of ``docs`` that goes along.
 
-    Chunks hold about ``chunk_bytes`` of text; owners of names are as many as chunks, so both keep their
-    size as the corpus grows.
+    Chunks hold about ``chunk_bytes`` of text, owners the names of about OWNER_BYTES, so both keep their size as the corpus
+    grows. Equal rows are dealt to chunks by the partition they come from too, so no chunk gets them all.
     """
     if window < 13:
         raise ValueError("window must be at least 13 words")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *(["rest"] if carry else []))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
-    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod("_row", F.lit(chunks)))
-    owners = chunks
+    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod(F.xxhash64("_row", F.spark_partition_id()), F.lit(chunks)))
+    owners = owners_for(size)
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
     if carry:
         schema = schema.add("text", "string").add("rest", rows.schema["rest"].dataType)
@@ -246,19 +266,27 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
     def settle(part):
         if part.column("owner")[0].as_py() < 0:
             return part.select(["chunk", "owner", "doc"])
-        blobs = part.column("doc").to_pylist()
-        a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8") for c in ("a", "b"))
-        d = np.frombuffer(b"".join(blobs), "<i8")
-        order = np.argsort(a)
-        same = a[order][1:] == a[order][:-1]
-        if (b[order][1:][same] != b[order][:-1][same]).any():
-            order = np.lexsort((b, a))
-            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        head = np.flatnonzero(np.concatenate(([True], ~same)))
-        least = np.empty(len(a), "<i8")
-        least[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.append(head, len(a))))
-        ends = np.cumsum([len(x) // 8 for x in blobs])
-        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "doc": pa.array([least[e - len(x) // 8 : e].tobytes() for x, e in zip(blobs, ends, strict=True)], pa.binary())})
+        one, two, docs_ = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("a", "<u8"), ("b", "<u8"), ("doc", "<i8")))
+        least = [np.empty(len(x), "<i8") for x in one]
+        parts = sum(map(len, one)) // SETTLE + 1
+        cuts = ranges(one, parts)
+        for k in range(parts):
+            at = [slice(c[k], c[k + 1]) for c in cuts]
+            a, b, d = (np.concatenate([x[i] for x, i in zip(xs, at, strict=True)]) for xs in (one, two, docs_))
+            if not len(a):
+                continue
+            order = np.argsort(a)
+            same = a[order][1:] == a[order][:-1]
+            if (b[order][1:][same] != b[order][:-1][same]).any():
+                order = np.lexsort((b, a))
+                same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+            head = np.flatnonzero(np.concatenate(([True], ~same)))
+            low = np.empty(len(a), "<i8")
+            low[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.append(head, len(a))))
+            ends = np.cumsum([i.stop - i.start for i in at])
+            for x, i, e in zip(least, at, ends, strict=True):
+                x[i] = low[e - (i.stop - i.start) : e]
+        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "doc": pa.array([x.tobytes() for x in least], pa.binary())})
 
     def apply(_, left, right):
         if not left.num_rows:

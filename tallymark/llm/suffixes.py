@@ -5,8 +5,10 @@ hashes of a window's inner ``GRAM``-byte strings the least names the window's sh
 meet, and neighbouring windows, which mostly share it, travel as one piece. Four steps:
 
 1. each chunk of documents sends the set of its windows' least hashes to the owners of the hash
-   space, who report which of them several documents hold; windows with another occur in one document only;
-2. chunks send the pieces that are left, each distinct one once with its least doc_id;
+   space, with the number of distinct pieces of each; owners report which of them several documents hold (windows with another
+   occur in one document only), and which have many more pieces than chunks: a phrase that many otherwise different texts hold;
+2. chunks send the pieces that are left, each distinct one once with its least doc_id. Pieces of such a frequent hash are
+   cut into single windows and dealt by a hash of the whole window, so no hash is one owner's burden;
 3. owners build suffix arrays of bounded shards of the distinct pieces by Larsson-Sadakane refinement in
    numpy, take common prefixes by Kasai's method, and merge shards by binary search of their sorted
    window heads; each window gets the least doc_id in which it starts;
@@ -27,11 +29,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
-from .recompression import _blobs, _ids, _spread
+from .recompression import _blobs, _ids, _spread, owners_for, ranges
 from .words import covered, mix
 
 _U = np.uint64
 GRAM = 16
+#: A least hash is frequent if its distinct pieces, counted by chunk, are more than this and twice the chunks that hold it.
+FREQUENT = 1024
+#: Stretches of a text whose common prefixes are taken side by side, and the least bytes of each.
+STRANDS, STRETCH = 8192, 128
 
 
 def _loads(data: np.ndarray, order: str) -> np.ndarray:
@@ -56,7 +62,7 @@ class Bytes:
 
     def __init__(self, texts: list[bytes], window: int) -> None:
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-        self.size = int(sizes.sum())
+        self.size, self.window = int(sizes.sum()), window
         self.data = np.frombuffer(b"".join(texts) + bytes(window + 16), np.uint8)
         self.end = np.cumsum(sizes)
         self.begin = self.end - sizes
@@ -67,18 +73,34 @@ class Bytes:
         self.valid = np.cumsum(edges[:-1], dtype=np.int8) > 0
         self.minima = minima(self.data, window)[: self.size]
 
-    def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(start, length)`` of the longest runs of marked windows with one least hash."""
+    def runs(self, mask: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(start, length)`` of the longest runs of marked windows with one least hash; ``single`` windows are runs of their own."""
         on = np.concatenate(([False], mask, [False]))
         change = np.concatenate(([True], self.minima[1:] != self.minima[:-1], [True])) if len(mask) else np.array([True])
+        if single is not None and len(mask):
+            change[:-1] |= single
+            change[1:] |= single
         edge = np.flatnonzero((on[1:] != on[:-1]) | (on[1:] & change))
         start = edge[on[1:][edge]]
         stop = edge[np.searchsorted(edge, start) + 1] if len(start) else start
         return start, stop - start
 
-    def names(self, at: np.ndarray) -> np.ndarray:
-        """The least hashes at ``at``, spread evenly over 64 bits again (minima crowd near zero)."""
-        return mix(self.minima[at] ^ _U(0xA5A5A5A5A5A5A5A5))
+    def names(self, at: np.ndarray, single: np.ndarray | None = None) -> np.ndarray:
+        """The least hashes at ``at``, spread evenly over 64 bits again (minima crowd near zero); for ``single`` windows a hash of all their bytes."""
+        out = mix(self.minima[at] ^ _U(0xA5A5A5A5A5A5A5A5))
+        if single is not None:
+            own = single[at]
+            out[own] = self.hashes(at[own])
+        return out
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """A hash of the whole window at each place."""
+        eight = np.lib.stride_tricks.as_strided(self.data, (len(self.data) - 8, 8), (1, 1))
+        out = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in [*range(0, self.window - 8, 8), self.window - 8]:
+                out = mix(out * _U(0x9E3779B97F4A7C15) + np.ascontiguousarray(eight[at + k]).view("<u8")[:, 0])
+        return out
 
     def docs(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.end, at, side="right")
@@ -122,23 +144,35 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """Kasai's common prefix of each suffix in ``sa`` with the one before it, up to ``limit``.
+    """The common prefix of each suffix in ``sa`` with the one before it, up to ``limit``, by Kasai's method.
 
-    Kasai compares in text order, where the prefix shrinks by one a step at most. Here all suffixes
-    are compared at once, eight bytes a step, and those that agree go on.
+    In text order a prefix is at most one shorter than that of the suffix one byte before, so each comparison goes on where the last
+    one ended. That holds where the last prefix ended below the limit, to which ``sa`` is sorted; after others, among
+    which the order of ``sa`` is open, it starts anew. Stretches of the text are walked side by side, eight bytes a comparison.
     """
     n = len(text)
     eight = _loads(np.concatenate((text, np.zeros(limit + 16, np.uint8))), ">")
-    lcp, at = np.zeros(n, np.int64), np.arange(1, n)
-    for k in range(0, limit, 8):
-        a, b = np.minimum(sa[at] + k, n + limit - 1), np.minimum(sa[at - 1] + k, n + limit - 1)
-        x = eight[a] ^ eight[b]
-        equal = x == 0
-        part = at[~equal]
-        lcp[part] = k + (63 - np.floor(np.log2(np.maximum(x[~equal].astype(np.float64), 1))).astype(np.int64)) // 8
-        at = at[equal]
-        lcp[at] = k + 8
-    return np.minimum(np.minimum(lcp, limit), n - np.maximum(sa, np.concatenate(([n], sa[:-1]))))
+    before = np.full(n, n)
+    before[sa[1:]] = sa[:-1]
+    step = max(STRETCH, -(-n // STRANDS))
+    at = np.arange(0, n, step)
+    prefix, h = np.zeros(n, np.int64), np.zeros(len(at), np.int64)
+    for _ in range(min(step, n)):
+        other = before[at]
+        room = np.minimum(limit, n - np.maximum(at, other))
+        h = np.minimum(np.where(h < limit, np.maximum(h - 1, 0), 0), room)
+        go = np.flatnonzero(h < room)
+        while len(go):
+            x = eight[at[go] + h[go]] ^ eight[other[go] + h[go]]
+            same = x == 0
+            h[go] += np.where(same, 8, (63 - np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64)) // 8)
+            go = go[same & (h[go] < room[go])]
+        h = np.minimum(h, room)
+        prefix[at] = h
+        at = at + 1
+        if at[-1] >= n:  # the last stretch may be shorter
+            at, h = at[:-1], h[:-1]
+    return prefix[sa]
 
 
 def _heads(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -206,22 +240,23 @@ def least_documents(pieces: list[bytes], docs: np.ndarray, window: int, shard_by
     return out
 
 
-def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_bytes: int = 1 << 20, frequent_pieces: int = FREQUENT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it also starts in a document with a
     smaller doc_id; strings are judged on the input and never cross documents. Null texts are empty;
     texts shorter than ``window`` keep all; repeated rows of one doc_id do not remove each other; rows with
-    a null doc_id keep their bytes and remove none of others; other columns are ignored.
+    a null doc_id keep their bytes and remove none of others; other columns are ignored. Least hashes with more than
+    ``frequent_pieces`` distinct pieces are dealt by window.
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(size // chunk_bytes) + 1
-    owners = 4 * chunks
-    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod("_row", F.lit(chunks)))
-    found_ddl = "owner long, chunk long, bytes binary, sizes binary, doc binary"
+    owners = owners_for(size)
+    rows = rows.withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("chunk", F.pmod(F.xxhash64("_row", F.spark_partition_id()), F.lit(chunks)))
+    found_ddl = "owner long, chunk long, bytes binary, sizes binary, names binary, doc binary"
     found_schema = to_arrow_schema(T.StructType.fromDDL(found_ddl))
     out_ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out_schema = to_arrow_schema(T.StructType.fromDDL(out_ddl))
@@ -234,51 +269,59 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
             b.valid[b.begin[i] : b.end[i]] = False
         return part, b, rank
 
-    def keys(b):
-        start, _ = b.runs(b.valid)
-        return b.names(start), b.docs(start)
-
     def reveal(_, part):
         part, b, _ = read(part)
-        key, doc = keys(b)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+        start, length = b.runs(b.valid)
+        key, doc = b.names(start), b.docs(start)
+        with np.errstate(over="ignore"):
+            piece = mix(b.hashes(start) + mix(b.hashes(start + length - 1) + length.astype(np.uint64)))
+        order = np.lexsort((piece, key))
+        key, doc, piece = key[order], doc[order], piece[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)
-        several = np.logical_or.reduceat(np.concatenate(([False], ~new[1:] & (doc[1:] != doc[:-1]))), head) if len(key) else new
+        head, other = np.flatnonzero(new), new.copy()
+        other[1:] |= piece[1:] != piece[:-1]
+        if len(key):
+            many = np.minimum(np.add.reduceat(other.astype(np.int64), head), 255)
+            several = np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)
+        else:
+            many, several = doc, new
         key = key[new]
-        blobs = _blobs(_spread(key, owners), (key & _U(0xFFFFFFFF)).astype("<u4"), several, bits=1)
+        blobs = _blobs(_spread(key, owners), (key & _U(0xFFFFFFFF)).astype("<u4"), many.astype(np.uint8), several, bits=1)
         chunk = part.column("chunk")[0].as_py()
-        return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "names": pa.array([x[0] for _, x in blobs], pa.binary()), "several": pa.array([x[1] for _, x in blobs], pa.binary())})
+        return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), **{c: pa.array([x[i] for _, x in blobs], pa.binary()) for i, c in enumerate(("names", "many", "several"))}})
 
     def report(part):
         sent = [np.frombuffer(x, "<u4") for x in part.column("names").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(x)) for s, x in zip(part.column("several").to_pylist(), sent, strict=True)]).astype(bool)
+        pieces = np.frombuffer(b"".join(part.column("many").to_pylist()), np.uint8)
         low = np.concatenate(sent)
         order = np.argsort(low)
         head = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1])))
         many = np.diff(np.append(head, len(low)))
-        shared = np.empty(len(low), bool)
+        total = np.add.reduceat(pieces[order].astype(np.int64), head)
+        shared, frequent = np.empty(len(low), bool), np.empty(len(low), bool)
         shared[order] = np.repeat((many > 1) | np.logical_or.reduceat(several[order], head), many)
+        frequent[order] = np.repeat((total > frequent_pieces) & (total > 2 * many), many)
         ends = np.cumsum([len(x) for x in sent])
-        masks = [np.packbits(shared[e - len(x) : e]).tobytes() for x, e in zip(sent, ends, strict=True)]
-        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "mask": pa.array(masks, pa.binary())})
+        masks = {c: pa.array([np.packbits(m[e - len(x) : e]).tobytes() for x, e in zip(sent, ends, strict=True)], pa.binary()) for c, m in (("mask", shared), ("frequent", frequent))}
+        return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), **masks})
 
-    def shared_of(masks, key):
+    def marked(answers, key, mask):
+        """The chunk's own names, sorted as they were sent, that the owners' ``mask`` marks."""
         key = np.unique(key)
         owner = _spread(key, owners)
         out = [key[:0]]
-        for o, m in zip(masks.column("owner").to_pylist(), masks.column("mask").to_pylist(), strict=True):
+        for o, m in zip(answers.column("owner").to_pylist(), answers.column(mask).to_pylist(), strict=True):
             i, j = np.searchsorted(owner, [o, o + 1])
             out.append(key[i:j][np.unpackbits(np.frombuffer(m, np.uint8), count=j - i).astype(bool)])
         return np.concatenate(out)
 
-    def pieces_of(b, mask, rank):
-        """Distinct pieces in the order of their owners, the least rank of each, and each run's entry."""
-        start, length = b.runs(mask)
-        owner = _spread(b.names(start), owners)
-        order = np.argsort(owner, kind="stable")  # within an owner by place, so by rank
+    def pieces_of(b, mask, single, rank):
+        """Distinct pieces by name, their owners and names, the least rank of each, and each run's entry."""
+        start, length = b.runs(mask, single)
+        name = b.names(start, single)
+        order = np.argsort(name, kind="stable")  # within a name by place, so by rank
         raw, entry, seen, ids = b.data.tobytes(), np.empty(len(start), np.int64), {}, []
         who = rank[b.docs(start)]
         for i, s, n in zip(order.tolist(), start[order].tolist(), length[order].tolist(), strict=True):
@@ -289,7 +332,14 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
                 ids.append(i)
             entry[i] = at
         ids = np.array(ids, np.int64)
-        return list(seen), owner[ids], who[ids], start, length, entry
+        return list(seen), name[ids], who[ids], start, length, entry
+
+    def under(b, start, length):
+        """Which windows the runs hold."""
+        edges = np.zeros(b.size + 1, np.int32)
+        np.add.at(edges, start, 1)
+        np.add.at(edges, start + length, -1)
+        return np.cumsum(edges[:-1]) > 0
 
     def verify(_, left, right):
         if not left.num_rows:
@@ -297,43 +347,52 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         part, b, rank = read(left)
         start, length = b.runs(b.valid)
         names = b.names(start)
-        known = np.isin(names, shared_of(right, names))
-        edges = np.zeros(b.size + 1, np.int32)
-        np.add.at(edges, start[known], 1)
-        np.add.at(edges, start[known] + length[known], -1)
-        mask = np.cumsum(edges[:-1]) > 0
-        pieces, owner, who, *_ = pieces_of(b, mask, rank)
+        known, often = (np.isin(names, marked(right, names, c)) for c in ("mask", "frequent"))
+        mask, single = under(b, start[known], length[known]), under(b, start[often], length[often])
+        pieces, name, who, *_ = pieces_of(b, mask, single, rank)
+        owner = _spread(name, owners)
         sizes = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
         head = np.flatnonzero(np.diff(owner, prepend=-1))
         tail = np.append(head[1:], len(owner))[: len(head)]
-        rows = [(int(owner[i]), b"".join(pieces[i:j]), sizes[i:j].astype("<u4").tobytes(), who[i:j].astype("<i8").tobytes()) for i, j in zip(head.tolist(), tail.tolist(), strict=True)]
+        rows = [(int(owner[i]), b"".join(pieces[i:j]), sizes[i:j].astype("<u4").tobytes(), (name[i:j] >> _U(32)).astype("<u4").tobytes(), who[i:j].astype("<i8").tobytes()) for i, j in zip(head.tolist(), tail.tolist(), strict=True)]
         chunk = left.column("chunk")[0].as_py()
-        rows.append((-1 - chunk, None, None, np.packbits(mask).tobytes()))  # the chunk's own note to itself
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], schema=found_schema)
+        rows.append((-1 - chunk, None, None, np.packbits(single).tobytes(), np.packbits(mask).tobytes()))  # the chunk's own note to itself
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], schema=found_schema)
 
     def settle(part):
         owner = part.column("owner")
         if owner[0].as_py() < 0:
-            return pa.table({"chunk": part.column("chunk"), "owner": owner, "runs": pa.array([None] * len(part), pa.binary()), "doc": part.column("doc")})
-        seen, least, entries = {}, [], []
-        for raw, sizes, who in zip(part.column("bytes").to_pylist(), part.column("sizes").to_pylist(), part.column("doc").to_pylist(), strict=True):
-            at, mine = 0, []
-            for n, d in zip(np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(who, "<i8").tolist(), strict=True):
-                piece = raw[at : at + n]
-                at += n
-                k = seen.setdefault(piece, len(least))
-                if k == len(least):
-                    least.append(d)
-                elif d < least[k]:
-                    least[k] = d
-                mine.append(k)
-            entries.append(mine)
-        found = least_documents(list(seen), np.array(least, np.int64), window, shard_bytes)
+            return pa.table({"chunk": part.column("chunk"), "owner": owner, "runs": part.column("names"), "doc": part.column("doc")})
+        raws = part.column("bytes").to_pylist()
+        sizes, names, whos = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("sizes", "<u4"), ("names", "<u4"), ("doc", "<i8")))
+        ends = [np.cumsum(x.astype(np.int64)) for x in sizes]
+        parts = sum(map(len, raws)) // (2 * shard_bytes) + 1
+        cuts = ranges(names, parts)
+        found = [[] for _ in raws]
+        for p in range(parts):  # ranges of names of about two shards
+            seen, least, entries = {}, [], []
+            for raw, size, end, who, c in zip(raws, sizes, ends, whos, cuts, strict=True):
+                mine = []
+                i, j = c[p], c[p + 1]
+                for n, e, d in zip(size[i:j].tolist(), end[i:j].tolist(), who[i:j].tolist(), strict=True):
+                    piece = raw[e - n : e]
+                    k = seen.setdefault(piece, len(least))
+                    if k == len(least):
+                        least.append(d)
+                    elif d < least[k]:
+                        least[k] = d
+                    mine.append(k)
+                entries.append(mine)
+            if not seen:
+                continue
+            answer = least_documents(list(seen), np.array(least, np.int64), window, shard_bytes)
+            for out, mine in zip(found, entries, strict=True):
+                out += [answer[k] for k in mine]
         runs, docs_ = [], []
-        for mine in entries:
-            flat = np.concatenate([found[k] for k in mine])
+        for mine in found:
+            flat = np.concatenate(mine)
             cut = np.zeros(len(flat), bool)
-            cut[np.cumsum([0, *(len(found[k]) for k in mine[:-1])])] = True  # each piece starts a run
+            cut[np.cumsum([0, *(len(x) for x in mine[:-1])])] = True  # each piece starts a run
             cut[1:] |= flat[1:] != flat[:-1]
             head = np.flatnonzero(cut)
             runs.append(np.diff(np.append(head, len(flat))).astype("<u4").tobytes())
@@ -346,8 +405,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         part, b, rank = read(left)
         own = -1 - left.column("chunk")[0].as_py()
         answers = {o: (r, d) for o, r, d in zip(*(right.column(c).to_pylist() for c in ("owner", "runs", "doc")), strict=True)}
-        mask = np.unpackbits(np.frombuffer(answers.pop(own)[1], np.uint8), count=b.size).astype(bool)
-        pieces, _, _, start, length, entry = pieces_of(b, mask, rank)
+        single, mask = (np.unpackbits(np.frombuffer(x, np.uint8), count=b.size).astype(bool) for x in answers.pop(own))
+        pieces, _, _, start, length, entry = pieces_of(b, mask, single, rank)
         none = np.zeros(0, np.int64)
         many = np.concatenate([none, *(np.frombuffer(answers[o][0], "<u4") for o in sorted(answers))]).astype(np.int64)
         least = np.repeat(np.concatenate([none, *(np.frombuffer(answers[o][1], "<i8") for o in sorted(answers))]), many)
@@ -369,7 +428,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         return pa.table({"doc_id": part.column("doc_id"), "n_bytes": pa.array(b.end - b.begin, pa.int64()), "n_removed": pa.array(upto[b.end] - upto[b.begin], pa.int64()), "n_spans": pa.array(spans[b.end] - spans[b.begin], pa.int64()), "kept_sha256": pa.array(hashes, pa.string())})
 
     by_chunk = rows.groupBy("chunk")
-    masks = by_chunk.applyInArrow(reveal, "owner long, chunk long, names binary, several binary").groupBy("owner").applyInArrow(report, "chunk long, owner long, mask binary")
+    masks = by_chunk.applyInArrow(reveal, "owner long, chunk long, names binary, many binary, several binary").groupBy("owner").applyInArrow(report, "chunk long, owner long, mask binary, frequent binary")
     found = by_chunk.cogroup(masks.groupBy("chunk")).applyInArrow(verify, found_ddl)
     answers = found.groupBy("owner").applyInArrow(settle, "chunk long, owner long, runs binary, doc binary")
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, out_ddl)

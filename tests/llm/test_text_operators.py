@@ -91,12 +91,54 @@ def test_recompression_is_exact(spark, rows, chunk):
 
 
 @pytest.mark.parametrize("rows", [HARD, random_rows(3)], ids=["hard", "random"])
-@pytest.mark.parametrize("chunk, shard", [(300, 200), (1 << 20, 1 << 20)])
-def test_suffix_arrays_are_exact(spark, rows, chunk, shard):
-    got = suffixes.dedup(docs(spark, rows), chunk_bytes=chunk, shard_bytes=shard).collect()
+@pytest.mark.parametrize("chunk, shard, frequent", [(300, 200, 1024), (1 << 20, 1 << 20, 1024), (2000, 1 << 20, 3)])
+def test_suffix_arrays_are_exact(spark, rows, chunk, shard, frequent):
+    got = suffixes.dedup(docs(spark, rows), chunk_bytes=chunk, shard_bytes=shard, frequent_pieces=frequent).collect()
     assert sorted((tuple(r) for r in got), key=str) == bytes_removed(rows)
 
 
+def test_a_phrase_in_many_texts_is_no_owners_burden(spark, monkeypatch):
+    """A phrase too short to match on its own in 3,000 otherwise different texts, and a few real repeats around it: exact, and no name has many pieces."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    junk = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, junk(80) + "the very common line that opens all such texts" + junk(80)) for i in range(3000)]
+    rows += [(3000 + i, "x" + rows[7 * i][1][30:150] + "y") for i in range(50)]
+    got = suffixes.dedup(docs(spark, rows), chunk_bytes=1 << 16).collect()
+    assert sorted((tuple(r) for r in got), key=str) == bytes_removed(rows)
+    b = suffixes.Bytes([t.encode() for _, t in rows], 50)
+    start, length = b.runs(b.valid)
+    names, many = np.unique(b.names(start), return_counts=True)
+    hot = np.isin(b.names(start), names[many > suffixes.FREQUENT])
+    assert hot.any()
+    single = np.zeros(b.size, bool)
+    for s, n in zip(start[hot], length[hot]):
+        single[s : s + n] = True
+    assert np.unique(b.names(b.runs(b.valid, single)[0], single), return_counts=True)[1].max() <= suffixes.FREQUENT
+
+
+def test_rows_of_an_exchange_grow_with_the_input():
+    """A chunk of 4 MB meets OWNERS owners up to a GB, and always a row holds many names."""
+    assert recompression.owners_for(0) == recompression.owners_for(1 << 30) - 1 == recompression.OWNERS
+    size = 1 << 40
+    rows = size // (4 << 20) * recompression.owners_for(size)
+    assert rows < size / 20  # a name for 20 bytes of text
+
+
+def test_ranges_cover_all_names():
+    sent = [np.array([1, 5, 9], np.uint64), np.zeros(0, np.uint64), np.array([5, 2**64 - 1], np.uint64)]
+    for parts in (1, 2, 7):
+        cuts = recompression.ranges(sent, parts)
+        assert all(c[0] == 0 and c[-1] == len(x) and (np.diff(c) >= 0).all() and len(c) == parts + 1 for c, x in zip(cuts, sent))
+
+
+def test_equal_rows_are_dealt_to_several_chunks(spark):
+    rows = [(1, passage(40))] * 200 + [(2, passage(60))]
+    d = docs(spark, rows).repartition(8)
+    assert sorted(tuple(r) for r in recompression.dedup(d, chunk_bytes=2000).collect()) == words_removed(rows)
+    assert sorted(tuple(r) for r in suffixes.dedup(d, chunk_bytes=2000).collect()) == bytes_removed(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=13, max_size=60), st.integers(0, 12), st.integers(0, 12))
 def test_equal_windows_share_a_phrase(words, left, right):
@@ -130,15 +172,17 @@ def test_copies_of_periodic_passages_go(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=200), st.integers(1, 3))
-def test_suffix_array_sorts(data, alphabet):
-    text = np.frombuffer(bytes(b % alphabet for b in data), np.uint8)
+@given(st.binary(max_size=200), st.integers(1, 3), st.sampled_from([1, 3, 4]), st.sampled_from([1, 7, 128]))
+def test_suffix_array_sorts(data, alphabet, times, stretch):
+    suffixes.STRETCH = stretch
+    text = np.frombuffer((bytes(b % alphabet for b in data) + b"\x01") * times, np.uint8)
     if not len(text):
         return
     raw, sa = text.tobytes(), suffixes.suffix_array(text, 64)
     keys = [raw[i : i + 64] for i in sa]
     assert keys == sorted(keys)
     lcp = suffixes.common_prefixes(text, sa, 50)
+    suffixes.STRETCH = 128
     for i in range(1, len(sa)):
         a, b = raw[sa[i - 1] :], raw[sa[i] :]
         n = next((k for k in range(min(len(a), len(b), 50)) if a[k] != b[k]), min(len(a), len(b), 50))
