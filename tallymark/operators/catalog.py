@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.columns import luminance_sum, salted_hash
+from tallymark.operators.ranks import rank_by, running_sum
 from tallymark.operators.validate import first_over_limit
 
 PROVENANCES = ("orig", "facebook", "instagram", "telegram", "twitter", "whatsapp")
@@ -39,7 +40,8 @@ def select_top_hashed(ids: DataFrame, column: str, count: int, seed: int, salt:
 def seeded_order(df: DataFrame, keys: Sequence[str], column: str, seed: int, salt: str) -> DataFrame:
     """Adds ``position``, from 0, by a hash of salt, seed, group and id."""
     key = salted_hash(F.lit(salt), F.lit(seed), *[F.col(k) for k in keys], F.col(column))
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(key, column)) - 1)
+    # the hash is hexadecimal, so its first digits split a group evenly
+    return rank_by(df.withColumn("_key", key), keys, ["_key", column], F.substring("_key", 1, 2), "position").drop("_key")
 
 
 def catalog_order(df: DataFrame, provenances: Sequence[str] = PROVENANCES) -> DataFrame:
@@ -54,8 +56,7 @@ def native_view(catalog: DataFrame, original: str = "orig") -> DataFrame:
 
 def byte_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, limit: int) -> DataFrame:
     """The first row of each group at which the running total passes the limit (W7); groups within it have none."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return first_over_limit(df.withColumn("running_bytes", F.sum(size).over(w)), keys, order, "running_bytes", limit)
+    return first_over_limit(running_sum(df, keys, order, F.col(size), "running_bytes"), keys, order, "running_bytes", limit)
 
 
 def nearest_quality(df: DataFrame, column: str) -> DataFrame:

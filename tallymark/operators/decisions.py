@@ -31,14 +31,13 @@ def controlled_threads(df: DataFrame, controls: DataFrame) -> DataFrame:
     return joined.filter(F.col("requested_threads").eqNullSafe(F.col("_control"))).drop("_control")
 
 
-def _order(mean: str) -> list[Column]:
-    workers = F.when(F.coalesce("workers", F.lit(0)) == 0, -1).otherwise(F.col("workers"))
-    return [F.desc(mean), configuration_label(F.col("decoder"), F.col("requested_threads")), workers]
-
-
 def best(df: DataFrame, keys: Sequence[str], mean: str = "mean") -> DataFrame:
     """The configuration with the largest mean of each group; ties by label, then workers, where none counts as -1."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(mean)))).filter("_r = 1").drop("_r")
+    workers = F.when(F.coalesce("workers", F.lit(0)) == 0, -1).otherwise(F.col("workers"))
+    order = F.struct(F.col(mean).isNull(), -F.col(mean), configuration_label(F.col("decoder"), F.col("requested_threads")), workers)
+    rest = [c for c in df.columns if c not in keys]
+    # an aggregate, unlike a window, leaves one row a group of each task before the shuffle
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*[c if c in keys else F.col(f"_b.{c}").alias(c) for c in df.columns])
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -104,17 +103,23 @@ def boundary_peaks(agg: DataFrame, grid: Sequence[int]) -> DataFrame:
 def followup_candidates(blocks: DataFrame, cells: DataFrame, grid: Sequence[int], high: int = 12, low: int = 8, minimum_gain: float = 0.05) -> DataFrame:
     """Of ``cells(workload, machine_type, decoder)`` those worth another worker level.
 
-    ``blocks``: per-repetition values ``v`` of the loader. A cell qualifies if its curve has all of ``grid``, its mean
-    at ``high`` workers gains ``minimum_gain`` on ``low`` and no paired block loses. Cells without blocks stay, unselected.
+    ``blocks``: per-repetition values ``v`` of the loader. A curve is complete if each of its repetitions has all of ``grid``, so that
+    every block at ``high`` workers has its pair at ``low``. A cell qualifies if its curve is complete, its mean
+    at ``high`` gains ``minimum_gain`` on ``low`` and no paired block loses. Cells without blocks stay, unselected.
     """
     keys = [*CELL, "decoder"]
     loader = blocks.filter("protocol = 'loader-supply'")
-    per = loader.groupBy(*keys, "repetition").agg(F.max(F.when(F.col("workers") == high, F.col("v"))).alias("_h"), F.max(F.when(F.col("workers") == low, F.col("v"))).alias("_l"), F.collect_set("workers").alias("_w"))
-    cell = per.groupBy(*keys).agg((F.try_divide(F.avg("_h"), F.avg("_l")) - 1).alias("_gain"), F.min(F.try_divide(F.col("_h"), F.col("_l"))).alias("_least"), F.size(F.array_distinct(F.flatten(F.collect_list("_w")))).alias("_points"))
+    per = loader.groupBy(*keys, "repetition").agg(F.max(F.when(F.col("workers") == high, F.col("v"))).alias("_h"), F.max(F.when(F.col("workers") == low, F.col("v"))).alias("_l"), F.count_distinct(F.when(F.col("workers").isin(*grid), F.col("workers"))).alias("_points"))
+    cell = per.groupBy(*keys).agg((F.try_divide(F.avg("_h"), F.avg("_l")) - 1).alias("_gain"), F.min(F.try_divide(F.col("_h"), F.col("_l"))).alias("_least"), F.min("_points").alias("_points"), F.count("*").alias("_blocks"))
     out = cells.join(cell, keys, "left")
     full = F.coalesce(F.col("_points") == len(set(grid)), F.lit(False))
     chosen = F.coalesce(full & (F.col("_gain") >= minimum_gain) & (F.col("_least") >= 1), F.lit(False))
-    return out.select(*keys, rounded(F.col("_gain") * 100).alias("gain_percent"), rounded(F.col("_least")).alias("minimum_ratio"), full.alias("complete"), chosen.alias("selected"))
+    return out.select(*keys, rounded(F.col("_gain") * 100).alias("gain_percent"), rounded(F.col("_least")).alias("minimum_ratio"), F.coalesce("_blocks", F.lit(0).cast("long")).alias("blocks"), full.alias("complete"), chosen.alias("selected"))
+
+
+def followup_totals(candidates: DataFrame) -> DataFrame:
+    """How many cells were selected, and how many runs launching them takes, one a block."""
+    return candidates.agg(F.count_if("selected").alias("candidate_count"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("blocks"))), F.lit(0).cast("long")).alias("bundle_count_if_launched"))
 
 
 def decision_rows(agg: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.columns import STATISTICS, finite_positive, throughput
+from tallymark.operators.ranks import running_sum
 from tallymark.operators.validate import violation
 
 #: Decimals of aggregates over several rows, whose last bits depend on the order of summation.
@@ -101,8 +102,20 @@ def aggregate_measurements(measurements: DataFrame, keys: Sequence[str], repetit
 def distribution_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Minimum, 10 %, median, 90 % and maximum of each column by linear interpolation at (n - 1) p (A7), one row a column."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select(*keys, "m.*").filter("v is not null")
-    out = long.groupBy(*keys, "metric").agg(F.min("v").alias("minimum"), F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.max("v").alias("maximum"))
-    return out.select(*keys, "metric", "minimum", *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate(("q10", "median", "q90"))], "maximum")
+    # distinct values with their counts, and how many rows there are up to each: no group's values are held in one place
+    by = [*keys, "metric"]
+    placed = running_sum(long.groupBy(*by, "v").agg(F.count("*").alias("n")), by, ["v"], F.col("n"), "upto")
+    whole = long.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.count("*").alias("rows"), F.min("v").alias("minimum"), F.max("v").alias("maximum"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    points = {"q10": 0.1, "median": 0.5, "q90": 0.9}
+    at = {n: (F.col("rows") - 1) * p for n, p in points.items()}
+    # the value at a rank is the least one up to which there are more rows than that
+    ends = [F.min(F.when(F.col("upto") > edge(x), F.col("v"))).alias(f"{n}_{side}") for n, x in at.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))]
+    out = placed.join(whole, same).groupBy(*by, "rows", "minimum", "maximum").agg(*ends)
+    between = lambda n: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (at[n] - F.floor(at[n]))
+    return out.select(*by, "minimum", *[rounded(between(n)).alias(n) for n in points], "maximum")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -110,10 +123,15 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return df.groupBy(*keys, column).agg(F.count("*").alias("n"))
 
 
-def byte_totals(items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Item count, bytes, and the largest decoded size, where a missing side counts 0."""
+def byte_totals(items: DataFrame, keys: Sequence[str], distinct: Sequence[str] = ()) -> DataFrame:
+    """Item count, bytes, and the largest decoded size, where a missing side counts 0.
+
+    ``distinct``: columns, such as provenance and scene, whose different values are counted as ``distinct_<column>``.
+    """
     side = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return items.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("compressed_bytes").alias("total_bytes"), F.max(side("width") * side("height") * 3).alias("max_decoded_bytes"))
+    return items.groupBy(*keys).agg(
+        F.count("*").alias("items"), F.sum("compressed_bytes").alias("total_bytes"), F.max(side("width") * side("height") * 3).alias("max_decoded_bytes"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct]
+    )
 
 
 def phase_durations(events: DataFrame, phases: Sequence[str]) -> DataFrame:
@@ -124,8 +142,11 @@ def phase_durations(events: DataFrame, phases: Sequence[str]) -> DataFrame:
 
 def ecdf(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str]) -> DataFrame:
     """Adds ``fraction``: position / n in ascending order, so ties make several steps."""
-    by = Window.partitionBy(*keys)
-    return df.withColumn("fraction", F.row_number().over(by.orderBy(value, *tie)) / F.count("*").over(by))
+    total = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_total"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return running_sum(df, keys, [value, *tie], F.lit(1).cast("long"), "_place").join(total, same).withColumn("fraction", F.col("_place") / F.col("_total")).drop("_place", "_total", *[f"_{k}" for k in keys])
 
 
 def relative_to_first(per_block: DataFrame, cell: Sequence[str], point: str = "workers", block: str = "repetition", value: str = "v") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.digests import set_digest
 from tallymark.operators.metrics import distribution_quantiles
 
 
@@ -34,16 +35,37 @@ def workload_quantiles(timed: DataFrame, metrics: Sequence[str], workload: str =
     return distribution_quantiles(timed, [workload], metrics)
 
 
+def profile_histograms(timed: DataFrame, columns: Sequence[str], workload: str = "workload_id") -> DataFrame:
+    """``workload, metric, value, n``: how timed items spread over each column's values, such as provenance and quality."""
+    long = timed.select(workload, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in columns])).alias("m")).select(workload, "m.*")
+    return long.groupBy(workload, "metric", "value").agg(F.count("*").alias("n"))
+
+
+def excluded_histograms(workloads: DataFrame, excluded: DataFrame, columns: Sequence[str], workload: str = "workload_id") -> DataFrame:
+    """How excluded items spread over each column's values (A9); a workload without any keeps one row a column with a null value and 0."""
+    base = workloads.select(workload).distinct().withColumn("metric", F.explode(F.array(*[F.lit(c) for c in columns])))
+    return base.join(profile_histograms(excluded, columns, workload), [workload, "metric"], "left").na.fill(0, ["n"])
+
+
 def excluded_profile(workloads: DataFrame, excluded: DataFrame, column: str, workload: str = "workload_id") -> DataFrame:
     """How excluded items spread over a column's values (A9); a workload without any keeps one row with a null value and 0."""
     counts = excluded.groupBy(workload, column).agg(F.count("*").alias("n"), F.count_if("progressive").alias("progressive"))
     return workloads.select(workload).distinct().join(counts, workload, "left").na.fill(0, ["n", "progressive"])
 
 
-def coverage(runs: DataFrame, failures: DataFrame, workload: str = "workload_id") -> DataFrame:
-    """Runs of each workload, and those with any failure."""
+def coverage(runs: DataFrame, failures: DataFrame, workload: str = "workload_id", repetition: str | None = None, items: DataFrame | None = None, timed: DataFrame | None = None) -> DataFrame:
+    """Runs of each workload, and those with any failure.
+
+    With ``repetition`` also how many different ones there are; with ``items`` and ``timed`` (rows by workload) how many items each
+    workload's manifest has and how many of them are timed.
+    """
     failed = failures.select("run_key").distinct().withColumn("_failed", F.lit(True))
-    return runs.join(failed, "run_key", "left").groupBy(workload).agg(F.count("*").alias("runs"), F.count_if(F.col("_failed").isNotNull()).alias("runs_with_failures"))
+    more = [F.count_distinct(repetition).alias("repetitions")] if repetition else []
+    out = runs.join(failed, "run_key", "left").groupBy(workload).agg(F.count("*").alias("runs"), F.count_if(F.col("_failed").isNotNull()).alias("runs_with_failures"), *more)
+    for name, rows in (("manifest_items", items), ("timed_items", timed)):
+        if rows is not None:
+            out = out.join(rows.groupBy(workload).agg(F.count("*").alias(name)), workload, "left").na.fill(0, [name])
+    return out
 
 
 def versions_consistent(distributions: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,5 +77,5 @@ def versions_consistent(distributions: DataFrame, wanted: DataFrame) -> DataFram
 
 def same_population(df: DataFrame, group: str, run: str, item: str) -> DataFrame:
     """Groups whose runs do not all have the same item set, and how many sets there are (U4)."""
-    sets = df.select(group, run, item).distinct().groupBy(group, run).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.col(item).cast("string")))), 256).alias("_set"))
+    sets = df.select(group, run, item).distinct().groupBy(group, run).agg(set_digest(F.col(item).cast("string")).alias("_set"))
     return sets.groupBy(group).agg(F.count_distinct("_set").alias("populations"), F.count("*").alias("runs"))

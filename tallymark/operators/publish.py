@@ -45,17 +45,28 @@ def publication_order(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     return groups.orderBy(*[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
 
 
+def _in_ranges(hashed: DataFrame, order: Sequence[str], name: str, count: str) -> DataFrame:
+    """One row: a digest of ``h`` by ``order`` within 4,096 ranges of a hash of the order, then over the ranges' digests.
+
+    So a task gathers a range's hashes and the last one 4,096 digests.
+    """
+    ranged = hashed.withColumn("_b", F.substring(F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in order]), 256), 1, 3))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda r: r["h"])
+    blocks = ranged.groupBy("_b").agg(F.sha2(F.concat_ws("\n", lines), 256).alias("h"), F.count("*").alias("n"))
+    tops = F.transform(F.array_sort(F.collect_list(F.struct("_b", "h"))), lambda r: r["h"])
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias(count), F.sha2(F.concat_ws("\n", tops), 256).alias(name))
+
+
 def output_digest(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row: how many rows, and a digest of their hashes in order (part of K3)."""
     h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    rows = F.array_sort(F.collect_list(F.struct(*order, h.alias("_h"))))
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("\n", F.transform(rows, lambda r: r["_h"])), 256).alias("output_digest"))
+    return _in_ranges(df.select(*order, h.alias("h")), order, "output_digest", "rows")
 
 
 def provenance(runs: DataFrame, results: DataFrame, filters: Mapping[str, object], revision: str) -> DataFrame:
     """The one-row sidecar of a publication (K3)."""
-    keys = F.concat_ws("\n", F.array_sort(F.collect_list(F.col("run_key").cast("string"))))
-    side = runs.agg(F.sha2(keys, 256).alias("run_keys_digest"), F.count("*").alias("runs"))
+    key = F.col("run_key").cast("string")
+    side = _in_ranges(runs.select(key.alias("run_key"), key.alias("h")), ["run_key"], "run_keys_digest", "runs")
     out = side.crossJoin(output_digest(results, ["run_key"])).withColumn("filters", F.lit(repr(sorted(filters.items())))).withColumn("revision", F.lit(revision))
     return out.withColumn("publication_id", F.sha2(F.concat_ws("\n", "run_keys_digest", "output_digest", "filters", "revision"), 256))
 

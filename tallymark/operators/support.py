@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.columns import process_context, start_method_of_context
 from tallymark.functions.digests import row_digest
 from tallymark.operators.decisions import null_safe
+from tallymark.operators.ranks import rank_by
 
 OUTCOMES = "item_id string, name string, ok boolean, failure_type string, message string"
 
@@ -58,8 +59,7 @@ def support_intersection(audits: DataFrame, audit: str, item: str, keys: Sequenc
 def ordered_support(support: DataFrame, selection: DataFrame, item: str, keys: Sequence[str] = ()) -> DataFrame:
     """A support set in the order of ``selection(item, ordinal)``, numbered anew."""
     joined = support.join(selection.select(item, "ordinal"), item)
-    w = Window.partitionBy(*keys).orderBy("ordinal")
-    return joined.select(*keys, item, (F.row_number().over(w) - 1).alias("ordinal"))
+    return rank_by(joined, keys, ["ordinal", item], F.expr("ordinal div 65536"), "_place").select(*keys, item, F.col("_place").alias("ordinal"))
 
 
 def operational_support(audits: DataFrame, audit: str, item: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.columns import finite_positive, is_digest, is_revision, process_context, start_method_of_context, unsafe_path
+from tallymark.functions.columns import finite_positive, is_digest, is_revision, process_context, unsafe_path
 
 
 class EvidenceError(ValueError):
@@ -74,19 +74,34 @@ def config_rules(configs: DataFrame, key: str = "config_id") -> DataFrame:
 
 
 def identity_rules(runs: DataFrame) -> DataFrame:
-    """Digest formats and context of committed runs."""
+    """Digest formats, context and item counts of committed runs.
+
+    ``runs``: run_key, runner_revision, environment_revision, protocol_id, num_workers, start_method, logical_repeat_factor, ordered_item_ids,
+    support_process_context, support_start_method, items_processed, and of the summary num_unique_images, summary_repeat_factor, logical_decodes_per_pass.
+    """
     c = F.col
+    items, decodes = F.size("ordered_item_ids"), F.size("ordered_item_ids") * c("logical_repeat_factor")
     return rule_rows(runs, ["run_key"], {
         "run-key-not-a-digest": ~is_digest(c("run_key")),
         "revision-malformed": ~is_revision(c("runner_revision")),
+        "revision-mismatch": ~c("environment_revision").eqNullSafe(c("runner_revision")),
         "context-mismatch": ~c("support_process_context").eqNullSafe(process_context(c("protocol_id"), c("num_workers"))),
-        "start-method-mismatch": ~c("support_start_method").eqNullSafe(start_method_of_context(c("protocol_id"), c("num_workers"), c("start_method"))),
-        "items-processed-mismatch": c("items_processed") != F.size("ordered_item_ids") * c("logical_repeat_factor"),
-        "no-items": F.size("ordered_item_ids") <= 0,
-        "repeated-items": F.size("ordered_item_ids") != F.size(F.array_distinct("ordered_item_ids")),
+        "start-method-mismatch": ~c("support_start_method").eqNullSafe(c("start_method")),
+        "items-processed-mismatch": c("items_processed") != decodes,
+        "unique-images-mismatch": ~c("num_unique_images").eqNullSafe(items.cast("long")),
+        "repeat-factor-mismatch": ~c("summary_repeat_factor").eqNullSafe(c("logical_repeat_factor")),
+        "decodes-mismatch": ~c("logical_decodes_per_pass").eqNullSafe(decodes.cast("long")),
+        "no-items": items <= 0,
+        "repeated-items": items != F.size(F.array_distinct("ordered_item_ids")),
     })
 
 
+def dataset_rules(runs: DataFrame) -> DataFrame:
+    """Fields that a run's configuration and dataset documents both name and must agree on (V4); ``runs`` as structs ``config`` and ``dataset``."""
+    fields = ("manifest_id", "package_id", "selection_id", "support_policy")
+    return rule_rows(runs, ["run_key"], {f"{f.replace('_', '-')}-mismatch": ~F.col(f"config.{f}").eqNullSafe(F.col(f"dataset.{f}")) for f in fields})
+
+
 def file_sets(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Missing and extra files."""
     missing = violation(expected.select(*keys).exceptAll(found.select(*keys)), keys, "missing")
@@ -94,18 +109,39 @@ def file_sets(expected: DataFrame, found: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def payload_rules(listed: DataFrame, files: DataFrame) -> DataFrame:
-    """Listed ``path, size, sha256`` against the bytes of ``files(path, content)``."""
+    """Listed ``path, bytes, sha256`` against the content of ``files(path, content)``."""
     seen = files.select("path", F.length("content").cast("long").alias("_size"), F.sha2("content", 256).alias("_sha"))
     joined = listed.join(seen, "path", "left")
-    return rule_rows(joined, ["path"], {"file-missing": F.col("_size").isNull(), "size-mismatch": F.col("size") != F.col("_size"), "digest-mismatch": F.col("sha256") != F.col("_sha")})
+    return rule_rows(joined, ["path"], {"file-missing": F.col("_size").isNull(), "size-mismatch": F.col("bytes") != F.col("_size"), "digest-mismatch": F.col("sha256") != F.col("_sha")})
+
+
+#: Fields of a stored statistic beside its count.
+FIELDS = ("mean", "median", "minimum", "maximum", "sample_std", "coefficient_of_variation")
+
+
+def summary_recheck(again: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Stored statistics of runs against those of their samples (V3).
+
+    Both have ``run_key, statistic, n`` and FIELDS; ``again`` comes from the samples. A null must meet a null, and numbers
+    may differ by ``tolerance`` of the larger, or by half of the sixth decimal, to which ``again`` is rounded.
+    """
+    names = ["n", *FIELDS]
+    right = stored.select("run_key", "statistic", F.lit(True).alias("_stored"), *[F.col(c).alias(f"_{c}") for c in names])
+    joined = again.withColumn("_again", F.lit(True)).join(right, ["run_key", "statistic"], "full_outer")
+    both = F.col("_again").isNotNull() & F.col("_stored").isNotNull()
+
+    def off(c: str) -> Column:
+        x, y = F.col(c), F.col(f"_{c}")
+        apart = F.abs(x - y) > F.greatest(F.lit(5e-7), tolerance * F.greatest(F.abs(x), F.abs(y)))
+        return both & ((x.isNull() != y.isNull()) | F.coalesce(apart, F.lit(False)))
+
+    rules = {"no-samples": F.col("_again").isNull(), "no-summary": F.col("_stored").isNull(), "count-mismatch": both & ~F.col("n").eqNullSafe(F.col("_n"))}
+    return rule_rows(joined, ["run_key", "statistic"], rules | {f"{c.replace('_', '-')}-mismatch": off(c) for c in FIELDS})
 
 
-def summary_recheck(samples: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Stored mean of elapsed seconds and sample count against the samples (V3)."""
-    again = samples.groupBy("run_key").agg(F.avg("elapsed_seconds").alias("_mean"), F.count("*").alias("_n"))
-    joined = stored.join(again, "run_key", "full_outer")
-    off = F.abs(F.col("mean") - F.col("_mean")) > tolerance * F.abs(F.col("_mean"))
-    return rule_rows(joined, ["run_key"], {"no-samples": F.col("_n").isNull(), "no-summary": F.col("n").isNull(), "count-mismatch": F.col("n") != F.col("_n"), "mean-mismatch": off})
+def committed_failures(failures: DataFrame) -> DataFrame:
+    """A committed run has no timed failures (V3)."""
+    return violation(failures.groupBy("run_key").agg(F.count("*").alias("n")), ["run_key"], "timed-failures", F.col("n"))
 
 
 def required_events(events: DataFrame, required: Sequence[str], key: str = "run_key") -> DataFrame:
@@ -164,5 +200,6 @@ def all_values_valid(df: DataFrame, columns: Sequence[str], keys: Sequence[str])
 
 def first_over_limit(df: DataFrame, keys: Sequence[str], order: Sequence[str], running: str, limit: int) -> DataFrame:
     """The first row of each group whose running total exceeds ``limit``."""
-    over = df.filter(F.col(running) > limit)
-    return over.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.filter(F.col(running) > limit).groupBy(*keys).agg(first.alias("_f")).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in rest]).select(*df.columns)

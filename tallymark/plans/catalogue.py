@@ -144,16 +144,17 @@ def value_counts(spark, d):
     return metrics.value_counts(view(spark, d, "f_measurements"), ["workload"], "workers")
 
 
-@query("select workload_id, count(*) as items, sum(compressed_bytes)::bigint as total_bytes, max(coalesce(width, 0) * coalesce(height, 0) * 3)::bigint as max_decoded_bytes from f_items group by all")
+@query("select workload_id, count(*) as items, sum(compressed_bytes)::bigint as total_bytes, max(coalesce(width, 0) * coalesce(height, 0) * 3)::bigint as max_decoded_bytes, count(distinct components) as distinct_components, count(distinct luma_sum) as distinct_luma_sum from f_items group by all")
 def byte_totals(spark, d):
-    return metrics.byte_totals(view(spark, d, "f_items"), ["workload_id"])
+    return metrics.byte_totals(view(spark, d, "f_items"), ["workload_id"], ["components", "luma_sum"])
 
 
-@query("""with b as (select * from f_measurements where protocol = 'loader-supply' and decoder = 'dec-03')
-select workload, machine_type, images_per_second, repetition, round(row_number() over (partition by workload, machine_type order by images_per_second, repetition) / count(*) over (partition by workload, machine_type), 9) as fraction from b""")
+@query("""select workload, machine_type, protocol, decoder, images_per_second, repetition,
+  round(row_number() over (partition by workload, machine_type, protocol, decoder order by images_per_second, repetition) / count(*) over (partition by workload, machine_type, protocol, decoder), 9) as fraction from f_measurements""")
 def ecdf(spark, d):
-    m = view(spark, d, "f_measurements").filter("protocol = 'loader-supply' and decoder = 'dec-03'").select("workload", "machine_type", "images_per_second", "repetition")
-    return metrics.ecdf(m, ["workload", "machine_type"], "images_per_second", ["repetition"]).withColumn("fraction", F.round("fraction", 9))
+    keys = ["workload", "machine_type", "protocol", "decoder"]
+    m = view(spark, d, "f_measurements").select(*keys, "images_per_second", "repetition")
+    return metrics.ecdf(m, keys, "images_per_second", ["repetition"]).withColumn("fraction", F.round("fraction", 9))
 
 
 @query(f"""with {CONTROLLED}, f as (select *, first_value(v) over (partition by workload, machine_type, decoder, repetition order by workers) as base from blocks where protocol = 'loader-supply' and workers is not null)
@@ -265,19 +266,31 @@ def peak_workers(spark, d):
 
 
 @query(f"""with {CONTROLLED}, c as (select distinct workload, machine_type, decoder from f_measurements),
-p as (select workload, machine_type, decoder, repetition, max(v) filter (where workers = 12) as h, max(v) filter (where workers = 8) as l from blocks where protocol = 'loader-supply' group by all),
-n as (select workload, machine_type, decoder, count(distinct workers) as points from blocks where protocol = 'loader-supply' group by all),
-s as (select workload, machine_type, decoder, avg(h) / avg(l) - 1 as gain, min(h / l) as least from p group by all)
-select workload, machine_type, decoder, round(gain * 100, 6) as gain_percent, round(least, 6) as minimum_ratio, coalesce(points = 5, false) as complete, coalesce(points = 5 and gain >= 0.05 and least >= 1, false) as selected
-from c left join s using (workload, machine_type, decoder) left join n using (workload, machine_type, decoder)""")
+p as (select workload, machine_type, decoder, repetition, max(v) filter (where workers = 12) as h, max(v) filter (where workers = 8) as l, count(distinct workers) as points from blocks where protocol = 'loader-supply' group by all),
+s as (select workload, machine_type, decoder, avg(h) / avg(l) - 1 as gain, min(h / l) as least, min(points) as points, count(*) as blocks from p group by all)
+select workload, machine_type, decoder, round(gain * 100, 6) as gain_percent, round(least, 6) as minimum_ratio, coalesce(blocks, 0) as blocks, coalesce(points = 5, false) as complete, coalesce(points = 5 and gain >= 0.05 and least >= 1, false) as selected
+from c left join s using (workload, machine_type, decoder)""")
 def followup_candidates(spark, d):
     b = controlled_blocks(spark, d)
     return decisions.followup_candidates(b, view(spark, d, "f_measurements").select("workload", "machine_type", "decoder").distinct(), GRID)
 
 
-@query(f"with {CONTROLLED}, {PEAK} select workload, machine_type, decoder, workers, mean from peak where workers = 12")
+@query(f"""with {CONTROLLED}, peak as (select * from agg where protocol = 'loader-supply' and workers in (0, 2) qualify row_number() over (partition by workload, machine_type, decoder {BEST}) = 1)
+select workload, machine_type, decoder, workers, mean from peak where workers = 2""")
 def boundary_peaks(spark, d):
-    return decisions.boundary_peaks(cells(controlled_blocks(spark, d)), GRID)
+    """Over the grid of no and two workers, where many curves still rise."""
+    return decisions.boundary_peaks(cells(controlled_blocks(spark, d)), GRID[:2])
+
+
+@query(f"""with {CONTROLLED}, c as (select distinct workload, machine_type, decoder from f_measurements),
+p as (select workload, machine_type, decoder, repetition, max(v) filter (where workers = 2) as h, max(v) filter (where workers = 0) as l, count(distinct workers) filter (where workers in (0, 2)) as points from blocks where protocol = 'loader-supply' group by all),
+s as (select workload, machine_type, decoder, avg(h) / avg(l) - 1 as gain, min(h / l) as least, min(points) as points, count(*) as blocks from p group by all)
+select count(*) filter (where gain >= 0.05 and least >= 1 and points = 2) as candidate_count, coalesce(sum(blocks) filter (where gain >= 0.05 and least >= 1 and points = 2), 0)::bigint as bundle_count_if_launched
+from c left join s using (workload, machine_type, decoder)""")
+def followup_totals(spark, d):
+    b = controlled_blocks(spark, d)
+    c = view(spark, d, "f_measurements").select("workload", "machine_type", "decoder").distinct()
+    return decisions.followup_totals(decisions.followup_candidates(b, c, GRID[:2], high=2, low=0))
 
 
 @query("with c as (select m.* from f_measurements m left join (values ('dec-05', 1), ('dec-07', 1), ('dec-10', 1)) c(decoder, t) on m.decoder = c.decoder where m.requested_threads is not distinct from c.t) select decoder, requested_threads, count(*) as n from c group by all")
@@ -406,10 +419,11 @@ CONFIGS = """configs as (select distinct config_id, protocol_id, num_workers::in
 ctx as (select *, case when protocol_id = 'loader-supply' and coalesce(num_workers, 0) > 0 then 'dataloader' else 'main-process' end as process_context from configs)"""
 
 
-@query(f"with {CONFIGS} select decoder, process_context, case when process_context = 'dataloader' then start_method end as context_start_method, count(*) as configs from ctx group by all")
+@query(f"""with {CONFIGS}, k as (select decoder, process_context, case when process_context = 'dataloader' then start_method end as context_start_method, count(*) as configs from ctx group by all)
+select *, sha256(json_object('context_start_method', context_start_method, 'decoder_id', decoder, 'process_context', process_context, 'requested_threads', null)::varchar) as audit_key from k""")
 def audit_keys(spark, d):
     c = support.audit_keys(run_configs(spark, d).withColumns({"decoder_id": F.col("decoder"), "requested_threads": F.lit(None).cast("int")}))
-    return c.groupBy("audit_key", "decoder", "process_context", "context_start_method").agg(F.count("*").alias("configs")).drop("audit_key")
+    return c.groupBy("audit_key", "decoder", "process_context", "context_start_method").agg(F.count("*").alias("configs"))
 
 
 @query(f"""with {CONFIGS}, p as (select *, case when config_id % 2 = 0 then 'common' else 'operational' end as support_policy from ctx), k as (select distinct decoder, process_context from p where support_policy = 'common'),
@@ -502,11 +516,11 @@ def group_filter(spark, d):
     return matrix.group_filter(m, capabilities, "core").groupBy("decoder").agg(F.count("*").alias("n"))
 
 
-@query("""with i as (select distinct 'dec-' || lpad((p_partkey % 12)::varchar, 2, '0') as decoder, p_brand || case when p_partkey % 5 = 0 then '_x' else '' end as package from part where p_partkey <= 60),
+@query("""with i as (select distinct 'dec-' || lpad((p_partkey % 12)::varchar, 2, '0') as decoder, p_brand || case when p_partkey % 5 = 0 then '_x' else '' end as package from part),
 e as (select distinct environment_id from f_distributions), h as (select distinct environment_id, name from f_distributions)
 select environment_id, decoder, package from e, i where not exists (select 1 from h where h.environment_id = e.environment_id and h.name = regexp_replace(lower(i.package), '[_.]', '-', 'g'))""")
 def package_coverage(spark, d):
-    p = read(spark, d, "part").filter("p_partkey <= 60")
+    p = read(spark, d, "part")
     implementations = p.select(F.concat(F.lit("dec-"), F.lpad((F.col("p_partkey") % 12).cast("string"), 2, "0")).alias("decoder"), F.concat("p_brand", F.when(F.col("p_partkey") % 5 == 0, "_x").otherwise("")).alias("package")).distinct()
     return matrix.package_coverage(implementations, view(spark, d, "f_distributions"))
 
@@ -566,9 +580,26 @@ def excluded_profile(spark, d):
     return profiles.excluded_profile(view(spark, d, "f_items"), _split(spark, d)[1], "subsampling")
 
 
-@query("select workload_id, count(*) as runs, count(*) filter (where run_key in (select run_key from f_samples where elapsed_seconds >= 4.9)) as runs_with_failures from f_runs group by all")
+@query(f"""with {TIMED}, x as (select workload_id, subsampling, progressive from excluded), w as (select distinct workload_id from f_items),
+c as (select workload_id, 'subsampling' as metric, subsampling as value, count(*) as n from x group by all union all select workload_id, 'progressive', progressive::varchar, count(*) from x group by all)
+select workload_id, metric, value, coalesce(n, 0) as n from (select workload_id, unnest(['subsampling', 'progressive']) as metric from w) left join c using (workload_id, metric)""")
+def excluded_histograms(spark, d):
+    return profiles.excluded_histograms(view(spark, d, "f_items"), _split(spark, d)[1], ["subsampling", "progressive"])
+
+
+@query(f"""with {TIMED} select workload_id, 'subsampling' as metric, subsampling as value, count(*) as n from timed group by all union all select workload_id, 'components', components::varchar, count(*) from timed group by all""")
+def profile_histograms(spark, d):
+    return profiles.profile_histograms(_split(spark, d)[0], ["subsampling", "components"])
+
+
+@query("""with r as (select *, run_key % 5 as repetition, case when workload_id = 'native' then 'en' else 'de' end as items_of from f_runs),
+i as (select workload_id as items_of, count(*) as n, count(*) filter (where doc_id % 3 <> 0) as t from f_items group by all)
+select items_of as workload_id, count(*) as runs, count(*) filter (where run_key in (select run_key from f_samples where elapsed_seconds >= 4.9)) as runs_with_failures, count(distinct repetition) as repetitions,
+  coalesce(any_value(n), 0) as manifest_items, coalesce(any_value(t), 0) as timed_items from r left join i using (items_of) group by all""")
 def coverage(spark, d):
-    return profiles.coverage(view(spark, d, "f_runs"), view(spark, d, "f_samples").filter("elapsed_seconds >= 4.9"))
+    r = view(spark, d, "f_runs").withColumn("repetition", F.col("run_key") % 5).withColumn("workload_id", F.when(F.col("workload_id") == "native", "en").otherwise("de"))
+    i = view(spark, d, "f_items")
+    return profiles.coverage(r, view(spark, d, "f_samples").filter("elapsed_seconds >= 4.9"), "workload_id", "repetition", i, i.filter("doc_id % 3 <> 0"))
 
 
 @query("""with w as (select distinct name from f_distributions union select 'Brand#none'), v as (select name, list(distinct version order by version) as versions from f_distributions group by all)
@@ -588,17 +619,44 @@ def same_population(spark, d):
 # ---- validation and publication -----------------------------------------------------------------
 
 
-@query("select run_key, array_to_string(list_sort(list_filter(['click', 'purchase', 'view'], lambda x: not list_contains(e, x))), ',') as missing from (select run_key, list(distinct status) as e from f_attempts group by all) where len(list_filter(['click', 'purchase', 'view'], lambda x: not list_contains(e, x))) > 0")
+@query("select run_key, array_to_string(list_sort(list_filter(['click', 'purchase', 'view'], lambda x: not list_contains(e, x))), ',') as missing from (select run_key::varchar || '/' || strftime(finished_at, '%Y-%m-%d %H') as run_key, list(distinct status) as e from f_attempts group by all) where len(list_filter(['click', 'purchase', 'view'], lambda x: not list_contains(e, x))) > 0")
 def required_events(spark, d):
-    return validate.required_events(view(spark, d, "f_attempts").withColumnRenamed("status", "event"), EVENT_NAMES).withColumn("missing", F.concat_ws(",", F.array_sort("missing")))
+    a = view(spark, d, "f_attempts").withColumnRenamed("status", "event").withColumn("run_key", F.concat_ws("/", F.col("run_key").cast("string"), F.date_format("finished_at", "yyyy-MM-dd HH")))
+    return validate.required_events(a, EVENT_NAMES).withColumn("missing", F.concat_ws(",", F.array_sort("missing")))
 
 
-@query("""with s as (select run_key, count(*) + case when run_key % 40 = 0 then 1 else 0 end as n, avg(elapsed_seconds) * case when run_key % 50 = 1 then 1.5 else 1 end as mean from f_samples group by run_key)
-select cast(run_key as varchar) as key, 'count-mismatch' as rule from s where run_key % 40 = 0 union all select cast(run_key as varchar), 'mean-mismatch' from s where run_key % 50 = 1""")
+@query("""with s as (select run_key, count(*) as n from f_samples group by run_key), t as (select unnest(['elapsed_seconds', 'images_per_second', 'microseconds_per_image']) as statistic),
+x as (select cast(run_key as varchar) || '/' || statistic as key, run_key, statistic, n from s, t)
+select key, 'count-mismatch' as rule from x where run_key % 40 = 0 and statistic = 'elapsed_seconds' union all select key, 'mean-mismatch' from x where run_key % 50 = 1 and statistic = 'images_per_second'
+union all select key, 'median-mismatch' from x where run_key % 50 = 2 and statistic = 'microseconds_per_image' union all select key, 'sample-std-mismatch' from x where run_key % 50 = 3 and n > 1 and statistic = 'elapsed_seconds'
+union all select key, 'no-summary' from x where run_key % 50 = 4""")
 def summary_recheck(spark, d):
-    s = view(spark, d, "f_samples")
-    stored = s.groupBy("run_key").agg((F.count("*") + F.when(F.col("run_key") % 40 == 0, 1).otherwise(0)).alias("n"), (F.avg("elapsed_seconds") * F.when(F.col("run_key") % 50 == 1, 1.5).otherwise(1.0)).alias("mean"))
-    return validate.summary_recheck(s, stored).select("key", "rule")
+    again = metrics.summarize_benchmark(view(spark, d, "f_samples"))
+    at = lambda k, s: (F.col("run_key") % 50 == k) & (F.col("statistic") == s)
+    stored = again.filter("run_key % 50 <> 4").withColumn("n", F.col("n") + F.when((F.col("run_key") % 40 == 0) & (F.col("statistic") == "elapsed_seconds"), 1).otherwise(0))
+    stored = stored.withColumn("mean", F.when(at(1, "images_per_second"), F.col("mean") * 1.5).otherwise(F.col("mean"))).withColumn("median", F.when(at(2, "microseconds_per_image"), F.col("median") + 1).otherwise(F.col("median")))
+    stored = stored.withColumn("sample_std", F.when(at(3, "elapsed_seconds"), F.col("sample_std") + 1).otherwise(F.col("sample_std")))
+    return validate.summary_recheck(again, stored).select("key", "rule")
+
+
+@query("""with x as (select run_key, coalesce(num_workers, 0) > 0 and protocol_id = 'loader-supply' as loads, run_key % 7 as items, 1 + run_key % 3 as factor from f_runs)
+select key, rule from (select cast(run_key as varchar) as key, unnest(list_filter([case when run_key % 11 = 0 then 'run-key-not-a-digest' end, case when run_key % 13 = 0 then 'revision-malformed' end, case when run_key % 13 = 0 then 'revision-mismatch' end,
+  case when loads then 'context-mismatch' end, case when run_key % 17 = 0 then 'items-processed-mismatch' end, case when run_key % 19 = 0 then 'unique-images-mismatch' end, case when run_key % 23 = 0 then 'repeat-factor-mismatch' end,
+  case when items = 0 then 'no-items' end, case when items > 1 and run_key % 29 = 0 then 'repeated-items' end], lambda r: r is not null)) as rule from x)""")
+def identity_rules(spark, d):
+    r = view(spark, d, "f_runs").withColumn("start_method", F.when(F.col("num_workers") > 0, "spawn")).withColumn("factor", 1 + F.col("run_key") % 3).withColumn("n", (F.col("run_key") % 7).cast("int"))
+    item = F.when(F.col("run_key") % 29 == 0, F.array_repeat(F.lit("same"), F.col("n"))).otherwise(F.transform(F.slice(F.sequence(F.lit(1), F.lit(7)), F.lit(1), F.col("n")), lambda i: i.cast("string")))
+    plus = lambda k: F.when(F.col("run_key") % k == 0, 1).otherwise(0)
+    decodes = (F.size("ordered_item_ids") * F.col("factor")).cast("long")
+    r = r.withColumn("ordered_item_ids", item).select(
+        F.col("run_key").alias("id"), F.when(F.col("run_key") % 11 == 0, "x").otherwise(F.sha2(F.col("run_key").cast("string"), 256)).alias("run_key"), F.when(F.col("run_key") % 13 == 0, "head").otherwise(F.lit("a" * 40)).alias("runner_revision"),
+        F.lit("a" * 40).alias("environment_revision"), "protocol_id", "num_workers", "start_method", F.col("factor").alias("logical_repeat_factor"), "ordered_item_ids", F.lit("main-process").alias("support_process_context"),
+        F.col("start_method").alias("support_start_method"), (decodes + plus(17)).alias("items_processed"), (F.size("ordered_item_ids") + plus(19)).cast("long").alias("num_unique_images"), (F.col("factor") + plus(23)).alias("summary_repeat_factor"), decodes.alias("logical_decodes_per_pass"),
+    )
+    key = r.select("id", F.col("run_key").alias("_k"))
+    found = validate.identity_rules(r.withColumn("run_key", F.when(F.col("run_key") == "x", F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(F.col("run_key"))))
+    names = key.select(F.when(F.col("_k") == "x", F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(F.col("_k")).alias("key"), "id")
+    return found.join(names, "key").select(F.col("id").cast("string").alias("key"), "rule")
 
 
 @query("select run_key, plan_id, num_workers from f_runs where protocol_id = 'loader-supply' and workload_id = 'native' and num_workers is not distinct from 4")
@@ -625,12 +683,11 @@ def sequence_digest(spark, d):
     return digests.sequence_digest(view(spark, d, "f_runs"), ["plan_id"], "run_key")
 
 
-@query("select workload_id, count(*) as item_count from f_items group by all")
+@query("""with h as (select workload_id, doc_id, doc_id // 65536 as b, sha256(json_object('compressed_bytes', compressed_bytes, 'relative_path', relative_path, 'width', width)::varchar) as h from f_items),
+k as (select workload_id, b, sha256(string_agg(h, chr(10) order by doc_id)) as h, count(*) as n from h group by all)
+select workload_id, sha256(string_agg(h, chr(10) order by b)) as manifest_id, sum(n)::bigint as item_count from k group by all""")
 def manifest_digest(spark, d):
-    i = view(spark, d, "f_items")
-    one = digests.ordered_digest(i, ["workload_id"], "doc_id", ["relative_path", "compressed_bytes", "width"], "a")
-    two = digests.ordered_digest(i.repartition(7, "width"), ["workload_id"], "doc_id", ["width", "relative_path", "compressed_bytes"], "b")
-    return one.join(two.select("workload_id", "b"), "workload_id").filter("a = b").select("workload_id", "item_count")
+    return digests.ordered_digest(view(spark, d, "f_items"), ["workload_id"], "doc_id", ["relative_path", "compressed_bytes", "width"], "manifest_id")
 
 
 @query("""with a as (select workload_id, machine_type, count(*) as n from f_runs group by all), b as (select workload_id, machine_type, case when machine_type = 'platform-1' then n + 1 else n end as n from a)
@@ -640,11 +697,14 @@ def publication_check(spark, d):
     return publish.differences(a, a.withColumn("n", F.when(F.col("machine_type") == "platform-1", F.col("n") + 1).otherwise(F.col("n"))))
 
 
-@query("select sha256(array_to_string(list(run_key::varchar order by run_key::varchar), chr(10))) as run_keys_digest, count(*) as runs, 1 as publications from f_runs where committed")
+@query("""with r as (select run_key::varchar as k, sha256(run_key::varchar)[1:3] as b, sha256(json_object('n', 1, 'run_key', run_key)::varchar) as h, run_key from f_runs where committed),
+a as (select b, sha256(string_agg(k, chr(10) order by k)) as h, count(*) as n from r group by all), o as (select b, sha256(string_agg(h, chr(10) order by run_key)) as h, count(*) as n from r group by all),
+s as (select sha256(string_agg(h, chr(10) order by b)) as run_keys_digest, sum(n)::bigint as runs from a), t as (select sum(n)::bigint as rows, sha256(string_agg(h, chr(10) order by b)) as output_digest from o)
+select run_keys_digest, runs, rows, output_digest, sha256(concat_ws(chr(10), run_keys_digest, output_digest, '[(''committed'', True)]', repeat('0', 40))) as publication_id from s, t""")
 def publication_provenance(spark, d):
     r = view(spark, d, "f_runs").filter("committed")
     side = publish.provenance(r, r.groupBy("run_key").agg(F.count("*").alias("n")), {"committed": True}, "0" * 40)
-    return side.groupBy("run_keys_digest", "runs").agg(F.count_distinct("publication_id").cast("int").alias("publications"))
+    return side.select("run_keys_digest", "runs", "rows", "output_digest", "publication_id")
 
 
 @query("select run_key, case when num_workers > 0 then 'dataloader' else 'main-process' end as process_context from f_runs where protocol_id = 'loader-supply'")
@@ -656,7 +716,7 @@ def process_context(spark, d):
 @query("select cast(doc_id as varchar) as key, case when doc_id % 11 = 0 then 'digest-mismatch' else 'size-mismatch' end as rule from f_items where content is not null and (doc_id % 11 = 0 or doc_id % 13 = 1) union all select cast(doc_id as varchar), 'size-mismatch' from f_items where content is not null and doc_id % 11 = 0 and doc_id % 13 = 1")
 def payload_rules(spark, d):
     files = view(spark, d, "f_items").filter("content is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("content").cast("binary").alias("content"), "doc_id")
-    listed = files.select("path", (F.length("content") + F.when(F.col("doc_id") % 13 == 1, 1).otherwise(0)).cast("long").alias("size"), F.sha2(F.when(F.col("doc_id") % 11 == 0, F.lit("x").cast("binary")).otherwise(F.col("content")), 256).alias("sha256"))
+    listed = files.select("path", (F.length("content") + F.when(F.col("doc_id") % 13 == 1, 1).otherwise(0)).cast("long").alias("bytes"), F.sha2(F.when(F.col("doc_id") % 11 == 0, F.lit("x").cast("binary")).otherwise(F.col("content")), 256).alias("sha256"))
     return validate.payload_rules(listed, files).select("key", "rule")
 
 
@@ -670,11 +730,11 @@ def manifest_rules(spark, d):
     return validate.manifest_rules(items, stored).select("key", "rule")
 
 
-@query("""with s as (select doc_id, greatest(width, height) as side from f_items), l as (select distinct 16 + n_chars % 640 as e from documents where doc_id % 100 = 0)
+@query("""with s as (select doc_id, greatest(width, height) as side from f_items), l as (select distinct 16 + n_chars % 640 as e from documents)
 select doc_id::varchar as key, 'source-too-small' as rule from s where side < (select max(e) from l)""")
 def level_rules(spark, d):
     i = view(spark, d, "f_items")
-    levels = i.filter("doc_id % 100 = 0").select(F.col("width").alias("long_edge")).distinct()
+    levels = i.select(F.col("width").alias("long_edge")).distinct()
     return validate.level_rules(levels, i.select(F.col("doc_id").alias("source_id"), "width", "height")).select("key", "rule")
 
 

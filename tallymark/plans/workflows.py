@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.digests import ordered_digest, row_digest
+from tallymark.functions.digests import ordered_digest, row_digest, sequence_digest
 from tallymark.operators import catalog, decisions, matrix, metrics, profiles, publish, support, validate
 
 CELL_KEYS = ["workload", "machine_type", "protocol", "decoder", "requested_threads", "workers"]
@@ -43,24 +43,42 @@ def publication(runs: DataFrame, samples: DataFrame, *, scope: str, filters: Map
     return Publication(rows, publish.publication_order(groups.drop("repeated"), keys), publish.provenance(chosen, rows, filters, revision))
 
 
-def evidence_document(measurements: DataFrame, controls: DataFrame, cells: DataFrame, audits: DataFrame, *, repetitions: Sequence[int], grid: Sequence[int], base_workers: Sequence[int]) -> dict[str, DataFrame]:
+def evidence_document(
+    measurements: DataFrame, controls: DataFrame, cells: DataFrame, audits: DataFrame, *, repetitions: Sequence[int], grid: Sequence[int], base_workers: Sequence[int],
+    runs: DataFrame | None = None, failures: DataFrame | None = None, items: DataFrame | None = None, timed: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """All sections of an evidence document from one table of measurements.
 
     ``cells``: the cells asked about further workers; ``audits(decoder, category, ok)``. The per-repetition means are
-    computed once and every section reads them; write or cache them when there are many.
+    computed once and every section reads them; write or cache them when there are many. With ``runs(run_key, plan_id, workload_id,
+    repetition)`` and ``failures(run_key)`` come the sections ``coverage``, ``matrix`` (which plans and repetitions each workload has) and
+    ``digests`` (of each plan's run keys); with ``items`` and ``timed`` (manifest rows) ``workloads`` too.
     """
     blocks = measurements.groupBy(*CELL_KEYS, "repetition").agg(F.avg("images_per_second").alias("v"))
     everything = blocks.groupBy(*CELL_KEYS).agg(metrics.rounded(F.avg("v")).alias("mean"))
     own = decisions.controlled_threads(blocks, controls)
     agg = decisions.controlled_threads(everything, controls)
+    candidates = decisions.followup_candidates(own, cells, grid)
+    more: dict[str, DataFrame] = {}
+    if runs is not None:
+        if failures is None:
+            failures = runs.select("run_key").limit(0)
+        more["coverage"] = profiles.coverage(runs, failures, "workload_id", "repetition", items, timed)
+        more["matrix"] = runs.groupBy("workload_id", "plan_id").agg(F.count_distinct("repetition").alias("repetitions"), F.count("*").alias("runs"))
+        more["digests"] = sequence_digest(runs, ["plan_id"], "run_key")
+    if items is not None and timed is not None:
+        excluded = items.join(timed.select("item_id"), "item_id", "left_anti")
+        more["workloads"] = profiles.workload_profile(timed, excluded)
     return {
+        **more,
         "aggregates": metrics.aggregate_measurements(measurements, CELL_KEYS, repetitions),
-        "coverage": support.coverage_by_category(audits),
+        "compatibility": support.coverage_by_category(audits),
         "decisions": decisions.decision_rows(agg, own),
         "threads": decisions.thread_contrast(everything, [r["decoder"] for r in controls.collect()], base_workers),
         "transfer": decisions.worker_transfer(agg),
         "peaks": decisions.peak_workers(agg),
-        "candidates": decisions.followup_candidates(own, cells, grid),
+        "candidates": candidates,
+        "candidate_totals": decisions.followup_totals(candidates),
         "curves": metrics.relative_to_first(own.filter("protocol = 'loader-supply'"), ["workload", "machine_type", "decoder"]),
     }
 

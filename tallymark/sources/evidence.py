@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.operators.validate import violation
+from tallymark.functions.digests import canonical_digest
+from tallymark.operators.validate import rule_rows, union_all, violation
 from tallymark.sources import schemas
 
 
@@ -18,11 +19,16 @@ def _folder() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
 
 
+def _stem() -> Column:
+    """A document's file name without its ending."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Committed runs under ``root/runs/<run_key>/`` with their documents as structs.
 
     A run exists only where its ``COMMITTED.json`` does; hidden staging folders are not seen. A missing
-    document is a null struct.
+    document is a null struct; the bundle's manifest is ``bundle_manifest``.
     """
     runs = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), F.struct("*").alias("marker"))
     for name, schema in schemas.DOCUMENTS.items():
@@ -32,10 +38,43 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def marker_rules(runs: DataFrame) -> DataFrame:
-    """Committed runs whose marker, manifest and folder disagree or lack a document (V1)."""
-    odd = ~F.col("marker.run_key").eqNullSafe(F.col("run_key")) | ~F.col("marker.bundle_id").eqNullSafe(F.col("manifest.bundle_id")) | ~F.col("marker.schema_version").eqNullSafe(F.col("manifest.schema_version"))
+    """Committed runs whose marker, manifest and folder disagree, lack a document or list other files than a bundle has (V1)."""
+    odd = ~F.col("marker.run_key").eqNullSafe(F.col("run_key")) | ~F.col("marker.bundle_id").eqNullSafe(F.col("bundle_manifest.bundle_id")) | ~F.col("marker.schema_version").eqNullSafe(F.col("bundle_manifest.schema_version"))
+    odd = odd | ~F.col("bundle_manifest.run_key").eqNullSafe(F.col("run_key")) | ~F.col("marker.status").eqNullSafe(F.lit("committed"))
     gaps = F.concat_ws(",", *[F.when(F.col(n).isNull(), F.lit(n)) for n in schemas.DOCUMENTS])
-    return violation(runs.filter(odd), ["run_key"], "marker-mismatch").unionByName(violation(runs.withColumn("_g", gaps).filter("_g <> ''"), ["run_key"], "document-missing", F.col("_g")))
+    files = sorted([f"{n}.json" for n in schemas.DOCUMENTS if n != "bundle_manifest"] + [f"{n}.jsonl" for n in schemas.LINES])
+    listed = F.array_sort(F.map_keys("bundle_manifest.files"))
+    return union_all([
+        violation(runs.filter(odd), ["run_key"], "marker-mismatch"),
+        violation(runs.withColumn("_g", gaps).filter("_g <> ''"), ["run_key"], "document-missing", F.col("_g")),
+        violation(runs.filter(F.col("bundle_manifest").isNotNull() & ~listed.eqNullSafe(F.array(*[F.lit(f) for f in files]))), ["run_key"], "file-set", F.concat_ws(",", listed)),
+    ])
+
+
+def payload_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(listed, files)`` of committed bundles for :func:`payload_rules` (V2): what manifests say, and the files' bytes.
+
+    Spark's scans skip empty files, so those that a manifest rightly lists as empty are left out of ``listed``.
+    """
+    listed = read_runs(spark, root).select("run_key", F.explode("bundle_manifest.files").alias("_name", "_f"))
+    listed = listed.select(F.concat_ws("/", "run_key", "_name").alias("path"), F.col("_f.bytes").alias("bytes"), F.col("_f.sha256").alias("sha256"))
+    listed = listed.filter((F.col("bytes") > 0) | (F.col("sha256") != F.sha2(F.lit(""), 256)))
+    files = spark.read.format("binaryFile").load(f"{root}/runs/[^._]*/*").select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "content")
+    return listed, files
+
+
+def content_rules(spark: SparkSession, path: str, identity: str, file_named: bool = False) -> DataFrame:
+    """Content-addressed JSON documents whose ``identity`` is not the digest of the rest (V1, V4, V9), or not their file name.
+
+    The identity is SHA-256 of the canonical JSON of all other fields, which Spark recomputes from the document as a variant.
+    """
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), _stem().alias("_stem"), "value")
+    docs = docs.withColumn("_doc", F.try_parse_json("value")).withColumn("_id", F.try_variant_get("_doc", f"$.{identity}", "string"))
+    return rule_rows(docs, ["_stem"], {
+        "not-json": F.col("_doc").isNull(),
+        "identity-mismatch": F.col("_doc").isNotNull() & ~F.col("_id").eqNullSafe(canonical_digest(F.col("_doc"), identity)),
+        "file-name": F.lit(file_named) & F.col("_doc").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_stem")),
+    })
 
 
 def read_lines(spark: SparkSession, root: str, name: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +105,7 @@ def read_remote_layout(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     Second: markers whose bundle is missing, as violations. Bundles without a marker are not there.
     """
     markers = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), "bundle_id")
-    bundles = _json(spark, f"{root}/bundles/[^._]*/manifest.json", schemas.MANIFEST).select(_folder().alias("bundle_id"), F.struct("*").alias("manifest"))
+    bundles = _json(spark, f"{root}/bundles/[^._]*/bundle_manifest.json", schemas.MANIFEST).select(_folder().alias("bundle_id"), F.struct("*").alias("bundle_manifest"))
     return markers.join(bundles, "bundle_id"), violation(markers.join(bundles, "bundle_id", "left_anti"), ["run_key"], "bundle-missing", F.col("bundle_id"))
 
 
@@ -83,10 +122,13 @@ def read_package_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audits(spark: SparkSession, root: str) -> DataFrame:
-    """Committed support audits at item grain (S9): ``root/audits/<key>/audit.json`` beside its ``COMMITTED.json``."""
-    marks = _json(spark, f"{root}/audits/[^._]*/COMMITTED.json", "audit_id string").select(_folder().alias("_key"))
-    docs = _json(spark, f"{root}/audits/[^._]*/audit.json", schemas.AUDIT)
-    docs = docs.select(_folder().alias("_key"), *docs.columns).join(marks, "_key", "left_semi").drop("_key")
+    """Committed support audits at item grain (S9): ``root/keys/<audit_key>.json`` commits ``root/audits/<audit_id>.json``.
+
+    An audit that no committed key names is not there; several keys may name one audit.
+    """
+    marks = _json(spark, f"{root}/keys/[^._]*.json", schemas.AUDIT_MARKER).filter((F.col("status") == "committed") & (F.col("audit_key") == _stem())).select("audit_id").distinct()
+    docs = _json(spark, f"{root}/audits/[^._]*.json", schemas.AUDIT)
+    docs = docs.filter(F.col("audit_id") == _stem()).join(marks, "audit_id", "left_semi")
     context = [c for c in docs.columns if c not in ("successful_item_ids", "failures")]
     good = docs.select(*context, F.explode("successful_item_ids").alias("item_id"), F.lit(True).alias("ok"))
     bad = docs.select(*context, F.explode("failures").alias("_f")).select(*context, "_f.item_id", F.lit(False).alias("ok"), "_f.failure_type", "_f.message")
@@ -94,8 +136,9 @@ def read_audits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_support_sets(spark: SparkSession, path: str) -> DataFrame:
+    """Items of support sets in order."""
     docs = _json(spark, path, schemas.SUPPORT_SET)
-    return docs.select("support_set_id", "policy", "audit_ids", "process_context", "multiprocessing_start_method", F.posexplode("ordered_item_ids").alias("ordinal", "item_id"))
+    return docs.select("support_set_id", "policy", "manifest_id", "selection_id", "audit_ids", "process_context", "multiprocessing_start_method", F.posexplode("item_ids").alias("ordinal", "item_id"))
 
 
 def read_platforms(spark: SparkSession, path: str) -> DataFrame:
@@ -103,6 +146,11 @@ def read_platforms(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.PLATFORM)
 
 
+def read_environments(spark: SparkSession, path: str) -> DataFrame:
+    """Environment descriptors with their Python, tags, lock digests and native backends."""
+    return _json(spark, path, schemas.ENVIRONMENT)
+
+
 def read_distributions(spark: SparkSession, path: str) -> DataFrame:
     """Environment descriptors, one row a distribution."""
-    return _json(spark, path, schemas.ENVIRONMENT).select("environment_id", F.explode("distributions").alias("_d")).select("environment_id", "_d.name", "_d.version")
+    return read_environments(spark, path).select("environment_id", F.explode("distributions").alias("_d")).select("environment_id", "_d.name", "_d.version")

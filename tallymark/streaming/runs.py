@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tallymark.operators.metrics import rounded
 from tallymark.sources.sinks import exists
 
 
@@ -31,8 +32,9 @@ def stream_committed_runs(spark: SparkSession, path: str, schema: StructType, ta
 
 
 def cell_statistics(runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per-cell counts and sums of ingested runs."""
-    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.min(value).alias("first"), F.max(value).alias("last"))
+    """Per-cell counts, sums, least and largest values and means of ingested runs; sums add up over batches."""
+    v = F.col(value)
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum(v).alias("total"), F.sum(v.cast("double") * v).alias("total_of_squares"), F.min(v).alias("least"), F.max(v).alias("largest"), rounded(F.avg(v)).alias("mean"))
 
 
 def latest_status(attempts: DataFrame, key: str = "run_key") -> DataFrame:

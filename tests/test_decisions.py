@@ -42,6 +42,17 @@ def test_incomplete_curve_is_not_selected(spark):
     assert not decisions.followup_candidates(b, cells, [0, 2, 4, 8, 12]).first().selected
 
 
+def test_a_block_without_its_pair_is_not_selected(spark):
+    """Other repetitions have the level, this one lacks it: its gain cannot be paired."""
+    b = curve(spark, {"whole": [90] * 5, "torn": [90] * 5}).filter("not (decoder = 'torn' and repetition = 3 and workers = 12)")
+    cells = b.select("workload", "machine_type", "decoder").distinct()
+    found = decisions.followup_candidates(b, cells, [0, 2, 4, 8, 12])
+    rows = {r.decoder: r for r in found.collect()}
+    assert rows["whole"].selected and rows["whole"].blocks == 5 and not rows["torn"].complete and not rows["torn"].selected
+    total = decisions.followup_totals(found).first()
+    assert (total.candidate_count, total.bundle_count_if_launched) == (1, 5)
+
+
 def test_constant_ranks_have_no_correlation(spark):
     df = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 1.0)], "g string, item string, v double")
     assert decisions.rank_correlation(df, df, ["g"], "item", "v").first().rho is None
