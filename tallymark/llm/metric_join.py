@@ -1,9 +1,9 @@
 """Embedding near-dedup by an exact metric range join on the angle between vectors.
 
 Pivots partition the vectors: each goes to the cell of its nearest pivot. A vector must also be
-compared with another cell's members if its angle to that pivot is at most the cell's radius plus
-the range (triangle inequality); otherwise the pair cannot be in range. Of two cells one sends
-to the other, so each pair meets once. Cells join independently, in blocks of bounded size.
+compared with another cell's members unless, for some pivot, its angle differs from all of theirs by more than the range
+(triangle inequality): such a pair cannot be in range. The least and largest angle of each cell to each pivot decide that. Of two
+cells one sends to the other, so each pair meets once. Cells join independently, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import cut, table
 from .components import connected_components, spanning
@@ -33,8 +34,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors that travel as bytes of their own precision, as unit vectors in double precision."""
+    return _unit(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64))
 
 
 def links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -48,7 +50,7 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 2048, block_rows: int = 16384, max_pivots: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 8192, block_rows: int = 65536, max_pivots: int = 256) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``rows(vec_id, embedding)``.
 
     Rows link if their cosine, in double precision, is at least ``threshold``. Vectors that are null, zero,
@@ -57,9 +59,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
     their own. Null vec_ids are linked, but never name a component unless it has no other. An empty table gives an empty result.
 
     Pivots are as many as cells of ``cell_rows`` need, ``max_pivots`` at most; larger cells split into parts
-    that are compared with each other like cells, so no part or block outgrows a task.
+    that are compared with each other like cells, so no part or block outgrows a task. Where no cell can be ruled out, a vector
+    travels once for each ``block_rows`` rows and for half of the parts of about ``cell_rows``.
     """
-    base = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+    kind = "<f4" if single else "<f8"
+    base = rows.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     good = usable(F.col("v")) & F.exists("v", lambda x: x != 0)
     valid = base.filter(good)
     reps = cut(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
@@ -74,17 +79,33 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
             if not batch.num_rows:
                 continue
             size = pc.list_value_length(batch.column("v")).to_numpy()
-            x = np.zeros((batch.num_rows, dim))
+            x = np.zeros((batch.num_rows, dim), kind)
             x[np.arange(dim)[None, :] < size[:, None]] = batch.column("v").flatten().to_numpy()
-            x = _unit(x)
-            angle = _angles(x, pivots)
-            cell = angle.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(x)), cell]), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "n", "pivot", "angle", "unit"])
-
-    placed = cut(reps.select("node", "n", "v").mapInArrow(place, "node long, n long, pivot int, angle double, unit binary"))
-    cells = {r["pivot"]: (r["rows"], r["radius"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("rows"), F.max("angle").alias("radius")).collect()}  # bounded by max_pivots
-    parts = np.array([max(1, -(-cells.get(p, (0, 0))[0] // (2 * cell_rows))) if p in cells else 0 for p in range(len(pivots))])
-    radius = np.array([cells.get(p, (0, 0.0))[1] for p in range(len(pivots))])
+            cell = _angles(_unit(x.astype(np.float64)), pivots).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "n", "pivot", "vector"])
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each cell, and their least and largest angle to each pivot."""
+        p = len(pivots)
+        count, lo, hi = np.zeros(p, np.int64), np.full((p, p), np.inf), np.full((p, p), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                angle, cell = _angles(_matrix(batch.column("vector"), kind), pivots), batch.column("pivot").to_numpy()
+                count += np.bincount(cell, minlength=p)
+                np.minimum.at(lo, cell, angle)
+                np.maximum.at(hi, cell, angle)
+        at = np.repeat(np.flatnonzero(count), p)
+        other = np.tile(np.arange(p), len(at) // p)
+        columns = [pa.array(at, pa.int32()), pa.array(other, pa.int32()), pa.array(count[at]), pa.array(lo[at, other]), pa.array(hi[at, other])]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "other", "n", "lo", "hi"])
+
+    placed = cut(reps.select("node", "n", "v").mapInArrow(place, "node long, n long, pivot int, vector binary"))
+    found_cells = placed.mapInArrow(reaches, "cell int, other int, n long, lo double, hi double").groupBy("cell", "other").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sizes, least, most = np.zeros(len(pivots), np.int64), np.full((len(pivots),) * 2, np.inf), np.full((len(pivots),) * 2, -np.inf)
+    for r in found_cells.toLocalIterator():  # the square of max_pivots at most
+        sizes[r["cell"]], least[r["cell"], r["other"]], most[r["cell"], r["other"]] = r["n"], r["lo"], r["hi"]
+    parts = -(-sizes // (2 * cell_rows))
+    least, most = least - reach - 1e-9, most + reach + 1e-9
     first = np.cumsum(parts) - parts
     blocks = total // block_rows + 1
 
@@ -93,11 +114,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                x = _matrix(part.column("unit"))
+                angle = _angles(_matrix(part.column("vector"), kind), pivots)
                 node, pivot = part.column("node").to_numpy(), part.column("pivot").to_numpy()
                 salt = (node ^ (node >> 33)) * 2654435761 % (1 << 31)
                 home = first[pivot] + salt % np.maximum(parts[pivot], 1)
-                row, near = np.nonzero((_angles(x, pivots) <= radius + reach + 1e-9) & (parts > 0))
+                may = np.repeat(parts[None, :] > 0, len(node), axis=0)
+                for p in range(len(pivots)):  # the triangle inequality by each pivot
+                    may &= (angle[:, p, None] >= least[None, :, p]) & (angle[:, p, None] <= most[None, :, p])
+                row, near = np.nonzero(may)
                 n = parts[near]
                 row, other = np.repeat(row, n), np.repeat(first[near], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 own = home[row]
@@ -108,12 +132,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
                 block = np.concatenate((np.tile(np.arange(blocks), len(node)), (salt[row] >> 8) % blocks))
                 guest = np.concatenate((np.zeros(len(node) * blocks, bool), np.ones(len(row), bool)))
                 took = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(guest), took.column("node"), took.column("n"), took.column("unit")], names=["cell", "block", "guest", "node", "n", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(guest), took.column("node"), took.column("n"), took.column("vector")], names=["cell", "block", "guest", "node", "n", "vector"])
 
     def join(key, group):
         guest = group.column("guest").to_numpy()
         node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
-        x = _matrix(group.column("unit"))
+        x = _matrix(group.column("vector"), kind)
         h = np.flatnonzero(~guest)
         count, ends = np.zeros(len(node), np.int64), []
         block = key[1].as_py()
@@ -135,7 +159,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 20
         c = np.flatnonzero(count)
         return pa.table({"a": pa.array(np.concatenate((node[c], s)), pa.int64()), "b": pa.array(np.concatenate((node[c], t)), pa.int64()), "links": pa.array(np.concatenate((count[c], np.zeros(len(s), np.int64))), pa.int64())})
 
-    copies = placed.mapInArrow(spread, "cell long, block long, guest boolean, node long, n long, unit binary")
+    copies = placed.mapInArrow(spread, "cell long, block long, guest boolean, node long, n long, vector binary")
     found = cut(copies.groupBy("cell", "block").applyInArrow(join, "a long, b long, links long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("a", "b"))

@@ -78,7 +78,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, tile: int = 1024,
 
     Values are arrays of bigint; scores are their inner products, ties go to the smaller id, and a
     query's own id is no candidate. Vectors of different dimensions are not compared. Fewer candidates
-    than ``k`` give all. Scores must fit 64 bits. Empty tables give no rows.
+    than ``k`` give all. Scores must fit 64 bits. Empty tables give no rows. Ids name vectors: rows of ``queries`` that share an
+    id share one list, in which each of their scores competes, and are no candidates of each other.
     """
     groups = 4 * partitions(queries.sparkSession)
     q = _tiles(queries.repartition("id"), tile).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
