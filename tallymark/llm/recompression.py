@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import pack_columns, table, unpack_columns
+from .common import pack_columns, release, table, unpack_columns
 from .words import Batch, covered, mix, windows
 
 _U = np.uint64
 ROUNDS = 3
 #: Odd factors of the two lanes of a window's 128-bit name.
 LANES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: Owners of the name space for a small corpus, and the bytes of text for which a large one has an owner.
-OWNERS, OWNER_BYTES = 64, 16 << 20
+#: Owners of the name space from 64 MB of text to 4 GB; the bytes of text for each owner below and above that.
+OWNERS, SMALL_BYTES, OWNER_BYTES = 256, 256 << 10, 16 << 20
 #: Names that an owner settles at once.
 SETTLE = 1 << 20
 
@@ -168,9 +168,9 @@ def _blobs(owner: np.ndarray, *columns: np.ndarray, bits: int = 0) -> list[tuple
 def owners_for(size: int) -> int:
     """How many owners share the names of ``size`` bytes of text: independent of the chunks, and with a fixed load each.
 
-    A chunk sends a row to each owner at most, so rows a step are OWNERS a chunk up to a GB of text and never more than names.
+    A chunk sends a row to each owner at most, so rows a step are OWNERS a chunk up to 4 GB of text and never more than names.
     """
-    return max(OWNERS, int(size // OWNER_BYTES) + 1)
+    return max(min(OWNERS, int(size // SMALL_BYTES) + 1), int(size // OWNER_BYTES) + 1)
 
 
 def ranges(sent: list[np.ndarray], parts: int) -> list[np.ndarray]:
@@ -209,6 +209,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
     found_schema = to_arrow_schema(T.StructType.fromDDL(found_ddl))
 
     def reveal(_, part):
+        release()
         _, batch, names = _batch(part)
         place, key = anchors(names, batch, window)
         doc = batch.doc[place]
@@ -248,6 +249,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
         return np.concatenate(out) if out else key[:0]
 
     def verify(_, left, right):
+        release()
         if not left.num_rows:
             return found_schema.empty_table()
         part, batch, names = _batch(left)
@@ -289,6 +291,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
         return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "doc": pa.array([x.tobytes() for x in least], pa.binary())})
 
     def apply(_, left, right):
+        release()
         if not left.num_rows:
             return out_schema.empty_table()
         part, batch, names = _batch(left)

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import release, table
 from .recompression import _blobs, _ids, _spread, owners_for, ranges
 from .words import covered, mix
 
 _U = np.uint64
 GRAM = 16
-#: A least hash is frequent if its distinct pieces, counted by chunk, are more than this and twice the chunks that hold it.
-FREQUENT = 1024
+#: A least hash is frequent if its distinct pieces, counted by chunk, are more than this, which is about a shard, and twice the chunks that hold it.
+FREQUENT = 1 << 14
 #: Stretches of a text whose common prefixes are taken side by side, and the least bytes of each.
 STRANDS, STRETCH = 8192, 128
 
@@ -270,6 +270,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         return part, b, rank
 
     def reveal(_, part):
+        release()
         part, b, _ = read(part)
         start, length = b.runs(b.valid)
         key, doc = b.names(start), b.docs(start)
@@ -342,6 +343,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         return np.cumsum(edges[:-1]) > 0
 
     def verify(_, left, right):
+        release()
         if not left.num_rows:
             return found_schema.empty_table()
         part, b, rank = read(left)
@@ -366,10 +368,10 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         raws = part.column("bytes").to_pylist()
         sizes, names, whos = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("sizes", "<u4"), ("names", "<u4"), ("doc", "<i8")))
         ends = [np.cumsum(x.astype(np.int64)) for x in sizes]
-        parts = sum(map(len, raws)) // (2 * shard_bytes) + 1
+        parts = sum(map(len, raws)) // shard_bytes + 1
         cuts = ranges(names, parts)
         found = [[] for _ in raws]
-        for p in range(parts):  # ranges of names of about two shards
+        for p in range(parts):  # ranges of names of about a shard; one name's pieces may be more
             seen, least, entries = {}, [], []
             for raw, size, end, who, c in zip(raws, sizes, ends, whos, cuts, strict=True):
                 mine = []
@@ -400,6 +402,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         return pa.table({"chunk": part.column("chunk"), "owner": owner, "runs": pa.array(runs, pa.binary()), "doc": pa.array(docs_, pa.binary())})
 
     def apply(_, left, right):
+        release()
         if not left.num_rows:
             return out_schema.empty_table()
         part, b, rank = read(left)
@@ -436,3 +439,17 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
 
 def op6_dedup_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+with d as (select doc_id, coalesce(hex(encode(text)), '') as h from documents),
+p as (select doc_id, h, unnest(range(1, length(h) // 2 + 1)) as i from d),
+w as (select doc_id, i, case when length(h) // 2 >= i + 49 then substr(h, 2 * i - 1, 100) end as s, substr(h, 2 * i - 1, 2) as byte from p),
+m as (select s, min(doc_id) as least from w where s is not null group by s having min(doc_id) < max(doc_id)),
+b as (select w.doc_id, w.i, w.byte, m.least is not null and m.least < w.doc_id as begins from w left join m on w.s = m.s),
+g as (select doc_id, i, byte, bool_or(begins) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from b),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as edge from g),
+r as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where edge) as n_spans, string_agg(byte, '' order by i) filter (where not gone) as kept from e group by doc_id)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join r on d.doc_id = r.doc_id
+"""
