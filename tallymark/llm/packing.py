@@ -34,20 +34,27 @@ def _encoder(name: str):
     through the same vocabulary as ranks, which gives the same ids several times faster.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    path = public_tokenizers.path(f"{name}.json")
+    with open(path, encoding="utf-8") as file:
+        special = [t["content"] for t in json.load(file).get("added_tokens", [])]
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cache
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)  # loaded by the workers that need it
+
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pack_columns, table, unpack_columns
+from .common import cut, pack_columns, release, table, unpack_columns
 from .words import Batch, mix
 
 _U = np.uint64
@@ -32,7 +32,7 @@ CLASSES = np.full(256, 2, np.uint8)
 CLASSES[[0x20, 9, 10, 11, 12, 13]] = 0
 CLASSES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 #: Tokens per step, which bounds a step's memory whatever a text's length.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> np.nda
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[s][doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], names=["bucket", "raw", "target"])
 
     parts = marked.select("text", F.col("_id").isNotNull().alias("good")).mapInArrow(count, "bucket long, raw long, target long")
@@ -110,6 +111,7 @@ def weigh(docs: DataFrame, model: np.ndarray, evidence: float, seed: int) -> Dat
             n = s.stop - s.start
             total, many = np.bincount(doc, model[bucket], minlength=n), np.bincount(doc, minlength=n)
             out[s] = total * np.minimum(1, evidence / np.maximum(many, 1))
+        release()
         return pd.Series(out)
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(1 << 53)
