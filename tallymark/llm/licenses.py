@@ -14,7 +14,6 @@ paragraphs that resemble a template are left out of it. Scoring covers every par
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,16 +55,12 @@ _TEMPLATE_GRAMS = [grams(tokens(t)) for notices in TEMPLATES.values() for t in n
 
 @dataclass
 class Model:
-    """Weights by n-gram and class, the classes (the last is unknown), the bar, and words one of which any notice needs.
-
-    Weights and biases are divided by the temperature already.
-    """
+    """Weights by n-gram and class, the classes (the last is unknown) and the bar; divided by the temperature already."""
 
     classes: list[str]
     bias: list[float]
     weights: dict[str, list[float]]
     bar: float
-    needles: list[str]
     temperature: float
 
 
@@ -94,10 +89,7 @@ def fit(negatives: list[str], rounds: int = 400, l1: float = 5e-4, step: float =
 
     Every fourth negative is held out, and so are variants of each notice that lack every fourth word; the temperature
     is the one under which these are most likely (all families together weigh as much as the negatives), the bar lies between the
-    probabilities of the two kinds. Training is by gradient steps with soft thresholding, so most weights are exactly 0.
-
-    ``needles``: a paragraph none of whose n-grams speaks more for some family than for unknown has less than the bar by
-    the biases alone, which the bar is kept above. So a notice needs an n-gram that does, and that n-gram's rarest word.
+    probabilities of the two kinds. Training is by gradient steps with soft thresholding, so weights that do little are exactly 0.
     """
     classes = [*TEMPLATES, UNKNOWN]
     clean = [n for n in negatives if not resembles(n)]
@@ -136,12 +128,8 @@ def fit(negatives: list[str], rounds: int = 400, l1: float = 5e-4, step: float =
     temperature = float(min(2.0 ** np.arange(-4, 4.25, 0.25), key=loss))
     w, b = w / temperature, b / temperature
     no, yes = _softmax(z / temperature)[:, :-1].max(axis=1), _softmax(v / temperature)[np.arange(len(of)), of]
-    nothing = 1 / (1 + np.exp(b[-1] - b[:-1].max()))
-    bar = float(max(np.clip((np.quantile(no, 0.999) + np.quantile(yes, 0.05)) / 2, 0.3, 0.9), nothing + 1e-6))
-    common = Counter(word for n in seen for word in set(re.split(r"[^a-z0-9]+", n.lower())))
-    speaks = [f for f, row in zip(names, w, strict=True) if row[:-1].max() > row[-1]]
-    needles = sorted({min(re.split(r"[^a-z0-9]+", f), key=lambda part: (common[part], -len(part), part)) for f in speaks})
-    return Model(classes, b.tolist(), {f: row.tolist() for f, row in zip(names, w, strict=True)}, bar, needles, temperature)
+    bar = float(np.clip((np.quantile(no, 0.999) + np.quantile(yes, 0.05)) / 2, 0.3, 0.9))
+    return Model(classes, b.tolist(), {f: row.tolist() for f, row in zip(names, w, strict=True)}, bar, temperature)
 
 
 def sample_paragraphs(docs: DataFrame, documents: int, paragraphs: int) -> list[str]:
@@ -163,39 +151,40 @@ def scan(docs: DataFrame, model: Model, agreement: float = 0.5) -> DataFrame:
     """
     spark = docs.sparkSession
     k = len(model.classes) - 1
-    weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()] or [("", [0.0] * (k + 1))], "gram string, w array<double>")
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")
-    # exact: a paragraph without any of these words cannot reach the bar (see fit)
-    may = F.arrays_overlap(words, F.array(*[F.lit(n) for n in model.needles]))
-    lines = F.when(may, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
-    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-    para = base.select("doc_id", "row", F.posexplode_outer(F.filter("lines", lambda x: F.arrays_overlap(F.split(F.lower(x), "[^a-z0-9]+"), F.array(*[F.lit(n) for n in model.needles])))).alias("place", "line"))
-    para = para.withColumn("t", F.regexp_extract_all(F.lower("line"), F.lit(f"({TOKEN})")))
-    pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    para = para.withColumn("grams", F.array_distinct(F.concat("t", pairs)))
-    flat = para.select("doc_id", "row", "place", F.explode_outer("grams").alias("gram"))
+    weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
+    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})")))
+    later = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    earlier = lambda t: F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))
+    sets = F.transform("words", lambda t: F.array_distinct(F.concat(t, F.zip_with(earlier(t), later(t), lambda a, b: F.concat_ws(" ", a, b)))))
+    known = F.transform("sets", lambda g, i: F.struct(i.alias("place"), F.size(g).alias("n"), F.filter(g, lambda x: x.isin(list(model.weights))).alias("known")))
+    # a paragraph without a known pair of words is unknown whatever its score
+    found = F.filter("paragraphs", lambda p: F.exists(p["known"], lambda x: F.contains(x, F.lit(" "))))
+    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    base = base.select("doc_id", "row", sets.alias("sets")).select("doc_id", "row", known.alias("paragraphs")).select("doc_id", "row", F.explode_outer(found).alias("p"))
+    para = base.select("doc_id", "row", "p.place", "p.n", "p.known")
+    # which families' templates agree, as bits
+    agrees = F.lit(0).cast("long")
+    for i, family in enumerate(model.classes[:-1]):
+        alike = F.lit(False)
+        for t in TEMPLATES[family]:
+            g = sorted(grams(tokens(t)))
+            shared = F.size(F.array_intersect("known", F.array(*[F.lit(x) for x in g])))
+            alike = alike | (F.greatest(shared / F.lit(len(g)), shared / F.greatest(F.col("n"), F.lit(1))) >= agreement)
+        agrees = agrees + F.when(alike, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    para = para.withColumn("agrees", F.when(F.col("known").isNotNull(), agrees))
+    flat = para.select("doc_id", "row", "place", "n", "agrees", F.explode_outer("known").alias("gram"))
     # the model is bounded by the templates
     scored = flat.join(F.broadcast(weights), "gram", "left").groupBy("doc_id", "row", "place").agg(
-        F.count("gram").alias("n"),
-        *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k + 1)],
-        F.collect_set(F.when(F.col("w").isNotNull(), F.col("gram"))).alias("known"),
-    )
+        F.max("n").alias("n"), F.max("agrees").alias("agrees"), *[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k + 1)]
+    )
     logits = F.array(*[F.col(f"s{i}") / F.sqrt(F.greatest(F.col("n"), F.lit(1))) + F.lit(model.bias[i]) for i in range(k + 1)])
     scored = scored.withColumn("e", F.transform(logits, lambda x: F.exp(x))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     best = F.array_max(F.slice("e", 1, k))
     names = F.array(*[F.lit(c) for c in model.classes])
-    scored = scored.withColumn("probability", best / F.col("total")).withColumn("family", F.element_at(names, F.array_position("e", best).cast("int")))
-    checks = []
-    for family, notices in TEMPLATES.items():
-        for t in notices:
-            g = sorted(grams(tokens(t)) & set(model.weights))
-            shared = F.size(F.array_intersect("known", F.array(*[F.lit(x) for x in g]).cast("array<string>")))
-            checks.append((F.col("family") == family) & (F.greatest(shared / F.lit(max(len(g), 1)), shared / F.greatest(F.col("n"), F.lit(1))) >= agreement))
-    alike = checks[0]
-    for c in checks[1:]:
-        alike = alike | c
-    found = F.exists("known", lambda g: F.contains(g, F.lit(" "))) & (F.col("probability") >= model.bar)
-    scored = scored.select("doc_id", "row", "place", "family", "probability", found.alias("found"), (found & alike).alias("confirmed"))
+    scored = scored.withColumn("probability", best / F.col("total")).withColumn("at", F.array_position("e", best).cast("int")).withColumn("family", F.element_at(names, F.col("at")))
+    found = F.col("n").isNotNull() & (F.col("probability") >= model.bar)
+    confirmed = found & (F.expr("(agrees >> (at - 1)) & 1") == 1)
+    scored = scored.select("doc_id", "row", "place", "family", "probability", found.alias("found"), confirmed.alias("confirmed"))
     best = F.struct("probability", (-F.col("place")).alias("place"), "family")
     out = scored.groupBy("doc_id", "row").agg(F.max(F.when(F.col("confirmed"), best)).alias("top"), F.max(F.when(F.col("found"), best)).alias("other"), F.sum(F.col("confirmed").cast("long")).alias("n_notices"))
     return out.select(

@@ -173,3 +173,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, cell_rows: int = 81
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+g as (select vec_id, v from e where len(v) > 0 and not list_bool_or(list_transform(v, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(v, lambda x: x <> 0))),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+r as (select vec_id, vec_id as reach from e union select r.vec_id, l.b from r join l on r.reach = l.a),
+c as (select vec_id, min(reach) as component_id from r group by vec_id),
+n as (select a, count(*) as n from l group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from e join c on e.vec_id = c.vec_id left join n on e.vec_id = n.a
+"""

@@ -28,5 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_dedup_recompression": recompression.OP2_SQL,
         "op3_format_chats": chat.OP3_SQL,
+        "op6_dedup_suffix_array": suffixes.OP6_SQL,
         "op7_top_k": topk.OP7_SQL,
+        "op9_embedding_near_dedup": metric_join.OP9_SQL,
     }

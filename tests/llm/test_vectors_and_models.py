@@ -282,7 +282,7 @@ def check_against_plain(df, model):
 
 
 def test_scan_against_plain_scoring(spark):
-    """Every paragraph of whole texts, those that the needles pass over too."""
+    """Every paragraph of whole texts."""
     rng = np.random.default_rng(6)
     notices = [n for ns in licenses.TEMPLATES.values() for n in ns]
     words = sorted({w for n in notices for w in n.split()}) + ["river", "stone", "of", "the", "house"] * 9
@@ -340,7 +340,7 @@ def test_scan_of_repeated_and_no_rows(spark):
 
 def test_model_without_a_sample():
     model = licenses.fit([])
-    assert model.classes[-1] == licenses.UNKNOWN and model.needles
+    assert model.classes[-1] == licenses.UNKNOWN and model.weights
 
 
 def test_sample_is_bounded(spark):
