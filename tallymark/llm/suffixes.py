@@ -36,6 +36,8 @@ _U = np.uint64
 GRAM = 16
 #: A least hash is frequent if its distinct pieces, counted by chunk, are more than this, which is about a shard, and twice the chunks that hold it.
 FREQUENT = 1 << 14
+#: Bytes of pieces that an owner sorts at once: small arrays stay in the cache.
+RANGE = 256 << 10
 #: Stretches of a text whose common prefixes are taken side by side, and the least bytes of each.
 STRANDS, STRETCH = 8192, 128
 
@@ -206,9 +208,9 @@ def least_documents(pieces: list[bytes], docs: np.ndarray, window: int, shard_by
         group = np.cumsum(new) - 1
         places, group = sa[whole], group[whole]
         owner = np.repeat(docs[a:b], sizes)[places]
-        groups, at = np.unique(group, return_inverse=True)
-        least = np.full(len(groups), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, owner)
+        head = np.flatnonzero(np.diff(group, prepend=-1))  # groups come in order
+        at = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(group))))
+        least = np.minimum.reduceat(owner, head) if len(head) else owner
         sorted_shards.append((text, sizes, places, at, least))
     if len(shards) > 1:
         heads = []
@@ -368,10 +370,10 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         raws = part.column("bytes").to_pylist()
         sizes, names, whos = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("sizes", "<u4"), ("names", "<u4"), ("doc", "<i8")))
         ends = [np.cumsum(x.astype(np.int64)) for x in sizes]
-        parts = sum(map(len, raws)) // shard_bytes + 1
+        parts = sum(map(len, raws)) // RANGE + 1
         cuts = ranges(names, parts)
         found = [[] for _ in raws]
-        for p in range(parts):  # ranges of names of about a shard; one name's pieces may be more
+        for p in range(parts):  # ranges of names; one name's pieces may be more than a shard
             seen, least, entries = {}, [], []
             for raw, size, end, who, c in zip(raws, sizes, ends, whos, cuts, strict=True):
                 mine = []
