@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, metric_join, mixing, packing, quality, recompression, runs, simhash, suffixes, topk, whitening
+from . import chat, licenses, lsh, metric_join, mixing, packing, quality, recompression, runs, simhash, suffixes, topk, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_trie": simhash.op8_simhash_trie,
         "op9_embedding_near_dedup": metric_join.op9_embedding_near_dedup,
         "op10_quality_resampling": quality.op10_quality_resampling,
+        "op11_multiprobe_lsh": lsh.op11_multiprobe_lsh,
         "op12_whitening": whitening.op12_whitening,
         "op13_periodic_runs": runs.op13_periodic_runs,
     }
