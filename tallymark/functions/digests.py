@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.functions.canonical import document_text
+
 
 def row_digest(columns: Sequence[str | Column]) -> Column:
     """SHA-256 of a row's canonical JSON: the columns by name, nulls included (D3)."""
@@ -34,14 +36,9 @@ def set_digest(keys: Column) -> Column:
     return F.sha2(F.concat_ws("/", F.sum(one).cast("string"), F.sum(two).cast("string"), F.count(F.lit(1)).cast("string")), 256)
 
 
-def canonical_digest(document: Column, identity: str) -> Column:
-    """SHA-256 of a variant's canonical JSON without its top-level field ``identity``, a hex digest.
-
-    A variant keeps its fields sorted and prints without spaces, so documents of strings, whole numbers, booleans, nulls, lists and
-    objects have one canonical form. The field's name must not occur deeper in the document.
-    """
-    text = F.regexp_replace(F.to_json(document), f'"{identity}":"[0-9a-f]*",?', "")
-    return F.sha2(F.regexp_replace(text, r",\}$", "}"), 256)
+def document_digest(text: Column, identity: str) -> Column:
+    """SHA-256 of a JSON object's canonical text without its top-level field ``identity`` (D1, D2, D6, X12); null if it is none."""
+    return F.sha2(document_text(text, identity), 256)
 
 
 #: Consecutive order numbers that :func:`ordered_digest` digests together.

@@ -96,6 +96,52 @@ def identity_rules(runs: DataFrame) -> DataFrame:
     })
 
 
+def run_identity_rules(found: DataFrame) -> DataFrame:
+    """Identities that runs store but their documents do not have (V4), from ``identity.run_identities``; the key is the run's folder."""
+    rules = {f"{n}-id-mismatch": ~F.col(f"stored_{n}_id").eqNullSafe(F.col(f"{n}_id")) | F.col(f"{n}_id").isNull() for n in ("config", "environment", "platform")}
+    return rule_rows(found, ["folder"], rules | {"run-key-mismatch": ~F.col("run_key").eqNullSafe(F.col("folder")) | ~F.col("stored_run_key").eqNullSafe(F.col("folder"))})
+
+
+def sample_rules(runs: DataFrame, samples: DataFrame) -> DataFrame:
+    """Samples of committed runs against their configuration, and what their summaries say of themselves (V3).
+
+    ``runs``: run_key and the structs ``config`` and ``summary``; ``samples``: run_key, elapsed_seconds, items_processed.
+    """
+    counted = samples.groupBy("run_key").agg(F.count("*").alias("_n"), F.count_if(F.col("items_processed") > 0).alias("_items"))
+    passes = F.col("config.timed_passes_per_run")
+    return rule_rows(runs.join(counted, "run_key", "left"), ["run_key"], {
+        "sample-count-mismatch": (F.coalesce(passes, F.lit(0)) <= 0) | (passes != F.coalesce("_n", F.lit(0))),
+        "items-processed-not-positive": F.col("_items") != F.col("_n"),
+        "summary-status": ~F.col("summary.status").eqNullSafe(F.lit("complete")),
+        "summary-schema": ~F.col("summary.schema_version").eqNullSafe(F.lit("2.0")),
+    })
+
+
+def runtime_rules(runs: DataFrame) -> DataFrame:
+    """What runs' processes reported against their configuration (V6); ``runs``: run_key and the structs ``config`` and ``runtime``.
+
+    A run that decodes in its own process has the requested number of effective threads. A loader has one handshake of each
+    worker, or of the process itself without any: with distinct, positive process ids, the start method, and the threads.
+    """
+    c, r = F.col("config"), F.col("runtime")
+    decode, hands, workers = c["protocol_id"] == "decode-memory", r["worker_handshakes"], F.coalesce(c["num_workers"], F.lit(0))
+    wrong = lambda threads: (F.coalesce(threads, F.lit(0)) <= 0) | (c["requested_threads"].isNotNull() & (threads != c["requested_threads"]))
+    method = F.when(workers == 0, F.lit("in-process")).otherwise(c["multiprocessing_start_method"])
+    pids = F.transform(hands, lambda h: h["process_id"])
+    loader = ~decode
+    return rule_rows(runs, ["run_key"], {
+        "effective-threads": decode & wrong(r["effective_threads"]),
+        "runtime-start-method": loader & ~r["multiprocessing_start_method"].eqNullSafe(method),
+        "worker-count": loader & (F.coalesce(F.size(hands), F.lit(-1)) != F.greatest(workers, F.lit(1))),
+        "worker-threads": loader & F.exists(hands, lambda h: wrong(h["effective_threads"])),
+        "worker-pid": loader & F.exists(pids, lambda p: F.coalesce(p, F.lit(0)) <= 0),
+        "repeated-pid": loader & (F.size(F.array_distinct(pids)) != F.size(pids)),
+        "worker-start-method": loader & F.exists(hands, lambda h: ~h["multiprocessing_start_method"].eqNullSafe(method)),
+        "workers-not-reused": loader & ~r["persistent_workers_reused"].eqNullSafe(F.lit(True)),
+        "coordinator-pid": loader & (r["process_id"].isNull() | ((workers == 0) & F.exists(pids, lambda p: p != r["process_id"])) | ((workers > 0) & F.array_contains(pids, r["process_id"]))),
+    })
+
+
 def dataset_rules(runs: DataFrame) -> DataFrame:
     """Fields that a run's configuration and dataset documents both name and must agree on (V4); ``runs`` as structs ``config`` and ``dataset``."""
     fields = ("manifest_id", "package_id", "selection_id", "support_policy")

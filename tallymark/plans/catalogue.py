@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import columns as X
 from tallymark.functions import digests
 from tallymark.operators import catalog, decisions, matrix, metrics, profiles, publish, support, validate
-from tallymark.plans.fixtures import read, view, with_views
+from tallymark.plans import registered
+from tallymark.plans.fixtures import read, view
+from tallymark.plans.registered import Query, query
 from tallymark.sources import images as image_scans
 from tallymark.sources.sinks import materialize, shared_folder
 from tallymark.streaming import runs as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 AGG_KEYS = ["workload", "machine_type", "protocol", "decoder", "requested_threads", "workers"]
 CONTROLS = [("dec-05", 1), ("dec-07", 1), ("dec-10", 1)]
 GRID = [0, 2, 4, 8, 12]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = with_views(sql)
-        return f
-
-    return keep
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from tallymark.plans import evidence_queries  # noqa: F401  registers its own
+
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(registered.SQL)
 
 
 # ---- shared plans -------------------------------------------------------------------------------

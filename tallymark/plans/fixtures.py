@@ -63,6 +63,20 @@ from {events}""",
     "f_attempts": """
 select user_id as run_key, event_id as attempt_id, event_type as status, ts as finished_at, value as duration_seconds
 from {events}""",
+    "f_specs": """
+select o_orderkey as id, o_orderpriority as workload_id, c_name as machine, c_nationkey as nation, c_mktsegment as segment,
+       case when o_custkey % 2 = 0 then 'decode-memory' else 'loader-supply' end as protocol_id,
+       concat('dec-', lpad(cast(o_custkey % 12 as string), 2, '0')) as decoder_id,
+       case when o_custkey % 3 <> 0 then 1 + o_custkey % 4 end as requested_threads,
+       case when o_custkey % 2 = 1 then (o_orderkey % 3) * 4 end as num_workers,
+       case when o_custkey % 2 = 1 then 16 end as batch_size,
+       case when o_custkey % 2 = 1 and o_orderkey % 3 > 0 then 2 end as prefetch_factor,
+       o_custkey % 2 = 1 and o_orderkey % 3 > 0 as persistent_workers,
+       case when o_custkey % 2 = 1 and o_orderkey % 3 > 0 then 'spawn' end as start_method,
+       1 + o_orderkey % 3 as logical_repeat_factor, 1 + o_orderkey % 2 as warmup_passes, 1 + o_orderkey % 4 as timed_passes,
+       case o_orderkey % 4 when 0 then 1.0 when 1 then o_totalprice when 2 then o_totalprice / 1e11 else o_totalprice * 1e17 end as minimum_timed_seconds,
+       o_orderkey % 5 as repetition, o_orderkey % 101 as block_position
+from {orders} join {customer} on o_custkey = c_custkey""",
     "f_distributions": """
 select p_size % 4 as environment_id, p_brand as name, case when p_brand like '%3' then p_type else 'v1' end as version
 from {part}""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.digests import canonical_digest
+from tallymark.functions.digests import document_digest
 from tallymark.operators.validate import rule_rows, union_all, violation
 from tallymark.sources import schemas
 
@@ -24,17 +24,25 @@ def _stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Committed runs under ``root/runs/<run_key>/`` with their documents as structs.
+def run_documents(spark: SparkSession, root: str) -> DataFrame:
+    """``run_key, texts``: the JSON documents of each folder under ``root/runs`` by their name, from one scan and one exchange.
 
-    A run exists only where its ``COMMITTED.json`` does; hidden staging folders are not seen. A missing
-    document is a null struct; the bundle's manifest is ``bundle_manifest``.
+    Only folders with a ``COMMITTED.json`` are runs; hidden staging folders are not seen.
     """
-    runs = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), F.struct("*").alias("marker"))
-    for name, schema in schemas.DOCUMENTS.items():
-        doc = _json(spark, f"{root}/runs/[^._]*/{name}.json", schema).select(_folder().alias("run_key"), F.struct("*").alias(name))
-        runs = runs.join(doc, "run_key", "left")
-    return runs
+    docs = spark.read.text(f"{root}/runs/[^._]*/*.json", wholetext=True).select(_folder().alias("run_key"), F.struct(_stem().alias("name"), "value").alias("_d"))
+    texts = F.map_from_entries(F.collect_list("_d")).alias("texts")  # a bundle has a fixed set of documents
+    return docs.groupBy("run_key").agg(texts).filter(F.map_contains_key("texts", "COMMITTED"))
+
+
+def parse_runs(documents: DataFrame) -> DataFrame:
+    """Runs with their documents as structs; a missing document is a null struct, the bundle's manifest is ``bundle_manifest``."""
+    parsed = {"marker": ("COMMITTED", schemas.MARKER)} | {n: (n, s) for n, s in schemas.DOCUMENTS.items()}
+    return documents.select("run_key", *[F.from_json(F.col("texts")[name], schema).alias(column) for column, (name, schema) in parsed.items()])
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Committed runs under ``root/runs/<run_key>/`` with their documents as structs."""
+    return parse_runs(run_documents(spark, root))
 
 
 def marker_rules(runs: DataFrame) -> DataFrame:
@@ -66,14 +74,15 @@ def payload_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
 def content_rules(spark: SparkSession, path: str, identity: str, file_named: bool = False) -> DataFrame:
     """Content-addressed JSON documents whose ``identity`` is not the digest of the rest (V1, V4, V9), or not their file name.
 
-    The identity is SHA-256 of the canonical JSON of all other fields, which Spark recomputes from the document as a variant.
+    The identity is SHA-256 of the canonical JSON of all other fields, at the document's top level.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), _stem().alias("_stem"), "value")
-    docs = docs.withColumn("_doc", F.try_parse_json("value")).withColumn("_id", F.try_variant_get("_doc", f"$.{identity}", "string"))
+    docs = spark.read.text(path, wholetext=True).select(_stem().alias("_stem"), "value")
+    docs = docs.select("_stem", document_digest(F.col("value"), identity).alias("_digest"), F.get_json_object("value", f"$.{identity}").alias("_id"))
+    good = F.col("_digest").isNotNull()
     return rule_rows(docs, ["_stem"], {
-        "not-json": F.col("_doc").isNull(),
-        "identity-mismatch": F.col("_doc").isNotNull() & ~F.col("_id").eqNullSafe(canonical_digest(F.col("_doc"), identity)),
-        "file-name": F.lit(file_named) & F.col("_doc").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_stem")),
+        "not-json": ~good,
+        "identity-mismatch": good & ~F.col("_id").eqNullSafe(F.col("_digest")),
+        "file-name": F.lit(file_named) & good & ~F.col("_id").eqNullSafe(F.col("_stem")),
     })
 
 
