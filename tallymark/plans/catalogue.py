@@ -791,8 +791,7 @@ def stream_attempt_status(spark, d):
     target, checkpoint = shared_folder(spark, "status"), shared_folder(spark, "stream")
     rename = lambda df: df.select(F.col("user_id").alias("run_key"), F.col("event_id").alias("attempt_id"), F.col("event_type").alias("status"), F.col("ts").alias("finished_at"))
     streams.stream_attempt_status(spark, path, spark.read.parquet(path).schema, target, checkpoint, rename).awaitTermination()
-    written = spark.read.parquet(target)
-    last = written.join(written.agg(F.max("batch").alias("batch")), "batch").drop("batch")
     import datetime
 
-    return streams.stale(last, datetime.datetime(2024, 1, 20), 86400).select("run_key", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "attempts", "stale")
+    last = streams.stale(streams.current_status(spark, target).drop("stale"), datetime.datetime(2024, 1, 20), 86400)
+    return last.select("run_key", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "attempts", "stale")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import identity
 from tallymark.operators import validate
-from tallymark.plans.fixtures import view
+from tallymark.plans.fixtures import read, view
 from tallymark.plans.registered import query
-from tallymark.sources import evidence
+from tallymark.sources.sinks import shared_folder
+from tallymark.streaming import runs as streams
 
 
 def _sha(*parts: str | Column) -> Column:
@@ -130,3 +131,32 @@ def runtime_rules(spark, d):
     )
     config = F.struct("protocol_id", "num_workers", "requested_threads", F.col("start_method").alias("multiprocessing_start_method"))
     return validate.runtime_rules(s.select(at.alias("run_key"), config.alias("config"), runtime.alias("runtime"))).select("key", "rule")
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+@query("""select o_orderpriority as plan_id, o_custkey % 3 as cell, count(*) as n, round(avg(o_totalprice), 3) as mean, round(stddev_samp(o_totalprice), 3) as sample_std, min(o_totalprice) as least, max(o_totalprice) as largest
+from orders where o_orderstatus = 'F' group by all""")
+def stream_cell_statistics(spark, d):
+    """Orders arrive in four files, one a batch, and the first file's rows once more in a fifth."""
+    source, target, checkpoint, kept = (shared_folder(spark, n) for n in ("orders", "runs", "stream", "cells"))
+    orders = read(spark, d, "orders").withColumn("cell", F.col("o_custkey") % 3)
+    orders.repartition(4, "o_orderkey").write.parquet(source)
+    orders.filter("o_orderkey % 4 = 0").coalesce(1).write.mode("append").parquet(source)
+    cells = streams.Cells(kept, ["o_orderpriority", "cell"], "o_totalprice")
+    streams.stream_committed_runs(spark, source, orders.schema, target, checkpoint, "o_orderstatus = 'F'", "o_orderkey", 1, cells).awaitTermination()
+    found = streams.read_cells(spark, cells)
+    return found.select(F.col("o_orderpriority").alias("plan_id"), "cell", "n", F.round("mean", 3).alias("mean"), F.round("sample_std", 3).alias("sample_std"), "least", "largest")
+
+
+@query("""with a as (select run_key, attempt_id, status, case when run_key % 3 = 0 then finished_at + interval 400 year else finished_at end as t from f_attempts)
+select run_key, arg_max(status, (t, attempt_id)) as status, count(*) as attempts, run_key % 3 <> 0 as stale from a group by run_key""")
+def stream_stale_runs(spark, d):
+    """Runs fell silent long ago, but for every third, whose times lie far ahead; timers flag the others."""
+    path = f"{d}/events.parque[t]"
+    target, checkpoint = shared_folder(spark, "status"), shared_folder(spark, "stream")
+    ahead = F.when(F.col("user_id") % 3 == 0, F.col("ts") + F.make_ym_interval(years=F.lit(400))).otherwise(F.col("ts"))
+    rename = lambda df: df.select(F.col("user_id").alias("run_key"), F.col("event_id").alias("attempt_id"), F.col("event_type").alias("status"), ahead.alias("finished_at"))
+    streams.stream_attempt_status(spark, path, spark.read.parquet(path).schema, target, checkpoint, rename, timeout_seconds=3600).awaitTermination()
+    return streams.current_status(spark, target).drop("updated_at")

@@ -18,8 +18,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: in ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder that driver and executors share: in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors run on this machine takes a temporary one; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise EvidenceError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
