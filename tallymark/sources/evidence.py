@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.digests import document_digest
 from tallymark.operators.validate import rule_rows, union_all, violation
 from tallymark.sources import schemas
+from tallymark.sources.files import read_files
 
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
@@ -60,15 +61,10 @@ def marker_rules(runs: DataFrame) -> DataFrame:
 
 
 def payload_files(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(listed, files)`` of committed bundles for :func:`payload_rules` (V2): what manifests say, and the files' bytes.
-
-    Spark's scans skip empty files, so those that a manifest rightly lists as empty are left out of ``listed``.
-    """
+    """``(listed, files)`` of committed bundles for :func:`payload_rules` (V2): what manifests say, and the files' bytes, those of empty files too."""
     listed = read_runs(spark, root).select("run_key", F.explode("bundle_manifest.files").alias("_name", "_f"))
     listed = listed.select(F.concat_ws("/", "run_key", "_name").alias("path"), F.col("_f.bytes").alias("bytes"), F.col("_f.sha256").alias("sha256"))
-    listed = listed.filter((F.col("bytes") > 0) | (F.col("sha256") != F.sha2(F.lit(""), 256)))
-    files = spark.read.format("binaryFile").load(f"{root}/runs/[^._]*/*").select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "content")
-    return listed, files
+    return listed, read_files(spark, f"{root}/runs").select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "content")
 
 
 def content_rules(spark: SparkSession, path: str, identity: str, file_named: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.columns import crc32_hex, item_id, member_parts, subsampling_label
 from tallymark.operators.catalog import nearest_quality
 from tallymark.operators.validate import duplicates, require_non_empty, rule_rows, union_all, violation
+from tallymark.sources.files import list_archives, list_files, read_files
 
 PROFILE = (
     "path string, width int, height int, components int, progressive boolean, scan_count int, horizontal int, vertical int, "
@@ -23,11 +22,9 @@ FRAME_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
 
 def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg"), content: bool = True) -> DataFrame:
-    """Files under ``root`` with one of the suffixes, in any case, by path (S1); an empty scan is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    wanted = files.filter(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$"))
-    columns = ["path", F.col("length").alias("size"), *(["content"] if content else [])]
-    return require_non_empty(wanted.select(*columns), f"the scan of {root}")
+    """Files under ``root`` with one of the suffixes, in any case, empty ones too, by path (S1); an empty scan is an error."""
+    files = read_files(spark, root) if content else list_files(spark, root).select("path", F.col("length").alias("size"))
+    return require_non_empty(files.filter(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")), f"the scan of {root}")
 
 
 def with_identity(images: DataFrame, root: str) -> DataFrame:
@@ -38,37 +35,25 @@ def with_identity(images: DataFrame, root: str) -> DataFrame:
 
 
 def scan_sources(spark: SparkSession, root: str, smallest: int) -> tuple[DataFrame, DataFrame]:
-    """Lossless sources under ``root`` and what disqualifies the set (S2): not PNG, too small or repeated.
-
-    Spark's scans skip empty files, so those are no sources at all.
-    """
+    """Lossless sources under ``root`` and what disqualifies the set (S2): empty, not PNG, too small or repeated."""
     files = scan_images(spark, root, ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"))
     number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
     png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
     out = files.select("path", "size", png.alias("png"), F.sha2("content", 256).alias("sha256"), F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
-    rules = rule_rows(out, ["path"], {"not-png": ~F.col("png"), "too-small": F.greatest("width", "height") < smallest})
+    rules = rule_rows(out, ["path"], {"empty": F.col("size") == 0, "not-png": ~F.col("png"), "too-small": F.greatest("width", "height") < smallest})
     return out.filter("png"), rules.unionByName(violation(duplicates(out, ["sha256"]), ["sha256"], "repeated-source", F.col("n")))
 
 
 def scan_archive_catalog(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Members of many ZIP archives whose names follow the catalogue's rule, and repeated ones as violations (S3).
+    """Members of many ZIP archives whose names follow the catalogue's rule (S3); second: repeated ones and archives that cannot be read, as violations.
 
-    One row an archive is read through Spark (2 GB at most each); only the directory is parsed, no member is unpacked.
+    Of each archive only the directory at its end is read, whatever its size; no member is unpacked.
     """
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    infos = [i for i in archive.infolist() if not i.is_dir()]
-                yield pd.DataFrame({"archive_path": path, "zip_member": [i.filename for i in infos], "jpeg_bytes": [i.file_size for i in infos], "zip_compressed_bytes": [i.compress_size for i in infos], "crc32": [f"{i.CRC:08x}" for i in infos]})
-
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
     device, provenance, scene = member_parts(F.col("zip_member"))
-    listed = files.mapInPandas(members, "archive_path string, zip_member string, jpeg_bytes long, zip_compressed_bytes long, crc32 string")
-    listed = listed.withColumns({"device_id": device, "provenance": provenance, "scene_id": scene}).filter("scene_id is not null")
+    found = list_archives(spark, pattern)
+    listed = found.withColumns({"device_id": device, "provenance": provenance, "scene_id": scene}).filter("scene_id is not null").drop("error")
     twice = violation(duplicates(listed, ["device_id", "provenance", "scene_id"]), ["device_id", "provenance", "scene_id"], "repeated-member", F.col("n"))
-    return listed, twice
+    return listed, twice.unionByName(violation(found.filter("error is not null"), ["archive_path"], "unreadable-archive", F.col("error")))
 
 
 def header(data: bytes) -> dict[str, object]:

@@ -155,7 +155,7 @@ def test_payload_of_bundles(spark, tmp_path):
     for key in ("r1", "r2", "r3"):
         write_run(tmp_path, key)
     listed, files = evidence.payload_files(spark, str(tmp_path))
-    assert listed.count() == 24 and validate.payload_rules(listed, files).count() == 0
+    assert listed.count() == 27 and validate.payload_rules(listed, files).count() == 0
     (tmp_path / "runs/r2/events.jsonl").write_text('{"event": "warmuq"}\n')
     (tmp_path / "runs/r3/platform.json").unlink()
     found = validate.payload_rules(*evidence.payload_files(spark, str(tmp_path))).collect()
