@@ -21,7 +21,7 @@ GRID = [0, 2, 4, 8, 12]
 
 
 def queries() -> dict[str, Query]:
-    from tallymark.plans import evidence_queries  # noqa: F401  registers its own
+    from tallymark.plans import evidence_queries, tree_queries  # noqa: F401  they register their own
 
     return dict(registered.QUERIES)
 
