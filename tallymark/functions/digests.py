@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallymark.functions.canonical import document_text
 
@@ -46,9 +49,28 @@ BLOCK = 1 << 16
 
 
 def sequence_digest(df: DataFrame, keys: Sequence[str], value: str, name: str = "digest") -> DataFrame:
-    """SHA-256 of a group's sorted values, a newline after each."""
-    lines = F.array_sort(F.collect_list(F.col(value).cast("string")))
-    return df.groupBy(*keys).agg(F.sha2(F.concat(F.concat_ws("\n", lines), F.lit("\n")), 256).alias(name), F.count("*").alias("n"))
+    """SHA-256 of a group's sorted values, a newline after each, and how many there are as ``n``.
+
+    The digest's format takes all values of a group in order, so a group is one task; it passes through as a sorted
+    stream of batches that update one hash, and no task holds a group. Null values are left out of the digest but counted; without any other the digest is that of one newline.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    schema = StructType([StructField(k, types[k]) for k in keys] + [StructField(name, StringType()), StructField("n", LongType())])
+    sorted_rows = df.select(*keys, F.col(value).cast("string").alias("_value")).repartition(*keys).sortWithinPartitions(*keys, "_value")
+
+    def digest(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, n, empty = hashlib.sha256(), 0, True
+        for batch in batches:
+            values = batch.column("_value").drop_null()
+            n += batch.num_rows
+            if len(values):
+                state.update(("\n".join(values.to_pylist()) + "\n").encode())
+            empty = empty and not len(values)
+        if empty:
+            state.update(b"\n")
+        yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], pa.array([state.hexdigest()]), pa.array([n], pa.int64())], names=[*keys, name, "n"])
+
+    return sorted_rows.groupBy(*keys).applyInArrow(digest, schema)
 
 
 def comparison_key(identity: Column) -> Column:

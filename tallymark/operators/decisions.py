@@ -160,3 +160,17 @@ def matrix_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -
 def scope_check(runs: DataFrame, scopes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Runs that no allowed row of ``scopes`` matches."""
     return runs.join(F.broadcast(scopes), null_safe(runs, scopes, keys), "left_anti")
+
+
+def set_gaps(expected: DataFrame, observed: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
+    """Cells whose set of whole numbers ``member`` is not the expected one (J14, V11): how many are missing, extra and repeated.
+
+    Repetitions, or items by their ordinals, become bits: one aggregate, merged before the shuffle, makes the bitmaps of each cell and each 32,768
+    numbers (a null counts as no number), so a cell is a few bytes of its rows whatever its size. Null keys are cells like others.
+    """
+    sides = expected.select(*keys, member, F.lit(False).alias("_seen")).unionByName(observed.select(*keys, member, F.lit(True).alias("_seen"))).filter(F.col(member).isNotNull())
+    bit, seen = F.bitmap_bit_position(member), F.col("_seen")
+    bits = lambda c: F.bitmap_count(F.bitmap_construct_agg(c))
+    parts = sides.groupBy(*keys, F.bitmap_bucket_number(member).alias("_bucket")).agg(bits(F.when(~seen, bit)).alias("_e"), bits(F.when(seen, bit)).alias("_o"), bits(bit).alias("_all"), F.count_if(seen).alias("_n"))
+    out = parts.groupBy(*keys).agg(F.sum(F.col("_all") - F.col("_o")).alias("missing"), F.sum(F.col("_all") - F.col("_e")).alias("extra"), F.sum(F.col("_n") - F.col("_o")).alias("repeated"))
+    return out.filter("missing > 0 or extra > 0 or repeated > 0")

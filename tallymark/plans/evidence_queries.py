@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import identity
-from tallymark.operators import validate
+from tallymark.operators import decisions, validate
 from tallymark.plans.fixtures import read, view
 from tallymark.plans.registered import query
 from tallymark.sources.sinks import shared_folder
@@ -133,6 +133,20 @@ def runtime_rules(spark, d):
     return validate.runtime_rules(s.select(at.alias("run_key"), config.alias("config"), runtime.alias("runtime"))).select("key", "rule")
 
 
+@query("""with e as (select plan_id, workload_id, r.r from (select distinct plan_id, workload_id from f_runs) cross join range(0, 40000, 7) r(r)), o as (select plan_id, workload_id, run_key % 40000 // 7 * 7 as r from f_runs union all select plan_id, workload_id, 1 from f_runs where run_key % 500 = 3 and workload_id = 'mixed'),
+d as (select plan_id, workload_id, r, count(*) as n from o group by all),
+j as (select coalesce(e.plan_id, d.plan_id) as plan_id, coalesce(e.workload_id, d.workload_id) as workload_id, case when d.r is null then 1 else 0 end as m, case when e.r is null then 1 else 0 end as x, coalesce(n - 1, 0) as t
+  from e full join d on e.plan_id = d.plan_id and e.workload_id = d.workload_id and e.r = d.r)
+select plan_id, workload_id, sum(m)::bigint as missing, sum(x)::bigint as extra, sum(t)::bigint as repeated from j group by all having sum(m) + sum(x) + sum(t) > 0""")
+def set_gaps(spark, d):
+    """Each plan and workload should have every seventh number up to 40,000; the runs bring some of them, often twice, and a few others."""
+    runs = view(spark, d, "f_runs")
+    expected = runs.select("plan_id", "workload_id").distinct().crossJoin(F.broadcast(spark.range(0, 40000, 7).withColumnRenamed("id", "r")))
+    other = runs.filter("run_key % 500 = 3 and workload_id = 'mixed'").select("plan_id", "workload_id", F.lit(1).cast("long").alias("r"))
+    observed = runs.select("plan_id", "workload_id", F.expr("run_key % 40000 div 7 * 7").alias("r")).unionByName(other)
+    return decisions.set_gaps(expected, observed, ["plan_id", "workload_id"], "r")
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 
