@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.columns import STATISTICS, finite_positive, throughput
 from tallymark.operators.ranks import running_sum
+from tallymark.operators.selection import with_quantiles
 from tallymark.operators.validate import violation
 
 #: Decimals of aggregates over several rows, whose last bits depend on the order of summation.
@@ -22,7 +23,8 @@ def rounded(value: Column) -> Column:
 def summarize_distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, exact median, minimum, maximum, sample deviation (null for one value) and its ratio to the mean (A1)."""
     v = F.col(value)
-    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.stddev_samp(v).alias("sample_std"))
+    stats = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.stddev_samp(v).alias("sample_std"))
+    out = with_quantiles(stats, df, keys, value, {"median": 0.5})
     out = out.withColumn("coefficient_of_variation", rounded(F.try_divide("sample_std", "mean")))
     return out.select(*keys, "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "median")], "minimum", "maximum", rounded(F.col("sample_std")).alias("sample_std"), "coefficient_of_variation")
 
@@ -102,20 +104,10 @@ def aggregate_measurements(measurements: DataFrame, keys: Sequence[str], repetit
 def distribution_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Minimum, 10 %, median, 90 % and maximum of each column by linear interpolation at (n - 1) p (A7), one row a column."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select(*keys, "m.*").filter("v is not null")
-    # distinct values with their counts, and how many rows there are up to each: no group's values are held in one place
     by = [*keys, "metric"]
-    placed = running_sum(long.groupBy(*by, "v").agg(F.count("*").alias("n")), by, ["v"], F.col("n"), "upto")
-    whole = long.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.count("*").alias("rows"), F.min("v").alias("minimum"), F.max("v").alias("maximum"))
-    same = F.lit(True)
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    whole = long.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"))
     points = {"q10": 0.1, "median": 0.5, "q90": 0.9}
-    at = {n: (F.col("rows") - 1) * p for n, p in points.items()}
-    # the value at a rank is the least one up to which there are more rows than that
-    ends = [F.min(F.when(F.col("upto") > edge(x), F.col("v"))).alias(f"{n}_{side}") for n, x in at.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))]
-    out = placed.join(whole, same).groupBy(*by, "rows", "minimum", "maximum").agg(*ends)
-    between = lambda n: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (at[n] - F.floor(at[n]))
-    return out.select(*by, "minimum", *[rounded(between(n)).alias(n) for n in points], "maximum")
+    return with_quantiles(whole, long, by, "v", points).select(*by, "minimum", *[rounded(F.col(n)).alias(n) for n in points], "maximum")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
