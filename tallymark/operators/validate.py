@@ -235,9 +235,43 @@ def output_contract(dtype: Column, rank: Column, channels: Column, contiguous: C
 
 
 def evidence_rules(runs: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Runs against the expectations of their workload: revision, item count, status, one sample."""
+    """Runs against the expectations of their workload: revision, item count, status, one sample, and output contract and manifest where both sides say."""
     joined = runs.join(F.broadcast(expectations), "workload_id", "left")
-    return rule_rows(joined, ["run_key"], {"unknown-workload": F.col("expected_items").isNull(), "item-count": F.col("items") != F.col("expected_items"), "revision": F.col("runner_revision") != F.col("expected_revision"), "not-completed": F.col("status") != "completed", "sample-count": F.col("sample_count") != 1})
+    rules = {"unknown-workload": F.col("expected_items").isNull(), "item-count": F.col("items") != F.col("expected_items"), "revision": F.col("runner_revision") != F.col("expected_revision"), "not-completed": F.col("status") != "completed", "sample-count": F.col("sample_count") != 1}
+    if "output_contract" in runs.columns:
+        rules["output-contract"] = ~F.col("output_contract").eqNullSafe(F.lit("normalized-rgb"))
+    if "manifest_id" in runs.columns and "expected_manifest" in expectations.columns:
+        rules["manifest"] = F.col("expected_items").isNotNull() & ~F.col("manifest_id").eqNullSafe(F.col("expected_manifest"))
+    return rule_rows(joined, ["run_key"], rules)
+
+
+def selection_rules(selections: DataFrame, items: DataFrame) -> DataFrame:
+    """Selections ``selection_id, manifest_id, method, expected_items`` against the items of their manifests."""
+    found = items.groupBy("manifest_id").agg(F.count("*").alias("_n"), F.count_distinct("item_id").alias("_d"))
+    return rule_rows(selections.join(found, "manifest_id", "left"), ["selection_id"], {
+        "unknown-method": ~F.col("method").eqNullSafe(F.lit("all")),
+        "expected-items-not-positive": F.coalesce("expected_items", F.lit(0)) <= 0,
+        "item-count": F.col("expected_items") != F.coalesce("_n", F.lit(0)),
+        "repeated-items": F.col("_d") < F.col("_n"),
+    })
+
+
+def design_rules(design: DataFrame, sources: DataFrame, longest: int = 65535, best: int = 95) -> DataFrame:
+    """A controlled design ``design_id, kind, value`` (V14), kind ``edge`` (null: native), ``quality`` or ``limit``, and its sources ``design_id, relative_path, sha256``.
+
+    Edges and qualities are positive, bounded and named once; each design has one of both at least, a positive byte limit, and
+    sources that differ in path or content.
+    """
+    v, kind = F.col("value"), F.col("kind")
+    bad = rule_rows(design, ["design_id", "value"], {
+        "edge-out-of-range": (kind == "edge") & ((v <= 0) | (v > longest)), "quality-out-of-range": (kind == "quality") & ~F.coalesce(v.between(1, best), F.lit(False)), "limit-not-positive": (kind == "limit") & (F.coalesce(v, F.lit(0)) <= 0),
+    })
+    twice = duplicates(design.filter(kind.isin("edge", "quality")), ["design_id", "kind", "value"])
+    repeated = twice.select(F.concat_ws("/", F.col("design_id").cast("string"), F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("key"), F.concat(F.lit("repeated-"), "kind").alias("rule"), F.col("n").cast("string").alias("detail"))
+    per = design.groupBy("design_id").agg(F.count_if(kind == "edge").alias("_e"), F.count_if(kind == "quality").alias("_q"))
+    gaps = rule_rows(per, ["design_id"], {"no-level": F.col("_e") == 0, "no-quality": F.col("_q") == 0})
+    same = violation(duplicates(sources, ["design_id", "relative_path", "sha256"]), ["design_id", "relative_path"], "repeated-source", F.col("n"))
+    return union_all([bad, repeated, gaps, same])
 
 
 def all_values_valid(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import identity
@@ -17,6 +17,10 @@ def _sha(*parts: str | Column) -> Column:
     return F.sha2(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
 
+def _text(*parts: str | Column) -> Column:
+    return F.concat(F.lit(parts[0]), *[F.col(p) if isinstance(p, str) else p for p in parts[1:]])
+
+
 def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
 
@@ -133,6 +137,44 @@ def runtime_rules(spark, d):
     return validate.runtime_rules(s.select(at.alias("run_key"), config.alias("config"), runtime.alias("runtime"))).select("key", "rule")
 
 
+@query("""select id::varchar as key, unnest(list_filter([case when workload_id like '5%' then 'unknown-workload' end, case when id % 9 = 0 and workload_id not like '5%' then 'item-count' end, case when id % 4 = 0 then 'output-contract' end,
+  case when id % 6 = 0 and workload_id not like '5%' then 'manifest' end], lambda x: x is not null)) as rule from f_specs""")
+def evidence_contract(spark, d):
+    """Runs with their contract and manifest; one workload is not expected at all."""
+    s, k = view(spark, d, "f_specs"), F.col("id")
+    runs = s.select(k.alias("run_key"), "workload_id", F.when(k % 9 == 0, 4).otherwise(3).alias("items"), F.lit("r").alias("runner_revision"), F.lit("completed").alias("status"), F.lit(1).alias("sample_count"),
+                    F.when(k % 4 == 0, F.when(k % 8 == 0, "raw")).otherwise("normalized-rgb").alias("output_contract"), F.when(k % 6 == 0, "other").otherwise(_sha("m", F.col("workload_id"))).alias("manifest_id"))
+    expected = s.filter("workload_id not like '5%'").select("workload_id").distinct().select("workload_id", F.lit(3).alias("expected_items"), F.lit("r").alias("expected_revision"), _sha("m", F.col("workload_id")).alias("expected_manifest"))
+    return validate.evidence_rules(runs, expected).select("key", "rule")
+
+
+@query("""with c as (select p_brand as m, count(*) as n, count(distinct p_name) as d from part group by all), s as (select m, n, d, row_number() over (order by m) as r from c)
+select 'sel ' || m as key, unnest(list_filter([case when r % 3 = 0 then 'item-count' end, case when r % 4 = 0 then 'unknown-method' end, case when d < n then 'repeated-items' end], lambda x: x is not null)) as rule from s
+union all select 'sel none', unnest(['expected-items-not-positive'])""")
+def selection_rules(spark, d):
+    """A selection of the parts of each brand, and one of a manifest without items."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("manifest_id"), F.col("p_name").alias("item_id"))
+    per = p.groupBy("manifest_id").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.orderBy("manifest_id")))  # a row a brand
+    s = per.select(_text("sel ", "manifest_id"), "manifest_id", F.when(F.col("r") % 4 != 0, "all").alias("method"), (F.col("n") + F.when(F.col("r") % 3 == 0, 1).otherwise(0)).alias("expected_items")).toDF("selection_id", "manifest_id", "method", "expected_items")
+    none = spark.createDataFrame([("sel none", "none", "all", 0)], "selection_id string, manifest_id string, method string, expected_items long")
+    return validate.selection_rules(s.unionByName(none), p).select("key", "rule")
+
+
+@query("""with d as (select c_custkey as id, 'edge' as kind, case when c_custkey % 5 = 0 then 70000 when c_custkey % 5 = 1 then null else 100 + c_custkey end as value from customer where c_custkey % 7 > 0 union all select c_custkey, 'quality', case when c_custkey % 6 = 0 then 96 else 50 end from customer
+  union all select c_custkey, 'quality', 50 from customer where c_custkey % 9 = 0 union all select c_custkey, 'limit', case when c_custkey % 8 = 0 then 0 else 9 end from customer)
+select id || '/' || coalesce(value::varchar, '') as key, case kind when 'edge' then 'edge-out-of-range' when 'quality' then 'quality-out-of-range' else 'limit-not-positive' end as rule from d where kind = 'edge' and value > 65535 or kind = 'quality' and value > 95 or kind = 'limit' and value = 0
+union all select id || '/' || coalesce(value::varchar, ''), 'repeated-' || kind from d where kind <> 'limit' group by id, kind, value having count(*) > 1 union all select c_custkey::varchar, 'no-level' from customer where c_custkey % 7 = 0
+union all select o_custkey || '/' || o_orderpriority, 'repeated-source' from orders group by o_custkey, o_orderpriority having count(*) > 1""")
+def design_rules(spark, d):
+    """A design of each customer, whose orders are its sources."""
+    c, k = read(spark, d, "customer"), F.col("c_custkey")
+    part = lambda kind, value: c.select(k.alias("design_id"), F.lit(kind).alias("kind"), value.cast("long").alias("value"))
+    edge = part("edge", F.when(k % 5 == 0, F.lit(70000)).when(k % 5 != 1, 100 + k)).filter("design_id % 7 > 0")
+    quality = part("quality", F.when(k % 6 == 0, 96).otherwise(50)).unionByName(part("quality", F.lit(50)).filter("design_id % 9 = 0"))
+    sources = read(spark, d, "orders").select(F.col("o_custkey").alias("design_id"), F.col("o_orderpriority").alias("relative_path"), F.sha2("o_orderpriority", 256).alias("sha256"))
+    return validate.design_rules(edge.unionByName(quality).unionByName(part("limit", F.when(k % 8 == 0, 0).otherwise(9))), sources).select("key", "rule")
+
+
 @query("""with e as (select plan_id, workload_id, r.r from (select distinct plan_id, workload_id from f_runs) cross join range(0, 40000, 7) r(r)), o as (select plan_id, workload_id, run_key % 40000 // 7 * 7 as r from f_runs union all select plan_id, workload_id, 1 from f_runs where run_key % 500 = 3 and workload_id = 'mixed'),
 d as (select plan_id, workload_id, r, count(*) as n from o group by all),
 j as (select coalesce(e.plan_id, d.plan_id) as plan_id, coalesce(e.workload_id, d.workload_id) as workload_id, case when d.r is null then 1 else 0 end as m, case when e.r is null then 1 else 0 end as x, coalesce(n - 1, 0) as t
