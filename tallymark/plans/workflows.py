@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.digests import ordered_digest, row_digest, sequence_digest
 from tallymark.operators import catalog, decisions, matrix, metrics, profiles, publish, support, validate
+from tallymark.sources.sinks import materialize
 
 CELL_KEYS = ["workload", "machine_type", "protocol", "decoder", "requested_threads", "workers"]
 
@@ -50,11 +51,11 @@ def evidence_document(
     """All sections of an evidence document from one table of measurements.
 
     ``cells``: the cells asked about further workers; ``audits(decoder, category, ok)``. The per-repetition means are
-    computed once and every section reads them; write or cache them when there are many. With ``runs(run_key, plan_id, workload_id,
+    written once to the shared folder, and every section reads them. With ``runs(run_key, plan_id, workload_id,
     repetition)`` and ``failures(run_key)`` come the sections ``coverage``, ``matrix`` (which plans and repetitions each workload has) and
     ``digests`` (of each plan's run keys); with ``items`` and ``timed`` (manifest rows) ``workloads`` too.
     """
-    blocks = measurements.groupBy(*CELL_KEYS, "repetition").agg(F.avg("images_per_second").alias("v"))
+    blocks = materialize(measurements.groupBy(*CELL_KEYS, "repetition").agg(F.avg("images_per_second").alias("v")), "blocks")
     everything = blocks.groupBy(*CELL_KEYS).agg(metrics.rounded(F.avg("v")).alias("mean"))
     own = decisions.controlled_threads(blocks, controls)
     agg = decisions.controlled_threads(everything, controls)

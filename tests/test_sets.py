@@ -56,3 +56,38 @@ def test_sequences_stream_through_one_hash(spark):
         want.setdefault((g, h), []).append(v)
     plain = lambda x: (hashlib.sha256(("\n".join(sorted((v for v in x if v is not None), key=str.encode)) + "\n").encode()).hexdigest(), len(x))
     assert got == {k: plain(x) for k, x in want.items()}
+
+
+def test_designs_name_each_level_once_and_within_bounds(spark):
+    from tallymark.operators import validate
+
+    design = spark.createDataFrame(
+        [("a", "edge", 32), ("a", "edge", None), ("a", "quality", 50), ("a", "limit", 9), ("b", "edge", 65536), ("b", "edge", 0), ("b", "quality", 96), ("b", "quality", None), ("b", "limit", 0), ("c", "edge", None), ("c", "edge", None), ("d", "quality", 50), ("d", "quality", 50), ("d", "limit", None)],
+        "design_id string, kind string, value long",
+    )
+    sources = spark.createDataFrame([("a", "p", "h"), ("a", "p", "g"), ("a", "q", "h"), ("b", "p", "h"), ("b", "p", "h")], "design_id string, relative_path string, sha256 string")
+    found = sorted((r.key, r.rule) for r in validate.design_rules(design, sources).collect())
+    assert found == sorted([
+        ("b/65536", "edge-out-of-range"), ("b/0", "edge-out-of-range"), ("b/96", "quality-out-of-range"), ("b/", "quality-out-of-range"), ("b/0", "limit-not-positive"), ("d/", "limit-not-positive"),
+        ("c/", "repeated-edge"), ("d/50", "repeated-quality"), ("c", "no-quality"), ("d", "no-level"), ("b/p", "repeated-source"),
+    ])
+
+
+def test_selections_hold_as_many_items_as_they_say(spark):
+    from tallymark.operators import validate
+
+    items = spark.createDataFrame([("m", "i"), ("m", "j"), ("n", "i"), ("n", "i")], "manifest_id string, item_id string")
+    rows = [("fine", "m", "all", 2), ("more", "m", "all", 3), ("none", "m", "all", None), ("zero", "gone", "all", 0), ("gone", "gone", "all", 1), ("some", "m", "first", 2), ("twice", "n", "all", 2)]
+    found = sorted((r.key, r.rule) for r in validate.selection_rules(spark.createDataFrame(rows, "selection_id string, manifest_id string, method string, expected_items int"), items).collect())
+    assert found == [("gone", "item-count"), ("more", "item-count"), ("none", "expected-items-not-positive"), ("some", "unknown-method"), ("twice", "repeated-items"), ("zero", "expected-items-not-positive")]
+
+
+def test_evidence_runs_keep_contract_and_manifest(spark):
+    from tallymark.operators import validate
+
+    names = "run_key string, workload_id string, items int, runner_revision string, status string, sample_count int, output_contract string, manifest_id string"
+    rows = [("ok", "w", 3, "r", "completed", 1, "normalized-rgb", "m"), ("contract", "w", 3, "r", "completed", 1, None, "m"), ("manifest", "w", 3, "r", "completed", 1, "normalized-rgb", None), ("other", "v", 3, "r", "completed", 1, "normalized-rgb", "m")]
+    expected = spark.createDataFrame([("w", 3, "r", "m")], "workload_id string, expected_items int, expected_revision string, expected_manifest string")
+    runs = spark.createDataFrame(rows, names)
+    assert sorted((r.key, r.rule) for r in validate.evidence_rules(runs, expected).collect()) == [("contract", "output-contract"), ("manifest", "manifest"), ("other", "unknown-workload")]
+    assert sorted((r.key, r.rule) for r in validate.evidence_rules(runs.drop("output_contract", "manifest_id"), expected).collect()) == [("other", "unknown-workload")]
