@@ -45,18 +45,15 @@ class Whitening:
         self.floor = np.array(floor, np.int64)
         self.rest = np.array([s - self.n * f for s, f in zip(self.sums, floor, strict=True)], np.int64)
 
-    def numerators(self, x: np.ndarray) -> np.ndarray:
-        """``n x - S``, exact: the difference to a whole number near the mean is multiplied, not ``x``."""
-        return self.n * (x - self.floor) - self.rest
-
     def centred(self, x: np.ndarray) -> np.ndarray:
-        return self.numerators(x) / self.n
+        """``x - S / n``: a whole number near the mean is taken off exactly, before the rest, which is below one."""
+        return (x - self.floor) - self.rest / self.n
 
     def deviations(self, x: np.ndarray) -> list[int | None]:
         """``sum (n x - S)^2`` of each row, exact; None where 64 bits do not hold it."""
         top = max(np.abs(x - self.floor).max(initial=0).item() + 1, 1) * self.n
         if x.shape[1] * top * top < 2**63:
-            return (self.numerators(x) ** 2).sum(axis=1).tolist()
+            return ((self.n * (x - self.floor) - self.rest) ** 2).sum(axis=1).tolist()
         whole = (sum((self.n * v - s) ** 2 for v, s in zip(row, self.sums, strict=True)) for row in x.tolist())
         return [d if d < 2**63 else None for d in whole]
 
@@ -117,20 +114,17 @@ def fit_whitening(distinct: DataFrame, dim: int, components: int, passes: int =
     """
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sums, low, high = 0, np.zeros(dim, object), np.full(dim, np.iinfo(np.int64).max), np.full(dim, np.iinfo(np.int64).min)
+        n, sums = 0, np.zeros(dim, object)
         for x in _matrices(batches, dim):
             n += len(x)
-            sums += x.sum(axis=0)
-            low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+            # halves of 32 bits, so that no sum of ROWS of them leaves 64 bits
+            sums += ((x >> 32).sum(axis=0).astype(object) << 32) + (x & 0xFFFFFFFF).sum(axis=0).astype(object)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array([n] * dim), pa.array([str(s) for s in sums]), pa.array(low), pa.array(high)], names=["d", "n", "s", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array([n] * dim), pa.array([str(s) for s in sums])], names=["d", "n", "s"])
 
-    found = distinct.mapInArrow(totals, "d int, n long, s string, low long, high long").groupBy("d").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = distinct.mapInArrow(totals, "d int, n long, s string").groupBy("d").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     found = sorted(found.collect())  # a row a dimension
-    spread = max(r["high"] - r["low"] for r in found)
     model = Whitening(found[0]["n"], [int(r["s"]) for r in found], np.zeros(dim), np.eye(dim), 0.0)
-    if model.n * (spread + 1) >= 2**62:
-        raise ValueError(f"{model.n} vectors with entries {spread} apart leave 64 bits")
     factors: list[np.ndarray] = []
 
     def orthogonal(x: np.ndarray) -> np.ndarray:

@@ -89,6 +89,9 @@ def test_directions_without_spread_have_no_value(spark):
 def test_empty_tables_and_great_deviations(spark):
     assert whitening.whiten(frame(spark, [(1, None)])).collect() == []
     assert whitening.whiten(frame(spark, [(1, [])])).collect() == []
+    rng = np.random.default_rng(8)
+    wide = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.normal(size=(700, 2)) * [1e7, 1.0])]
+    check(wide, whitening.whiten(frame(spark, wide)).collect(), 2)
     big = [(i, [float(np.float32(v)), 0.0]) for i, v in enumerate((-1e12, 1e12, 0.0))]
     got = whitening.whiten(frame(spark, big), 1).collect()
     assert [r.deviation for r in sorted(got)] == [None, None, 0]
