@@ -581,8 +581,8 @@ def test_plans_of_native_operators_have_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_prefixes_find_what_hubs_leave(spark, monkeypatch):
-    """Texts that share one long passage, so that many share buckets, with near copies among them; without hubs, prefixes alone connect all."""
+def test_blocks_find_what_hubs_leave(spark, monkeypatch):
+    """Texts that share one long passage, so that many share buckets, with near copies among them; without hubs, blocks alone connect all."""
     from tallymark.llm import similar
 
     rng = np.random.default_rng(4)
@@ -604,14 +604,52 @@ def test_prefixes_find_what_hubs_leave(spark, monkeypatch):
     for (d, _), l in zip(rows, label):
         want.setdefault(l, set()).add(d)
     df = docs(spark, rows).select(F.col("doc_id").alias("key"), "doc_id", "text")
-    for rounds in (0, 1, 3):
+    for rounds, nodes in ((0, 4096), (0, 16), (1, 16), (3, 4096)):
         monkeypatch.setattr(similar, "ROUNDS", rounds)
+        monkeypatch.setattr(similar, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(similar, "BLOCK_BYTES", 1024 * nodes)
         got = {}
         for r in similar.similar(df).collect():
             got.setdefault(r.component, set()).add(r.doc_id)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())), rounds
 
 
+def test_variants_of_one_form_link_as_all_pairs_do(spark):
+    """Two words of 100 differ in each text, so most pairs share buckets and few are similar enough."""
+    from tallymark.llm import similar
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        w = [f"w{i}" for i in range(100)]
+        for c in rng.choice(100, 2, replace=False):
+            w[c] = f"x{k}c{c}"
+        rows.append((k, " ".join(w)))
+    label = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    while any(label[i] != label[j] for i, j in close):
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+    df = docs(spark, rows).select(F.col("doc_id").alias("key"), "doc_id", "text")
+    got = {r.doc_id: r.component for r in similar.similar(df).collect()}
+    groups = lambda of: sorted(sorted(i for i in range(len(rows)) if of[i] == c) for c in {of[i] for i in range(len(rows))})
+    assert close and groups(got) == groups(label)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    from tallymark.llm import similar
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[:top], n, replace=False)) for top, n in ((100, 1), (200, 60), (200, 90), (300, 200), (3000, 2000), (3000, 2500), (6000, 5000))]
+    maps = similar.sketches(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    for a, x in zip(sets, maps):
+        for b, y in zip(sets, maps):
+            w = min(len(x), len(y))
+            p, q = (np.bitwise_xor.reduce(z.reshape(-1, w), axis=0) for z in (x, y))
+            assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
+
+
 def test_near_copies_of_the_given_documents_go(spark):
     """Recall of pairs of Jaccard 0.8 or more, by brute force over shared shingles."""
     from itertools import combinations
