@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +15,16 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """``node, component`` (the smallest node) for each node of ``edges(a, b)``.
 
     A large-star round links each node's larger neighbours to its least neighbour, a small-star round
     its smaller ones; stars remain. Each round's edges are cut to the shared folder. The least
     neighbour is a sum-like aggregate, merged before the shuffle, so a node with a third of all
-    edges is not collected anywhere. Repeated edges and loops are allowed; no edges give no rows.
+    edges is not collected anywhere. Repeated edges and loops are allowed; no edges give no rows. With ``task_edges``
+    a round has about a task for so many edges, since each round's shuffles write files for each task, however few its edges.
     """
+    dense = lambda df, n: df.coalesce(max(1, math.ceil(n / task_edges))) if task_edges else df
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
@@ -28,9 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == seen or not seen["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         mark = seen
+        now = dense(now, seen["n"])
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.filter("b > a").join(_least(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.join(_least(large), "a")
+        large = both.filter("b > a").join(_least(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = dense(dense(large, seen["n"]).distinct(), seen["n"])
+        small = dense(large.join(_least(large), "a"), seen["n"])
         now = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
 
 
