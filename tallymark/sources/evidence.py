@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.digests import document_digest
 from tallymark.operators.validate import rule_rows, union_all, violation
 from tallymark.sources import schemas
-from tallymark.sources.files import read_files
+from tallymark.sources.files import read_documents, read_files
 
 
 def _json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
@@ -16,13 +16,18 @@ def _json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -
 
 
 def _folder() -> Column:
-    """The name of the folder that a document lies in."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    """The name of the folder that a document of ``path`` lies in."""
+    return F.element_at(F.split(F.col("path"), "/"), -2)
 
 
-def _stem() -> Column:
+def _stem(path: str = "path") -> Column:
     """A document's file name without its ending."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+    return F.regexp_extract(F.col(path), r"([^/]+)\.[^./]+$", 1)
+
+
+def _parsed(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """``path`` and the fields of the JSON documents that a glob matches, files or packed; those of a broken one are null."""
+    return read_documents(spark, pattern).select("path", F.from_json("value", schema).alias("_d")).select("path", "_d.*")
 
 
 def run_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +35,7 @@ def run_documents(spark: SparkSession, root: str) -> DataFrame:
 
     Only folders with a ``COMMITTED.json`` are runs; hidden staging folders are not seen.
     """
-    docs = spark.read.text(f"{root}/runs/[^._]*/*.json", wholetext=True).select(_folder().alias("run_key"), F.struct(_stem().alias("name"), "value").alias("_d"))
+    docs = read_documents(spark, f"{root}/runs/*/*.json").select(_folder().alias("run_key"), F.struct(_stem().alias("name"), "value").alias("_d"))
     texts = F.map_from_entries(F.collect_list("_d")).alias("texts")  # a bundle has a fixed set of documents
     return docs.groupBy("run_key").agg(texts).filter(F.map_contains_key("texts", "COMMITTED"))
 
@@ -72,7 +77,7 @@ def content_rules(spark: SparkSession, path: str, identity: str, file_named: boo
 
     The identity is SHA-256 of the canonical JSON of all other fields, at the document's top level.
     """
-    docs = spark.read.text(path, wholetext=True).select(_stem().alias("_stem"), "value")
+    docs = spark.read.text(path, wholetext=True).select(_stem("_metadata.file_path").alias("_stem"), "value")
     docs = docs.select("_stem", document_digest(F.col("value"), identity).alias("_digest"), F.get_json_object("value", f"$.{identity}").alias("_id"))
     good = F.col("_digest").isNotNull()
     return rule_rows(docs, ["_stem"], {
@@ -85,7 +90,7 @@ def content_rules(spark: SparkSession, path: str, identity: str, file_named: boo
 def read_lines(spark: SparkSession, root: str, name: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``root/runs/[^._]*/<name>.jsonl`` with their run key, and the malformed lines as violations."""
     parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = spark.read.text(f"{root}/runs/[^._]*/{name}.jsonl").filter("value <> ''").select(_folder().alias("run_key"), F.col("_metadata.file_path").alias("_file"), "value", parsed.alias("_r"))
+    rows = read_documents(spark, f"{root}/runs/*/{name}.jsonl", lines=True).filter("value <> ''").select(_folder().alias("run_key"), F.col("path").alias("_file"), "value", parsed.alias("_r"))
     broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
     good = rows.filter(~broken).select("run_key", "_r.*").drop("_corrupt")
     return good, violation(rows.filter(broken), ["_file"], "malformed-line", F.col("value"))
@@ -109,8 +114,9 @@ def read_remote_layout(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
 
     Second: markers whose bundle is missing, as violations. Bundles without a marker are not there.
     """
-    markers = _json(spark, f"{root}/runs/[^._]*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), "bundle_id")
-    bundles = _json(spark, f"{root}/bundles/[^._]*/bundle_manifest.json", schemas.MANIFEST).select(_folder().alias("bundle_id"), F.struct("*").alias("bundle_manifest"))
+    markers = _parsed(spark, f"{root}/runs/*/COMMITTED.json", schemas.MARKER).select(_folder().alias("run_key"), "bundle_id")
+    manifests = read_documents(spark, f"{root}/bundles/*/bundle_manifest.json")
+    bundles = manifests.select(_folder().alias("bundle_id"), F.from_json("value", schemas.MANIFEST).alias("bundle_manifest"))
     return markers.join(bundles, "bundle_id"), violation(markers.join(bundles, "bundle_id", "left_anti"), ["run_key"], "bundle-missing", F.col("bundle_id"))
 
 
@@ -131,9 +137,9 @@ def read_audits(spark: SparkSession, root: str) -> DataFrame:
 
     An audit that no committed key names is not there; several keys may name one audit.
     """
-    marks = _json(spark, f"{root}/keys/[^._]*.json", schemas.AUDIT_MARKER).filter((F.col("status") == "committed") & (F.col("audit_key") == _stem())).select("audit_id").distinct()
-    docs = _json(spark, f"{root}/audits/[^._]*.json", schemas.AUDIT)
-    docs = docs.filter(F.col("audit_id") == _stem()).join(marks, "audit_id", "left_semi")
+    marks = _parsed(spark, f"{root}/keys/*.json", schemas.AUDIT_MARKER).filter((F.col("status") == "committed") & (F.col("audit_key") == _stem())).select("audit_id").distinct()
+    docs = _parsed(spark, f"{root}/audits/*.json", schemas.AUDIT)
+    docs = docs.filter(F.col("audit_id") == _stem()).drop("path").join(marks, "audit_id", "left_semi")
     context = [c for c in docs.columns if c not in ("successful_item_ids", "failures")]
     good = docs.select(*context, F.explode("successful_item_ids").alias("item_id"), F.lit(True).alias("ok"))
     bad = docs.select(*context, F.explode("failures").alias("_f")).select(*context, "_f.item_id", F.lit(False).alias("ok"), "_f.failure_type", "_f.message")
@@ -142,7 +148,7 @@ def read_audits(spark: SparkSession, root: str) -> DataFrame:
 
 def read_support_sets(spark: SparkSession, path: str) -> DataFrame:
     """Items of support sets in order."""
-    docs = _json(spark, path, schemas.SUPPORT_SET)
+    docs = _parsed(spark, path, schemas.SUPPORT_SET)
     return docs.select("support_set_id", "policy", "manifest_id", "selection_id", "audit_ids", "process_context", "multiprocessing_start_method", F.posexplode("item_ids").alias("ordinal", "item_id"))
 
 

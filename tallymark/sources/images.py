@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tallymark.functions.columns import crc32_hex, item_id, member_parts, subsampling_label
 from tallymark.operators.catalog import nearest_quality
 from tallymark.operators.validate import duplicates, require_non_empty, rule_rows, union_all, violation
-from tallymark.sources.files import list_archives, list_files, read_files
+from tallymark.sources.files import list_archives, list_files, read_listed
+from tallymark.sources.sinks import materialize
 
 PROFILE = (
     "path string, width int, height int, components int, progressive boolean, scan_count int, horizontal int, vertical int, "
@@ -23,8 +24,9 @@ FRAME_MARKERS = frozenset(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
 def scan_images(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg"), content: bool = True) -> DataFrame:
     """Files under ``root`` with one of the suffixes, in any case, empty ones too, by path (S1); an empty scan is an error."""
-    files = read_files(spark, root) if content else list_files(spark, root).select("path", F.col("length").alias("size"))
-    return require_non_empty(files.filter(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")), f"the scan of {root}")
+    files = list_files(spark, root).filter(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")).select("path", F.col("length").alias("size"))
+    require_non_empty(files, f"the scan of {root}")
+    return read_listed(files, root) if content else files
 
 
 def with_identity(images: DataFrame, root: str) -> DataFrame:
