@@ -131,7 +131,11 @@ def profile_images(images: DataFrame) -> DataFrame:
 
 
 def archive_payload_rules(catalog: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Extracted bytes against the catalogue's length and checksum (V15): ``extracted(zip_member, content)``."""
-    seen = extracted.select("zip_member", F.length("content").alias("_n"), crc32_hex(F.col("content")).alias("_crc"))
-    joined = catalog.join(seen, "zip_member", "left")
+    """Extracted bytes against the catalogue's length and checksum (V15): ``extracted(zip_member, content)``.
+
+    Archives may have members of one name; then ``extracted`` has the ``archive_path`` too.
+    """
+    member = [c for c in ("archive_path", "zip_member") if c in extracted.columns]
+    seen = extracted.select(*member, F.length("content").alias("_n"), crc32_hex(F.col("content")).alias("_crc"))
+    joined = catalog.join(seen, member, "left")
     return union_all([rule_rows(joined, ["zip_member"], {"not-extracted": F.col("_n").isNull(), "length-mismatch": F.col("_n") != F.col("jpeg_bytes"), "checksum-mismatch": F.col("_crc") != F.col("crc32")})])

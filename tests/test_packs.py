@@ -60,3 +60,12 @@ def test_bundles_are_marked_by_tasks(spark, tmp_path, monkeypatch):
     found, missing = evidence.read_remote_layout(spark, str(tmp_path))
     assert found.count() == 30 and missing.count() == 0 and not list(tmp_path.rglob(".*"))
     assert files.create_all([(f"{tmp_path}/runs/r{i}/COMMITTED.json", b"x") for i in range(29, 32)]) == [False, True, True]
+
+
+def test_members_of_one_name_in_two_archives(spark):
+    """At 513,000 documents names came again in other archives, and each was checked against both."""
+    from tallymark.sources import images
+
+    catalog = spark.createDataFrame([("1.zip", "m", 1, "e8b7be43"), ("2.zip", "m", 2, "00000000")], "archive_path string, zip_member string, jpeg_bytes long, crc32 string")
+    extracted = spark.createDataFrame([("1.zip", "m", bytearray(b"a")), ("2.zip", "m", bytearray(b"bb"))], "archive_path string, zip_member string, content binary")
+    assert [(r.key, r.rule) for r in images.archive_payload_rules(catalog, extracted).collect()] == [("m", "checksum-mismatch")]
