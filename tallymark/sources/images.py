@@ -42,6 +42,7 @@ def scan_sources(spark: SparkSession, root: str, smallest: int) -> tuple[DataFra
     number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
     png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
     out = files.select("path", "size", png.alias("png"), F.sha2("content", 256).alias("sha256"), F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
+    out = materialize(out, "sources")  # contents are read once
     rules = rule_rows(out, ["path"], {"empty": F.col("size") == 0, "not-png": ~F.col("png"), "too-small": F.greatest("width", "height") < smallest})
     return out.filter("png"), rules.unionByName(violation(duplicates(out, ["sha256"]), ["sha256"], "repeated-source", F.col("n")))
 

@@ -69,3 +69,16 @@ def test_members_of_one_name_in_two_archives(spark):
     catalog = spark.createDataFrame([("1.zip", "m", 1, "e8b7be43"), ("2.zip", "m", 2, "00000000")], "archive_path string, zip_member string, jpeg_bytes long, crc32 string")
     extracted = spark.createDataFrame([("1.zip", "m", bytearray(b"a")), ("2.zip", "m", bytearray(b"bb"))], "archive_path string, zip_member string, content binary")
     assert [(r.key, r.rule) for r in images.archive_payload_rules(catalog, extracted).collect()] == [("m", "checksum-mismatch")]
+
+
+def test_sources_are_read_once_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver held the status of each file, and contents were read by two branches."""
+    from tallymark.sources import images
+
+    (tmp_path / "d/0").mkdir(parents=True)
+    (tmp_path / "d/0/a.png").write_bytes(b"")
+    (tmp_path / "d/0/b.png").write_bytes(b"")
+    _, bad = images.scan_sources(spark, str(tmp_path), 10)
+    for file in (tmp_path / "d/0").iterdir():
+        file.unlink()
+    assert sorted(r.rule for r in bad.collect()) == ["empty", "empty", "not-png", "not-png", "repeated-source"]
