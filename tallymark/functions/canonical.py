@@ -48,7 +48,9 @@ def json_double(c: Column) -> Column:
 
     def fewest(start: Column) -> Column:
         same = lambda k: F.concat_ws("E", cut(start, k).cast("string"), (start["e"] + k).cast("string")).cast("double") == size
-        k = F.aggregate(F.sequence(F.lit(1), F.lit(18)), F.lit(0), lambda a, k: F.when((k == a + 1) & (ten(k) <= start["d"]) & same(k), k).otherwise(a))
+        # two decimals of 15 digits or fewer are never one normal double, so such a text is the shortest but for its zeros
+        long = F.aggregate(F.sequence(F.lit(1), F.lit(18)), F.lit(0), lambda a, k: F.when((k == a + 1) & (ten(k) <= start["d"]) & same(k), k).otherwise(a))
+        k = F.when((start["d"] < 10**15) & (size > 2.3e-308), F.lit(0)).otherwise(long)
         return F.transform(F.array(k), lambda k: _python_digits(cut(start, k).cast("string"), start["e"] + k))[0]
 
     best = F.transform(F.array(F.coalesce(whole, first)), fewest)[0]

@@ -9,6 +9,7 @@ from tallymark.functions import identity
 from tallymark.operators import decisions, validate
 from tallymark.plans.fixtures import read, view
 from tallymark.plans.registered import query
+from tallymark.sources.files import spread
 from tallymark.sources.sinks import shared_folder
 from tallymark.streaming import runs as streams
 
@@ -27,7 +28,7 @@ def _json(**fields: Column) -> Column:
 
 def bundle_parts(spark: SparkSession, d: str) -> DataFrame:
     """The fields of each order's run, in no canonical order: ``id`` and the structs' columns."""
-    s = view(spark, d, "f_specs")
+    s = view(spark, d, "f_specs").repartition(spread(spark), "id")  # much work for few bytes
     item = lambda k: F.concat(F.lit(f'{k} "größe" \\ '), F.col("id").cast("string"))
     return s.select(
         "*", _sha("manifest", F.col("workload_id")).alias("manifest_id"), _sha("package").alias("package_id"), _sha("selection", F.col("workload_id")).alias("selection_id"), _sha("plan", F.col("workload_id")).alias("plan_id"),

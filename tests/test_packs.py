@@ -82,3 +82,23 @@ def test_sources_are_read_once_and_listed_by_tasks(spark, tmp_path, monkeypatch)
     for file in (tmp_path / "d/0").iterdir():
         file.unlink()
     assert sorted(r.rule for r in bad.collect()) == ["empty", "empty", "not-png", "not-png", "repeated-source"]
+
+
+def test_doubles_of_few_digits_skip_the_search(spark):
+    import json
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tallymark.functions.canonical import json_double
+
+    random.seed(1)
+    values = [float(f"{random.uniform(-1e6, 1e6) * 10.0 ** random.randrange(-30, 30):.{k}g}") for k in range(1, 16) for _ in range(300)] + [2e22, 1e15, 3e-310, 1.5e-309, 999999999999999.0, 1e-7, 100.0, 123456789012345680.0, 5e-324, 0.1 + 0.2]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", json_double(F.col("v")).alias("t")).collect()
+    assert [(r.v, r.t) for r in rows if r.t != json.dumps(r.v)] == []
+    few = spark.range(0, 40000, 1, 4).select((F.col("id") / F.lit(100)).alias("v"))
+    few.select(F.max(json_double(F.col("v")))).collect()
+    start = time.time()
+    few.select(F.max(json_double(F.col("v")))).collect()
+    assert time.time() - start < 10
