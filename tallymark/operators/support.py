@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +27,11 @@ def audit_items(items: DataFrame, checks: Mapping[str, Callable[[bytes], object]
     """
     named = dict(checks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for item, content in zip(batch["item_id"], batch["content"], strict=True):
+            for item, value in zip(batch.column("item_id").to_pylist(), batch.column("content"), strict=True):
+                content = value.as_py()  # one content at a time is copied from the batch
                 for name, check in named.items():
                     try:
                         check(content)
@@ -39,9 +40,11 @@ def audit_items(items: DataFrame, checks: Mapping[str, Callable[[bytes], object]
                         rows.append((item, name, False, "output_contract_error", str(error)))
                     except Exception as error:  # the user's code may raise anything; the row tells
                         rows.append((item, name, False, "decode_error", str(error)))
-            yield pd.DataFrame(rows, columns=["item_id", "name", "ok", "failure_type", "message"])
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 2 else pa.string()) for i, c in enumerate(columns)], names=["item_id", "name", "ok", "failure_type", "message"])
+        pa.default_memory_pool().release_unused()
 
-    return items.select("item_id", "content").mapInPandas(run, OUTCOMES)
+    return items.select(F.col("item_id").cast("string"), "content").mapInArrow(run, OUTCOMES)
 
 
 def support_intersection(audits: DataFrame, audit: str, item: str, keys: Sequence[str] = ()) -> DataFrame:
