@@ -159,13 +159,15 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the first row by doc_id (null last), then by a hash of the row, stays.
 
-    Texts link whose sets of word shingles have a Jaccard similarity of ``threshold`` or more. At 0.8 fingerprints
-    differ in some 10 bits, with which nearly all nodes of the trie meet; so :mod:`.similar` finds the pairs.
+    Texts link whose sets of word shingles have a Jaccard similarity of ``threshold`` or more. :func:`near_duplicates` comes first: the trie's
+    self-join of the fingerprints gives families, whose texts meet before all others. At 0.8 most fingerprints differ in some 10 bits,
+    with which nearly all nodes of the trie would meet; so :mod:`.similar` finds the pairs that are in no family, and checks all exactly.
     Rows are known by a hash of all their columns (none of them a map), so null or repeated doc_ids do not tie unrelated
     texts together; of rows equal in all columns one stays.
     """
     packed = pack_columns(docs).withColumn("key", F.xxhash64("doc_id", "text", "rest"))
-    placed = similar(packed.select("key", "doc_id", "text"), shingle, threshold)
+    families = near_duplicates(packed.select(F.col("key").alias("doc_id"), "text"), shingle=shingle).select(F.col("doc_id").alias("key"), F.col("component_id").alias("family"))
+    placed = similar(packed.select("key", "doc_id", "text"), shingle, threshold, families)
     ids = placed.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
     kept = cut(ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")).alias("f")).select("f.key", "f.n"))
     found = packed.join(kept, "key")

@@ -1,6 +1,6 @@
 """Components of texts whose word-shingle sets have a Jaccard similarity of a threshold or more.
 
-Equal sets become one node. Bands of min-hashes name buckets of candidates; every candidate counts only once its exact
+Equal sets become one node. Bands of min-hashes, and families that the caller has found, name buckets of candidates; every candidate counts only once its exact
 Jaccard similarity is known. No bucket is compared pair by pair: in each of a few rounds all members of a bucket that
 are not connected yet meet one of them, its hub, which ties groups of copies together in linear work. Nodes whose buckets
 still hold several components then meet block by block inside tasks, first as bitmaps that bound the difference of two sets, then, where these leave
@@ -80,11 +80,12 @@ def signatures(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, two, bands
 
 
-def similar(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def similar(rows: DataFrame, shingle: int = 5, threshold: float = 0.8, families: DataFrame | None = None) -> DataFrame:
     """``key, doc_id, component`` for each row of ``rows(key, doc_id, text)``; ``component`` is a key of the component.
 
     ``key`` names a row's content: rows of one key are taken to have one text. A null text has no words, and texts without
-    words are alike. An empty table gives an empty result.
+    words are alike. An empty table gives an empty result. ``families(key, family)``: groups that another method has found. Each is a
+    bucket more, and they meet in a round of hubs of their own before all others, so the bands' buckets serve only what that leaves apart.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,24 +118,32 @@ def similar(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFr
         groups = connected_components(links, TASK_EDGES).withColumnRenamed("component", "group")
         return nodes.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
+    def buckets(sets: DataFrame) -> DataFrame:
+        banded = sets.select("node", "n", F.explode("bands").alias("bucket"), F.lit(False).alias("given"))
+        if families is None:
+            return banded
+        given = families.select(F.col("key").alias("node"), F.xxhash64(F.lit("family"), "family").alias("bucket"), F.lit(True).alias("given")).distinct()
+        return banded.unionByName(cut(sets.select("node", "n").join(given, "node")))
+
     plain = rows.select("key", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = cut(plain.mapInArrow(sign, f"key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, one long, two long, n long, bands array<long>"))
     # a node is the row of the least key of an equal set
     sets = cut(signed.groupBy("one", "two").agg(F.min(F.struct("key", "n", "bands")).alias("s")).select("one", "two", F.col("s.key").alias("node"), F.col("s.n").alias("n"), F.col("s.bands").alias("bands")))
-    banded = sets.select("node", "n", F.explode("bands").alias("bucket"))
+    banded = buckets(sets)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     state = cut(banded.join(shared, "bucket"))
     nodes = state.select(F.col("node").alias("key")).distinct()
     texts = cut(plain.join(nodes, "key", "left_semi").groupBy(F.col("key").alias("node")).agg(F.first("text").alias("text")))
     links = rows.sparkSession.createDataFrame([], "a long, b long")
     state = state.withColumn("group", F.col("node"))
-    for r in range(ROUNDS):
+    for r in range(ROUNDS if families is None else ROUNDS + 1):
+        here = state.filter("given") if families is not None and r == 0 else state
         hub = F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node", "n", "group")).alias("hub")
-        met = state.join(state.groupBy("bucket").agg(hub), "bucket").filter((F.col("group") != F.col("hub.group")) & alike(F.col("n"), F.col("hub.n")))
+        met = here.join(here.groupBy("bucket").agg(hub), "bucket").filter((F.col("group") != F.col("hub.group")) & alike(F.col("n"), F.col("hub.n")))
         # of the hubs of its buckets a node meets the first: rows are as many as nodes, and what else its buckets hold is left to later rounds and blocks
         met = met.groupBy("node").agg(F.min("hub").alias("hub"))
         links = links.unionByName(verified(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), texts))
-        state = grouped(state.select("bucket", "node", "n"), links)
+        state = grouped(state.select("bucket", "node", "n", "given"), links)
         mixed = state.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("bucket")
         state = cut(state.join(mixed, "bucket", "left_semi"))
         if state.isEmpty():

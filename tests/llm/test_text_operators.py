@@ -325,6 +325,21 @@ def test_texts_of_jaccard_four_fifths_link(spark):
     assert kept == [*range(0, 60, 2), 100, 101, 201]
 
 
+def test_the_trie_links_what_bands_miss(spark):
+    """Texts of Jaccard 0.8 and one fingerprint that share no band of min-hashes meet in the trie; equal fingerprints of other sets stay apart."""
+    from tallymark.llm import similar
+
+    rows = []
+    for k in (11642, 15436, 20118):
+        tail = "a " * 400 + " ".join(f"s{k}w{i}" for i in range(7))
+        rows += [(k, tail + " x"), (k + 1, tail + " y")]
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2]):
+        bands = similar.signatures(*similar.shingle_sets([a, b], 5))[2]
+        assert jaccard(a, b) == 0.8 and simhash.fingerprint(a, 5) == simhash.fingerprint(b, 5) and not (bands[0] == bands[1]).any()
+    assert len({simhash.fingerprint(t, 5) for _, t in rows}) == 1
+    assert sorted(r.doc_id for r in simhash.dedup_stage(spark, docs(spark, rows), "").collect()) == [11642, 15436, 20118]
+
+
 # ---- mixing ---------------------------------------------------------------------------------------
 
 
