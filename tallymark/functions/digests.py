@@ -54,9 +54,24 @@ def sequence_digest(df: DataFrame, keys: Sequence[str], value: str, name: str =
     The digest's format takes all values of a group in order, so a group is one task; it passes through as a sorted
     stream of batches that update one hash, and no task holds a group. Null values are left out of the digest but counted; without any other the digest is that of one newline.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    schema = StructType([StructField(k, types[k]) for k in keys] + [StructField(name, StringType()), StructField("n", LongType())])
     sorted_rows = df.select(*keys, F.col(value).cast("string").alias("_value")).repartition(*keys).sortWithinPartitions(*keys, "_value")
+    return _streamed_digest(sorted_rows, keys, name, "", "\n", "\n")
+
+
+def joined_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "digest") -> DataFrame:
+    """SHA-256 of a group's values by ``order`` with a comma between two, and how many rows there are as ``n``; null values are left out.
+
+    As in :func:`sequence_digest` a group is one task but passes through it as a sorted stream.
+    """
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *[F.col(c).alias(b) for c, b in zip(order, by, strict=True)], F.col(value).cast("string").alias("_value"))
+    return _streamed_digest(rows.repartition(*keys).sortWithinPartitions(*keys, *by), keys, name, ",", "", "")
+
+
+def _streamed_digest(sorted_rows: DataFrame, keys: Sequence[str], name: str, between: str, after: str, nothing: str) -> DataFrame:
+    """``keys``, SHA-256 of ``_value`` in the given order, ``between`` two and ``after`` each, and the row count ``n``; ``nothing`` where all are null."""
+    types = {f.name: f.dataType for f in sorted_rows.schema.fields}
+    schema = StructType([StructField(k, types[k]) for k in keys] + [StructField(name, StringType()), StructField("n", LongType())])
 
     def digest(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, n, empty = hashlib.sha256(), 0, True
@@ -64,10 +79,10 @@ def sequence_digest(df: DataFrame, keys: Sequence[str], value: str, name: str =
             values = batch.column("_value").drop_null()
             n += batch.num_rows
             if len(values):
-                state.update(("\n".join(values.to_pylist()) + "\n").encode())
+                state.update((("" if empty else between) + (after + between).join(values.to_pylist()) + after).encode())
             empty = empty and not len(values)
         if empty:
-            state.update(b"\n")
+            state.update(nothing.encode())
         yield pa.RecordBatch.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], pa.array([state.hexdigest()]), pa.array([n], pa.int64())], names=[*keys, name, "n"])
 
     return sorted_rows.groupBy(*keys).applyInArrow(digest, schema)

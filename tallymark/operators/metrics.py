@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.columns import STATISTICS, finite_positive, throughput
 from tallymark.operators.ranks import running_sum
-from tallymark.operators.selection import with_quantiles
+from tallymark.operators.selection import exact_quantiles, with_quantiles
 from tallymark.operators.validate import violation
+from tallymark.sources.sinks import materialize
 
 #: Decimals of aggregates over several rows, whose last bits depend on the order of summation.
 DIGITS = 6
@@ -58,26 +59,53 @@ def run_mean(samples: DataFrame, statistic: str) -> DataFrame:
     return samples.groupBy("run_key").agg(F.avg(throughput(F.col("elapsed_seconds"), F.col("items_processed"), statistic)).alias("run_mean"))
 
 
-def group_runs(runs: DataFrame, samples: DataFrame, keys: Sequence[str], statistic: str) -> DataFrame:
-    """Groups of runs by ``keys`` (A4): statistics of the runs' means, so each run weighs the same.
+def group_members(runs: DataFrame, samples: DataFrame, keys: Sequence[str], statistic: str) -> DataFrame:
+    """The runs of each group of :func:`group_runs` with their means, a row each, written once to the shared folder."""
+    columns = [c for c in ("repetition", "run_key", "platform_id", "location") if c not in keys]
+    return materialize(runs.join(run_mean(samples, statistic), "run_key").select(*keys, *columns, "run_mean"), "members")
 
-    ``runs`` has ``repetition``, ``platform_id`` and ``location`` beside the keys. The arrays go by repetition, then
-    run key; ``repeated`` says whether a repetition occurs twice.
+
+def group_statistics(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups of ``members`` (see :func:`group_members`) by ``keys`` (A4) without their runs: no task and no row holds a group.
+
+    Statistics are those of the runs' means, so each run weighs the same; ``repeated`` says whether a repetition occurs twice.
     """
-    joined = runs.join(run_mean(samples, statistic), "run_key")
-    ordered = F.array_sort(F.collect_list(F.struct("repetition", "run_key", "run_mean")))
-    out = joined.groupBy(*keys).agg(
+    stats = members.groupBy(*keys).agg(
         F.count("*").alias("n"),
         rounded(F.avg("run_mean")).alias("mean"),
-        rounded(F.median("run_mean")).alias("median"),
         rounded(F.stddev_samp("run_mean")).alias("sample_std"),
-        ordered.alias("_rows"),
         F.array_sort(F.collect_set("platform_id")).alias("platform_ids"),
         F.array_sort(F.collect_set("location")).alias("platform_locations"),
-        (F.count("*") > F.count_distinct("repetition")).alias("repeated"),
+        F.count("run_mean").alias("_values"),
     )
+    kept = materialize(stats, "groups")
+    medians = exact_quantiles(members, keys, "run_mean", {"median": 0.5}, kept.select(*keys, F.col("_values").alias("n")))
+    repetitions = members.groupBy(*keys).agg(F.count_distinct("repetition").alias("_repetitions"))
+    out = by_keys(by_keys(kept, medians, keys), repetitions, keys)
+    return out.select(*keys, "n", "mean", rounded(F.col("median")).alias("median"), "sample_std", "platform_ids", "platform_locations", (F.col("n") > F.col("_repetitions")).alias("repeated"))
+
+
+def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row of ``left`` with what ``right`` has for its keys, where a null key is a value of its own."""
+    named = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(F.col(f"_{k}"))
+    return left.join(named, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def group_runs(runs: DataFrame, samples: DataFrame, keys: Sequence[str], statistic: str) -> DataFrame:
+    """Groups of runs by ``keys`` (A4): statistics of the runs' means, with the runs of each as arrays.
+
+    ``runs`` has ``repetition``, ``platform_id`` and ``location`` beside the keys. The arrays go by repetition, then
+    run key; ``repeated`` says whether a repetition occurs twice. A group's runs become one row, so this is for groups that fit one:
+    :func:`group_statistics` and :func:`group_members` have the same without arrays for groups of any size.
+    """
+    members = group_members(runs, samples, keys, statistic)
+    held = members.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("repetition", "run_key", "run_mean"))).alias("_rows"))
     pick = lambda name: F.transform("_rows", lambda r: r[name])
-    return out.withColumns({"run_keys": pick("run_key"), "repetitions": pick("repetition"), "raw_run_means": F.transform("_rows", lambda r: F.round(r["run_mean"], DIGITS))}).drop("_rows")
+    arrays = {"run_keys": pick("run_key"), "repetitions": pick("repetition"), "raw_run_means": F.transform("_rows", lambda r: F.round(r["run_mean"], DIGITS))}
+    return by_keys(group_statistics(members, keys), held, keys).withColumns(arrays).drop("_rows")
 
 
 def result_rows(runs: DataFrame, samples: DataFrame, statistic: str) -> DataFrame:

@@ -40,9 +40,9 @@ def claim_scope_gate(runs: DataFrame, scope: str) -> DataFrame:
     return runs
 
 
-def publication_order(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """By the keys as strings, null as ``None``."""
-    return groups.orderBy(*[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+def publication_order(groups: DataFrame, keys: Sequence[str], then: Sequence[str] = ()) -> DataFrame:
+    """By the keys as strings, null as ``None`` (T3), then by the columns ``then`` as they are."""
+    return groups.orderBy(*[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys], *then)
 
 
 def _in_ranges(hashed: DataFrame, order: Sequence[str], name: str, count: str) -> DataFrame:

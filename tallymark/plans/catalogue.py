@@ -98,9 +98,11 @@ select plan_id, config_id, workload_id, comparison_platform, n, mean, median, sa
   coalesce(array_to_string(l, ','), '') as platform_locations from g""")
 def group_runs(spark, d):
     runs = view(spark, d, "f_runs").withColumns({"comparison_platform": F.substring("machine_type", 1, 8), "platform_id": F.col("machine_type"), "location": X.non_empty(F.col("location")), "repetition": F.col("run_key")})
-    out = metrics.group_runs(runs, view(spark, d, "f_samples"), GROUPS, "images_per_second")
+    members = metrics.group_members(runs, view(spark, d, "f_samples"), GROUPS, "images_per_second")
+    named = digests.joined_digest(members, GROUPS, ["repetition", "run_key"], "run_key", "run_keys_digest").drop("n")
+    out = metrics.by_keys(metrics.group_statistics(members, GROUPS), named, GROUPS)
     flat = lambda c: F.concat_ws(",", c)
-    return out.select(*GROUPS, "n", "mean", "median", "sample_std", F.sha2(F.concat_ws(",", F.col("run_keys").cast("array<string>")), 256).alias("run_keys_digest"), flat("platform_ids").alias("platform_ids"), flat("platform_locations").alias("platform_locations"))
+    return out.select(*GROUPS, "n", "mean", "median", "sample_std", "run_keys_digest", flat("platform_ids").alias("platform_ids"), flat("platform_locations").alias("platform_locations"))
 
 
 @query("""select r.run_key, plan_id, workload_id, count(*) as n, round(avg(elapsed_seconds), 6) as mean, round(stddev_samp(elapsed_seconds), 6) as sample_std,

@@ -17,31 +17,38 @@ CELL_KEYS = ["workload", "machine_type", "protocol", "decoder", "requested_threa
 
 @dataclass
 class Publication:
-    """What a claim rests on: rows, groups and the sidecar that identifies them (K2, K3)."""
+    """What a claim rests on: rows, groups, the runs behind each group and the sidecar that identifies them (K2, K3).
+
+    ``members`` has a row for each run of a group, in the groups' order, then by repetition and run key, so that a group of any size can be published.
+    """
 
     rows: DataFrame
     groups: DataFrame
+    members: DataFrame
     provenance: DataFrame
 
     def sections(self) -> dict[str, DataFrame]:
-        return {"rows": self.rows, "groups": self.groups, "provenance": self.provenance}
+        return {"rows": self.rows, "groups": self.groups, "members": self.members, "provenance": self.provenance}
 
 
 def publication(runs: DataFrame, samples: DataFrame, *, scope: str, filters: Mapping[str, object], statistic: str, keys: Sequence[str], revision: str) -> Publication:
     """Filter, validate, gate, project and group committed runs.
 
     The filters come first and reach the scan. Samples that are not finite and positive, out of sequence, or of mixed
-    item counts stop the publication.
+    item counts stop the publication. The samples of the chosen runs are written once to the shared folder, and every step reads them.
     """
     chosen = publish.claim_scope_gate(publish.filter_runs(runs, filters), scope)
-    used = samples.join(chosen.select("run_key"), "run_key", "left_semi")
+    used = materialize(samples.join(chosen.select("run_key"), "run_key", "left_semi"), "samples")
     out_of_place = validate.violation(metrics.consecutive_index(used), ["run_key"], "index-gap")
     broken = validate.all_values_valid(used, ["elapsed_seconds", "items_processed"], ["run_key", "sample_index"])
     validate.require_empty(validate.union_all([metrics.mixed_item_counts(used), out_of_place, broken]), "samples cannot be published")
-    groups = metrics.group_runs(chosen, used, keys, statistic)
+    members = metrics.group_members(chosen, used, keys, statistic)
+    groups = metrics.group_statistics(members, keys)
     validate.require_empty(validate.violation(groups.filter("repeated"), keys, "repeated-repetition"), "groups cannot be published")
     rows = metrics.result_rows(chosen, used, statistic)
-    return Publication(rows, publish.publication_order(groups.drop("repeated"), keys), publish.provenance(chosen, rows, filters, revision))
+    run = members.select(*keys, *[c for c in ("repetition", "run_key") if c not in keys], metrics.rounded(F.col("run_mean")).alias("run_mean"))
+    ordered = publish.publication_order(groups.drop("repeated"), keys), publish.publication_order(run, keys, ["repetition", "run_key"])
+    return Publication(rows, *ordered, publish.provenance(chosen, rows, filters, revision))
 
 
 def evidence_document(

@@ -84,6 +84,28 @@ def test_groups_keep_locations(spark):
     assert r.platform_locations == ["north", "south"] and r.platform_ids == ["machine-0", "machine-1", "machine-2"]
 
 
+def test_statistics_and_members_need_no_arrays(spark):
+    """No row and no aggregate holds a group's runs, whose rows and digests stand beside the statistics instead; null keys are groups too."""
+    import hashlib
+
+    from tallymark.functions.digests import joined_digest
+
+    runs, samples = measured(spark)
+    runs = runs.withColumn("decoder", F.when(F.col("decoder") == "left", F.col("decoder")))
+    members = metrics.group_members(runs, samples, ["decoder"], "images_per_second")
+    groups = metrics.group_statistics(members, ["decoder"])
+    assert "collect_list" not in groups._jdf.queryExecution().toString()
+    found, whole = {r.decoder: r for r in groups.collect()}, {r.decoder: r for r in metrics.group_runs(runs, samples, ["decoder"], "images_per_second").collect()}
+    assert found.keys() == whole.keys() == {None, "left"}
+    for d, r in found.items():
+        assert all(r[c] == whole[d][c] for c in groups.columns)
+        means = [np.mean([6 / t for t in TIMES[d or "right", rep]]) for rep in range(3)]
+        assert (r["mean"], r["median"], r.sample_std) == pytest.approx((np.mean(means), np.median(means), np.std(means, ddof=1)), abs=1e-6)
+        assert sorted((m.repetition, m.run_key) for m in members.collect() if m.decoder == d) == list(zip(whole[d].repetitions, whole[d].run_keys))
+    digests = {r.decoder: (r.digest, r.n) for r in joined_digest(members, ["decoder"], ["repetition", "run_key"], "run_key").collect()}
+    assert digests == {d: (hashlib.sha256(",".join(r.run_keys).encode()).hexdigest(), 3) for d, r in whole.items()}
+
+
 def test_repeated_repetition_shows(spark):
     runs, samples = measured(spark)
     again = runs.withColumn("repetition", F.col("repetition") % 2)

@@ -27,6 +27,15 @@ def test_publication(spark, tmp_path):
     assert len(ids) == 2
 
 
+def test_a_publication_has_a_row_for_each_run_of_a_group(spark, tmp_path):
+    runs, samples = runs_and_samples(spark)
+    out = workflows.publication(runs, samples, scope="decode", filters={}, statistic="elapsed_seconds", keys=["config_id"], revision="r")
+    assert not any(t.startswith("array") and c not in ("platform_ids", "platform_locations") for c, t in out.groups.dtypes)
+    sinks.write_sections(out.sections(), str(tmp_path / "out"))
+    members = spark.read.parquet(str(tmp_path / "out/members"))
+    assert sorted(map(tuple, members.select("config_id", "repetition", "run_key", "run_mean").collect())) == [(0, 0, "r0", 1.0), (0, 1, "r2", 3.0), (1, 0, "r1", 2.0), (1, 1, "r3", 4.0)]
+
+
 @pytest.mark.parametrize("change", [{"elapsed_seconds": 0.0}, {"sample_index": 0}, {"items_processed": 11}])
 def test_broken_samples_stop_a_publication(spark, change):
     runs, samples = runs_and_samples(spark)
