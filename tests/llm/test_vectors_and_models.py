@@ -101,6 +101,30 @@ def test_components(spark, edges):
     assert got == label
 
 
+@pytest.mark.parametrize("task_edges", [8, 1 << 16])
+def test_components_are_the_same_whatever_a_task_holds(spark, task_edges):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(400)
+    chain = list(zip(names[:299].tolist(), names[1:300].tolist()))
+    edges = [*chain, *((int(names[300]), int(x)) for x in names[301:380]), (7, 7), *chain[:20], *((b, a) for a, b in chain[20:40])]
+    df = spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long").repartition(40)
+    got = {r.node: r.component for r in components.connected_components(df, task_edges).collect()}
+    want = {x: min(group) for group in (names[:300].tolist(), names[300:380].tolist()) for x in group}
+    assert got == want
+
+
+def test_few_links_need_no_rounds(spark):
+    names = np.random.default_rng(4).permutation(600).tolist()
+    df = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(60)
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    found = components.connected_components(df).collect()
+    jobs = context.statusTracker().getJobIdsForGroup("few links")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.component for r in found} == {0} and len(found) == 600
+    assert len(jobs) <= 6
+
+
 # ---- quality --------------------------------------------------------------------------------------
 
 DOCS = "doc_id long, text string, quality string, kept string, log_weight string"
