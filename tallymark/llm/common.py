@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,16 @@ def release() -> None:
         trim(0)
 
 
+def tidy(f: Callable) -> Callable:
+    """``f``, a function over one group or two (with their key), that releases memory once its arrays are gone: a worker that waits for its next task holds none of them."""
+
+    def left(out):
+        release()
+        return out
+
+    return {1: lambda part: left(f(part)), 2: lambda key, part: left(f(key, part)), 3: lambda key, one, two: left(f(key, one, two))}[f.__code__.co_argcount]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

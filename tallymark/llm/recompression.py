@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import pack_columns, release, table, unpack_columns
+from .common import pack_columns, table, tidy, unpack_columns
 from .words import Batch, covered, mix, windows
 
 _U = np.uint64
@@ -208,8 +208,8 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
     found_ddl = "owner long, chunk long, a binary, b binary, doc binary"
     found_schema = to_arrow_schema(T.StructType.fromDDL(found_ddl))
 
+    @tidy
     def reveal(_, part):
-        release()
         _, batch, names = _batch(part)
         place, key = anchors(names, batch, window)
         doc = batch.doc[place]
@@ -223,6 +223,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
         chunk = part.column("chunk")[0].as_py()
         return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "names": pa.array([b[0] for _, b in blobs], pa.binary()), "several": pa.array([b[1] for _, b in blobs], pa.binary())})
 
+    @tidy
     def report(part):
         sent = [np.frombuffer(x, "<u4") for x in part.column("names").to_pylist()]
         low = np.concatenate(sent)
@@ -248,8 +249,8 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
             out.append(key[a:b][np.unpackbits(np.frombuffer(m, np.uint8), count=b - a).astype(bool)])
         return np.concatenate(out) if out else key[:0]
 
+    @tidy
     def verify(_, left, right):
-        release()
         if not left.num_rows:
             return found_schema.empty_table()
         part, batch, names = _batch(left)
@@ -265,6 +266,7 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
         columns = [pa.array([o for o, _ in blobs], pa.int64()), pa.array([chunk] * len(blobs), pa.int64()), *(pa.array([x[i] for _, x in blobs], pa.binary()) for i in range(3))]
         return pa.Table.from_arrays(columns, schema=found_schema)
 
+    @tidy
     def settle(part):
         if part.column("owner")[0].as_py() < 0:
             return part.select(["chunk", "owner", "doc"])
@@ -290,8 +292,8 @@ def dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, carry:
                 x[i] = low[e - (i.stop - i.start) : e]
         return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), "doc": pa.array([x.tobytes() for x in least], pa.binary())})
 
+    @tidy
     def apply(_, left, right):
-        release()
         if not left.num_rows:
             return out_schema.empty_table()
         part, batch, names = _batch(left)
@@ -326,12 +328,12 @@ def kept_texts(batch: Batch, keep: np.ndarray) -> list[bytes]:
     edges = np.zeros(len(batch.data) + 1, np.int8)
     edges[batch.starts[keep]] += 1
     edges[batch.ends[keep] + 1] -= 1  # with the byte after the word
-    mask = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    mask = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
     data = batch.data.copy()
     data[batch.ends] = 0x20
-    upto = np.concatenate(([0], np.cumsum(mask)))
     flat = data[mask].tobytes()
-    return [flat[upto[a] : upto[b + 1]].rstrip(b" ") for a, b in zip(batch.begin, batch.end, strict=True)]
+    upto = np.concatenate(([0], np.cumsum((batch.ends + 1 - batch.starts) * keep)))[batch.first].tolist()
+    return [flat[a:b].rstrip(b" ") for a, b in zip(upto, upto[1:], strict=False)]
 
 
 def op2_dedup_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

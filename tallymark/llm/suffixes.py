@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import release, table
+from .common import table, tidy
 from .recompression import _blobs, _ids, _spread, owners_for, ranges
 from .words import covered, mix
 
@@ -271,8 +271,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
             b.valid[b.begin[i] : b.end[i]] = False
         return part, b, rank
 
+    @tidy
     def reveal(_, part):
-        release()
         part, b, _ = read(part)
         start, length = b.runs(b.valid)
         key, doc = b.names(start), b.docs(start)
@@ -294,6 +294,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         chunk = part.column("chunk")[0].as_py()
         return pa.table({"owner": pa.array([o for o, _ in blobs], pa.int64()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), **{c: pa.array([x[i] for _, x in blobs], pa.binary()) for i, c in enumerate(("names", "many", "several"))}})
 
+    @tidy
     def report(part):
         sent = [np.frombuffer(x, "<u4") for x in part.column("names").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(x)) for s, x in zip(part.column("several").to_pylist(), sent, strict=True)]).astype(bool)
@@ -344,8 +345,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         np.add.at(edges, start + length, -1)
         return np.cumsum(edges[:-1]) > 0
 
+    @tidy
     def verify(_, left, right):
-        release()
         if not left.num_rows:
             return found_schema.empty_table()
         part, b, rank = read(left)
@@ -363,6 +364,7 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         rows.append((-1 - chunk, None, None, np.packbits(single).tobytes(), np.packbits(mask).tobytes()))  # the chunk's own note to itself
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4))], schema=found_schema)
 
+    @tidy
     def settle(part):
         owner = part.column("owner")
         if owner[0].as_py() < 0:
@@ -403,8 +405,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
             docs_.append(flat[head].astype("<i8").tobytes())
         return pa.table({"chunk": part.column("chunk"), "owner": owner, "runs": pa.array(runs, pa.binary()), "doc": pa.array(docs_, pa.binary())})
 
+    @tidy
     def apply(_, left, right):
-        release()
         if not left.num_rows:
             return out_schema.empty_table()
         part, b, rank = read(left)
