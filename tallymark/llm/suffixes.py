@@ -10,7 +10,7 @@ meet, and neighbouring windows, which mostly share it, travel as one piece. Four
 2. chunks send the pieces that are left, each distinct one once with its least doc_id. Pieces of such a frequent hash are
    cut into single windows and dealt by a hash of the whole window, so no hash is one owner's burden;
 3. owners build suffix arrays of bounded shards of the distinct pieces by Larsson-Sadakane refinement in
-   numpy, take common prefixes by Kasai's method, and merge shards by binary search of their sorted
+   numpy, whose last groups are the suffixes with a common prefix of a window, and merge shards by binary search of their sorted
    window heads; each window gets the least doc_id in which it starts;
 4. chunks mark the bytes under windows that start in a smaller doc_id.
 
@@ -44,7 +44,11 @@ STRANDS, STRETCH = 8192, 128
 
 def _loads(data: np.ndarray, order: str) -> np.ndarray:
     """The eight bytes from each place as a number (``data`` has eight bytes to spare)."""
-    return np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1)).copy().view(order + "u8")[:, 0]
+    n = len(data) - 8
+    out = np.empty(n, np.uint64)
+    for k in range(min(8, n)):  # every eighth place lies as the numbers of one array do
+        out[k::8] = np.frombuffer(data, order + "u8", (n - k + 7) // 8, k)
+    return out
 
 
 def minima(data: np.ndarray, window: int) -> np.ndarray:
@@ -109,45 +113,53 @@ class Bytes:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The order of all suffixes of ``text`` by their first ``depth`` bytes at least.
+    """The order of all suffixes of ``text`` by their first ``depth`` bytes."""
+    return sorted_suffixes(text, depth)[0]
+
+
+def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes of ``text`` by their first ``depth`` bytes, at least 8, and which of them differ there from the one before.
 
     Larsson-Sadakane: suffixes are grouped by their first 8 bytes; groups of more than one are refined by
-    the rank of the suffix as many bytes on as they are sorted by, which doubles that number.
+    the rank of the suffix as many bytes on as they are sorted by, which doubles that number. The last step goes on by what is
+    missing to ``depth``, so its groups are those whose common prefixes reach it.
     """
     n = len(text)
     first = _loads(np.concatenate((text, np.zeros(16, np.uint8))), ">")[:n]
-    if (text[-8:] == 0).any():  # the padding must not equal zeros of the text: shorter suffixes come first
+    new = np.ones(n, bool)
+    if not text.all():  # the padding must not equal zeros of the text: shorter suffixes come first
         full = np.minimum(n - np.arange(n), 8)
         sa = np.lexsort((full, first))
-        new = np.ones(n, bool)
         new[1:] = (first[sa][1:] != first[sa][:-1]) | (full[sa][1:] != full[sa][:-1])
     else:
-        sa = np.argsort(first, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = first[sa][1:] != first[sa][:-1]
+        sa = np.argsort(first)
+        first = first[sa]
+        new[1:] = first[1:] != first[:-1]
     done = 8
-    del first
     rank = np.empty(n, np.int64)
-    while True:
+    while done < depth:
         head = np.flatnonzero(new)
+        if len(head) == n:
+            break
         size = np.diff(np.append(head, n))
         group = np.repeat(head, size)
         rank[sa] = group
-        if done >= depth or len(head) == n:
-            return sa
         at = np.flatnonzero(np.repeat(size > 1, size))
-        to = sa[at] + done
+        step = min(done, depth - done)
+        to = sa[at] + step
         key = group[at] * (n + 1) + np.where(to < n, rank[np.minimum(to, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sa[at] = sa[at][order]
         key = key[order]
-        new[at[1:]] |= (key[1:] != key[:-1])
-        done *= 2
+        new[at[1:]] |= key[1:] != key[:-1]
+        done += step
+    return sa, new
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     """The common prefix of each suffix in ``sa`` with the one before it, up to ``limit``, by Kasai's method.
 
+    :func:`sorted_suffixes` tells which prefixes reach its depth, and the dedup needs no more; this gives their lengths, and tests hold one against the other.
     In text order a prefix is at most one shorter than that of the suffix one byte before, so each comparison goes on where the last
     one ended. That holds where the last prefix ended below the limit, to which ``sa`` is sorted; after others, among
     which the order of ``sa`` is open, it starts anew. Stretches of the text are walked side by side, eight bytes a comparison.
@@ -199,12 +211,9 @@ def least_documents(pieces: list[bytes], docs: np.ndarray, window: int, shard_by
         text = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
         sizes = np.fromiter((len(p) for p in pieces[a:b]), np.int64, b - a)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(text))
-        sa = suffix_array(text, window)
-        whole = left[sa] >= window
-        lcp = common_prefixes(text, sa, window)
         # a window's group: neighbours in the array that share it; suffixes cut short by their piece stand between
-        new = np.ones(len(sa), bool)
-        new[1:] = lcp[1:] < window
+        sa, new = sorted_suffixes(text, window)
+        whole = left[sa] >= window
         group = np.cumsum(new) - 1
         places, group = sa[whole], group[whole]
         owner = np.repeat(docs[a:b], sizes)[places]
