@@ -321,14 +321,12 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
         return pa.table({"chunk": part.column("chunk"), "owner": part.column("owner"), **masks})
 
     def marked(answers, key, mask):
-        """The chunk's own names, sorted as they were sent, that the owners' ``mask`` marks."""
-        key = np.unique(key)
-        owner = _spread(key, owners)
-        out = [key[:0]]
+        """Which of the chunk's own names, distinct and sorted as they were sent, the owners' ``mask`` marks."""
+        owner, out = _spread(key, owners), np.zeros(len(key), bool)
         for o, m in zip(answers.column("owner").to_pylist(), answers.column(mask).to_pylist(), strict=True):
             i, j = np.searchsorted(owner, [o, o + 1])
-            out.append(key[i:j][np.unpackbits(np.frombuffer(m, np.uint8), count=j - i).astype(bool)])
-        return np.concatenate(out)
+            out[i:j] = np.unpackbits(np.frombuffer(m, np.uint8), count=j - i).astype(bool)
+        return out
 
     def pieces_of(b, mask, single, rank):
         """Distinct pieces by name, their owners and names, the least rank of each, and each run's entry."""
@@ -360,8 +358,8 @@ def dedup(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, shard_b
             return found_schema.empty_table()
         part, b, rank = read(left)
         start, length = b.runs(b.valid)
-        names = b.names(start)
-        known, often = (np.isin(names, marked(right, names, c)) for c in ("mask", "frequent"))
+        key, at = np.unique(b.names(start), return_inverse=True)
+        known, often = (marked(right, key, c)[at] for c in ("mask", "frequent"))
         mask, single = under(b, start[known], length[known]), under(b, start[often], length[often])
         pieces, name, who, *_ = pieces_of(b, mask, single, rank)
         owner = _spread(name, owners)
