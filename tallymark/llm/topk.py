@@ -1,12 +1,16 @@
 """Exact top-k search by inner product.
 
-Queries and candidates are packed into tiles. Each pair of a query tile and a shard is one matrix
-product; a partial selection keeps each query's best ``k`` of the tile; Spark merges the tiles' lists,
-first within each task and then by query.
+Queries and candidates are dealt to blocks by content and packed into tiles. Each pair of a block of queries and a
+block of candidates is a cell, the work of one task: it holds the cell's queries with their best ``k`` so far and
+streams the candidates past them as matrix products. Spark merges the cells' lists by query. Nothing is joined, so
+nothing is broadcast, and the grid of cells follows the counted rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, release, table
 
-TILE = "tile_ids binary, tile_values binary, tile_dim int"
+TILE = "tile_block int, tile_ids binary, tile_values binary, tile_dim int"
+#: At most so many components of a cell's queries (with their lists), which a task holds, of its candidates, which pass by, and of a tile.
+HELD, PASSING, PACKED = 1 << 22, 1 << 26, 1 << 18
+#: Pairs of a cell: fewer are not worth a task, more take too long.
+FEW, MANY = 1 << 27, 1 << 33
+#: A score that no entry of a list has.
+NONE = np.iinfo(np.int64).min
 
 
 def usable(vector: Column) -> Column:
@@ -26,51 +36,138 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad, F.lit(False))
 
 
-def _tiles(rows: DataFrame, size: int) -> DataFrame:
-    """``rows(id, values array<bigint>)`` as tiles of at most ``size`` vectors of one dimension, sorted by id."""
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """``matrix`` in the fewest bytes that hold it."""
+    low, high = (int(matrix.min()), int(matrix.max())) if matrix.size else (0, 0)
+    return matrix.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _tiles(rows: DataFrame, blocks: int, size: int) -> DataFrame:
+    """``rows(id, values array<bigint>)``, dealt to ``blocks`` by content, as tiles of at most ``size`` vectors of one block and dimension, sorted by id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, block = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("id", "block"))
             values, ends = batch.column("values"), np.cumsum(pc.list_value_length(batch.column("values")).to_numpy())
             flat = values.flatten().to_numpy().astype(np.int64)
             dims = np.diff(ends, prepend=0)
-            out: list[tuple[bytes, bytes, int]] = []
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                at = at[np.argsort(ids[at], kind="stable")]
-                matrix = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                out += [(ids[at[i : i + size]].tobytes(), matrix[i : i + size].tobytes(), int(dim)) for i in range(0, len(at), size)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int32())], names=["tile_ids", "tile_values", "tile_dim"])
+            order = np.lexsort((ids, block, dims))
+            out: list[tuple[int, bytes, bytes, int]] = []
+            for at in np.split(order, np.flatnonzero(np.diff(dims[order]) | np.diff(block[order])) + 1) if len(order) else []:
+                dim = int(dims[at[0]])
+                some = max(1, min(size, PACKED // max(1, dim)))
+                for part in (at[i : i + some] for i in range(0, len(at), some)):
+                    matrix = flat[(ends[part] - dim)[:, None] + np.arange(dim)]
+                    out.append((int(block[part[0]]), ids[part].tobytes(), _narrow(matrix).tobytes(), dim))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["tile_block", "tile_ids", "tile_values", "tile_dim"])
 
-    return rows.mapInArrow(pack, TILE)
+    return rows.select("id", "values", F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).alias("block")).mapInArrow(pack, TILE)
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The exact integer products of all rows of ``a`` and ``b``; by doubles where those are exact."""
+def _unpack(ids: bytes, values: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, np.int64)
+    wide = len(values) // max(1, len(names) * dim)
+    return names, np.frombuffer(values, f"i{wide or 2}").reshape(len(names), dim)
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact integer products of all rows of ``a`` and ``b``; as floats or doubles where those are exact."""
     if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
+        return np.zeros((len(a), len(b)), np.float32)
     bound = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * a.shape[1]
-    if bound < 2**53:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
-
-
-def select(scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best ``k`` of a tile, ties to the smaller id, itself left out."""
-    low = np.iinfo(np.int64).min
-    scores[queries[:, None] == ids[None, :]] = low
-    if scores.shape[1] > k:
-        bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        row, col = np.nonzero((scores >= bar[:, None]) & (scores > low))
-    else:
-        row, col = np.nonzero(scores > low)
-    order = np.lexsort((ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    head = np.searchsorted(row, np.arange(len(queries)))
-    best = np.arange(len(row)) - head[row] < k
-    row, col = row[best], col[best]
-    return queries[row], ids[col], scores[row, col]
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    return a.astype(kind) @ b.T.astype(kind)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact integer products of all rows of ``a`` and ``b``, as integers."""
+    return scores(a, b).astype(np.int64)
+
+
+class Lists:
+    """The best ``k`` so far of queries of one dimension, ties to the smaller id, a query's own id left out."""
+
+    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, tile: int) -> None:
+        ids, matrix = _joined(queries)
+        order = np.argsort(ids, kind="stable")
+        self.queries, self.matrix, self.tile = ids[order], matrix[order], tile
+        self.score, self.id = np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
+
+    def add(self, candidates: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        ids, matrix = _joined(candidates)
+        first, last = (np.searchsorted(self.queries, ids, side) for side in ("left", "right"))
+        own = np.repeat(np.arange(len(ids)), last - first)  # candidates that are queries too, and where
+        its = np.arange(len(own)) - np.repeat(np.cumsum(last - first) - last, last - first)
+        order = np.argsort(its, kind="stable")
+        own, its = own[order], its[order]
+        for at in range(0, len(self.queries), self.tile):
+            found = scores(self.matrix[at : at + self.tile], matrix)
+            some = slice(*np.searchsorted(its, (at, at + self.tile)))
+            found[its[some] - at, own[some]] = NONE if found.dtype == np.int64 else -np.inf
+            self._merge(at, found, ids)
+
+    def _merge(self, at: int, found: np.ndarray, ids: np.ndarray) -> None:
+        k, bar = self.score.shape[1], self.score[at : at + len(found), -1]
+        hit = np.flatnonzero(found.max(axis=1) >= bar)
+        if not len(hit):
+            return
+        found, bar, worst = found[hit], bar[hit], self.id[at + hit, -1]
+        least = bar.astype(found.dtype)  # a bar that a float rounds lies, also rounded, beyond all scores that floats hold exactly
+        if found.shape[1] > k and len(short := np.flatnonzero(bar == NONE)):
+            least[short] = np.partition(found[short], found.shape[1] - k, axis=1)[:, found.shape[1] - k]
+        row, col = np.nonzero(found >= least[:, None])
+        score = found[row, col]
+        row, col = row[real := score > NONE], col[real]
+        score, other = score[real].astype(np.int64), ids[col]
+        better = (score > bar[row]) | (other < worst[row])
+        row, score, other = row[better], score[better], other[better]
+        rows = np.unique(row)
+        old = at + hit[rows]
+        row = np.concatenate([np.repeat(rows, k), row])
+        score, other = np.concatenate([self.score[old].ravel(), score]), np.concatenate([self.id[old].ravel(), other])
+        order = np.lexsort((other, ~score, row))  # ~ turns the order around, that of NONE too
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        self.score[old], self.id[old] = score[order].reshape(-1, k), other[order].reshape(-1, k)
+
+    def rows(self) -> pa.RecordBatch:
+        full = self.score > NONE
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.repeat(self.queries, full.sum(axis=1)), self.id[full], self.score[full])], names=["query_id", "vec_id", "score"])
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _best(tiles: Iterator[tuple], k: int, tile: int, shard: int) -> Iterator[pa.RecordBatch]:
+    """The lists of one cell, whose ``(side, ids, values, dim)`` have the queries first."""
+    queries, waiting, lists = defaultdict(list), defaultdict(list), {}
+    for side, ids, values, dim in tiles:
+        if side == 0:
+            queries[dim].append(_unpack(ids, values, dim))
+        elif dim in lists or dim in queries:
+            if dim not in lists:
+                lists[dim] = Lists(queries.pop(dim), k, tile)
+            waiting[dim].append(_unpack(ids, values, dim))
+            if sum(len(p[0]) for p in waiting[dim]) >= shard:
+                lists[dim].add(waiting.pop(dim))
+    for dim, parts in waiting.items():
+        lists[dim].add(parts)
+    for found in lists.values():
+        yield found.rows()
+
+
+def _grid(queries: DataFrame, candidates: DataFrame, k: int) -> tuple[int, int]:
+    """How many blocks of queries and of candidates: a cell is bounded, and among as many cells those in which the fewest vectors travel."""
+    each = lambda df, side: df.select(F.lit(side).alias("side"), F.size("values").cast("long").alias("dim"))
+    counted = each(queries, 0).unionAll(each(candidates, 1)).groupBy("side").agg(F.count("*").alias("n"), F.sum("dim").alias("components"))
+    found = {r.side: (r.n, r.components) for r in counted.collect()}
+    (q, held), (c, passing) = (found.get(side, (0, 0)) for side in (0, 1))
+    spark = queries.sparkSession
+    cells = max(math.ceil(q * c / MANY), min(partitions(spark), max(spark.sparkContext.defaultParallelism, math.ceil(q * c / FEW))))
+    rows = max(1, math.ceil((held + 2 * k * q) / HELD), min(cells, round(math.sqrt(cells * q / max(1, c)))))
+    return rows, max(1, math.ceil(cells / rows), math.ceil(passing / PASSING))
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int, tile: int = 1024, shard: int = 4096) -> DataFrame:
@@ -80,29 +177,32 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, tile: int = 1024,
     query's own id is no candidate. Vectors of different dimensions are not compared. Fewer candidates
     than ``k`` give all. Scores must fit 64 bits. Empty tables give no rows. Ids name vectors: rows of ``queries`` that share an
     id share one list, in which each of their scores competes, and are no candidates of each other.
+
+    Both tables are counted first. A candidate travels once for each block of queries, a query once for each block of candidates.
     """
-    groups = 4 * partitions(queries.sparkSession)
-    q = _tiles(queries.repartition("id"), tile).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    c = _tiles(candidates, shard).withColumn("group", F.pmod(F.xxhash64("tile_ids"), F.lit(groups)).cast("int"))
-    c = c.select("group", F.col("tile_ids").alias("ids"), F.col("tile_values").alias("values"), F.col("tile_dim").alias("dim"))
+    high, wide = _grid(queries, candidates, k)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = _tiles(queries, high, tile).withColumn("at", every(wide)).withColumn("cell", F.col("tile_block") * wide + F.col("at")).withColumn("side", F.lit(0))
+    c = _tiles(candidates, wide, shard).withColumn("at", every(high)).withColumn("cell", F.col("at") * wide + F.col("tile_block")).withColumn("side", F.lit(1))
+    names = ["cell", "side", "tile_ids", "tile_values", "tile_dim"]
+    cells = q.select(names).unionAll(c.select(names)).repartitionById(high * wide, "cell").sortWithinPartitions("cell", "side")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qi, qv, si, sv, dim in zip(*(batch.column(n).to_pylist() for n in ("tile_ids", "tile_values", "ids", "values", "dim")), strict=True):
-                a, b = np.frombuffer(qi, np.int64), np.frombuffer(si, np.int64)
-                found = select(product(np.frombuffer(qv, np.int64).reshape(len(a), dim), np.frombuffer(sv, np.int64).reshape(len(b), dim)), a, b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+        tiles = (t for batch in batches for t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in itertools.groupby(tiles, key=lambda t: t[0]):
+            yield from _best((t[1:] for t in own), k, tile, shard)
+        release()
 
-    pairs = q.join(c, (q["group"] == c["group"]) & (q["tile_dim"] == c["dim"])).select("tile_ids", "tile_values", "ids", "values", "dim")
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+    found = cells.mapInArrow(score, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("values"))
-    return search(rows.filter(F.col("id") % 50 == 0), rows, 5)
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull())
+    values = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("values")
+    whole = lambda df: df.filter(usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), values)
+    return search(whole(rows.filter(F.col("vec_id") % 50 == 0)), whole(rows), 5)
 
 
 OP7_SQL = """

@@ -90,6 +90,40 @@ def test_few_candidates_give_all(spark):
     assert topk.search(df.limit(0), df, 5).count() == 0
 
 
+@pytest.mark.parametrize("held, few", [(1 << 22, 1 << 27), (200, 1 << 27), (64, 1)])
+def test_top_k_over_many_cells(spark, monkeypatch, held, few):
+    """Ties, shared ids, other dimensions and wide components, in one block of queries and in several."""
+    monkeypatch.setattr(topk, "HELD", held)
+    monkeypatch.setattr(topk, "FEW", few)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), (rng.integers(-2, 3, 4) * 10 ** int(rng.integers(0, 2) * 8)).tolist()) for i in range(150)]
+    rows += [(i, [1, 1, 1, 1]) for i in range(200, 260)] + [(10, [2, 0, 1, 1]), (10, [2, 0, 1, 1]), (11, [2, 2, 2, 2]), (20, [3]), (21, [-1]), (22, [2**40])]
+    df = spark.createDataFrame(rows, "id long, values array<bigint>").repartition(3)
+    got = [tuple(r) for r in topk.search(df.filter("id % 10 = 0"), df, 3, 4, 9).collect()]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in rows if i == q for c, w in rows if c != q and len(w) == len(v))[:3]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
+    assert sorted(got) == want
+
+
+def test_top_k_broadcasts_nothing(spark):
+    """A tile of queries was copied to each group, 537 MB for 61,582 vectors, and Spark broadcast the copies."""
+    df = spark.range(300).selectExpr("id", "array(id % 7, id % 11) as values")
+    found = topk.search(df.filter("id % 10 = 0"), df, 2)
+    assert found.count() == 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
+def test_blocks_of_a_search_follow_the_rows(spark):
+    """Queries travelled once for each of four times the shuffle partitions, however few rows there were."""
+    cells = lambda q, c, dim: topk._grid(*(spark.range(n).select("id", F.array_repeat(F.lit(1), dim).alias("values")) for n in (q, c)), 5)
+    assert cells(0, 0, 1) == (1, 4) and cells(20, 1000, 64) == (1, 4)
+    high, wide = cells(200_000, 1000, 64)
+    assert -(-200_000 // high) * (64 + 10) <= topk.HELD * 1.01 and high * wide < 8
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 1), (2, 3), (9, 8)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 40)] + [(50, 39)]])
 def test_components(spark, edges):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
