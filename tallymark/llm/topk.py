@@ -26,6 +26,8 @@ TILE = "tile_block int, tile_ids binary, tile_values binary, tile_dim int"
 HELD, PASSING, PACKED = 1 << 22, 1 << 26, 1 << 18
 #: Pairs of a cell: fewer are not worth a task, more take too long.
 FEW, MANY = 1 << 27, 1 << 33
+#: Columns of scores of which the best is looked at first.
+FOLDS = 16
 #: A score that no entry of a list has.
 NONE = np.iinfo(np.int64).min
 
@@ -71,18 +73,19 @@ def _unpack(ids: bytes, values: bytes, dim: int) -> tuple[np.ndarray, np.ndarray
     return names, np.frombuffer(values, f"i{wide or 2}").reshape(len(names), dim)
 
 
-def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The exact integer products of all rows of ``a`` and ``b``; as floats or doubles where those are exact."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.float32)
-    bound = float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * a.shape[1]
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
-    return a.astype(kind) @ b.T.astype(kind)
+def _peak(matrix: np.ndarray) -> float:
+    return float(np.abs(matrix.astype(float)).max()) if matrix.size else 0.0
+
+
+def _exact(bound: float) -> type:
+    """The type in which sums of products up to ``bound`` are exact, and matrices multiply fastest."""
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The exact integer products of all rows of ``a`` and ``b``, as integers."""
-    return scores(a, b).astype(np.int64)
+    """The exact integer products of all rows of ``a`` and ``b``; by floats where those are exact."""
+    kind = _exact(_peak(a) * _peak(b) * a.shape[1])
+    return (a.astype(kind) @ b.T.astype(kind)).astype(np.int64)
 
 
 class Lists:
@@ -92,7 +95,9 @@ class Lists:
         ids, matrix = _joined(queries)
         order = np.argsort(ids, kind="stable")
         self.queries, self.matrix, self.tile = ids[order], matrix[order], tile
+        self.peaks = [_peak(self.matrix[at : at + tile]) for at in range(0, len(ids), tile)]
         self.score, self.id = np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64)
+        self.space: dict[type, np.ndarray] = {}
 
     def add(self, candidates: list[tuple[np.ndarray, np.ndarray]]) -> None:
         ids, matrix = _joined(candidates)
@@ -101,29 +106,43 @@ class Lists:
         its = np.arange(len(own)) - np.repeat(np.cumsum(last - first) - last, last - first)
         order = np.argsort(its, kind="stable")
         own, its = own[order], its[order]
-        for at in range(0, len(self.queries), self.tile):
-            found = scores(self.matrix[at : at + self.tile], matrix)
-            some = slice(*np.searchsorted(its, (at, at + self.tile)))
-            found[its[some] - at, own[some]] = NONE if found.dtype == np.int64 else -np.inf
+        peak, others = _peak(matrix), {}
+        matrix = np.concatenate([matrix, np.zeros((-len(ids) % FOLDS, matrix.shape[1]), matrix.dtype)])
+        for at, high in zip(range(0, len(self.queries), self.tile), self.peaks, strict=True):
+            kind = _exact(high * peak * matrix.shape[1])
+            if kind not in others:
+                others[kind] = matrix.astype(kind).T
+            some = self.matrix[at : at + self.tile].astype(kind)
+            size = len(some) * len(matrix)
+            if kind not in self.space or self.space[kind].size < size:
+                self.space[kind] = np.empty(size, kind)
+            found = np.matmul(some, others[kind], out=self.space[kind][:size].reshape(len(some), -1))
+            hidden = NONE if kind is np.int64 else -np.inf
+            mine = slice(*np.searchsorted(its, (at, at + self.tile)))
+            found[its[mine] - at, own[mine]] = hidden
+            found[:, len(ids) :] = hidden
             self._merge(at, found, ids)
 
     def _merge(self, at: int, found: np.ndarray, ids: np.ndarray) -> None:
-        k, bar = self.score.shape[1], self.score[at : at + len(found), -1]
-        hit = np.flatnonzero(found.max(axis=1) >= bar)
-        if not len(hit):
-            return
-        found, bar, worst = found[hit], bar[hit], self.id[at + hit, -1]
+        k, n = self.score.shape[1], len(found)
+        bar, worst = self.score[at : at + n, -1], self.id[at : at + n, -1]
+        found = found.reshape(n, FOLDS, -1)
+        best = found.max(axis=1)  # of the columns that lie a width apart, so that few columns are looked at one by one
         least = bar.astype(found.dtype)  # a bar that a float rounds lies, also rounded, beyond all scores that floats hold exactly
-        if found.shape[1] > k and len(short := np.flatnonzero(bar == NONE)):
-            least[short] = np.partition(found[short], found.shape[1] - k, axis=1)[:, found.shape[1] - k]
-        row, col = np.nonzero(found >= least[:, None])
-        score = found[row, col]
+        if best.shape[1] > k and len(short := np.flatnonzero(bar == NONE)):
+            least[short] = np.partition(best[short], best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+        row, part = np.nonzero(best >= least[:, None])
+        if not len(row):
+            return
+        some = found[row, :, part]
+        each, fold = np.nonzero(some >= least[row, None])
+        row, col, score = row[each], fold * found.shape[2] + part[each], some[each, fold]
         row, col = row[real := score > NONE], col[real]
         score, other = score[real].astype(np.int64), ids[col]
         better = (score > bar[row]) | (other < worst[row])
         row, score, other = row[better], score[better], other[better]
         rows = np.unique(row)
-        old = at + hit[rows]
+        old = at + rows
         row = np.concatenate([np.repeat(rows, k), row])
         score, other = np.concatenate([self.score[old].ravel(), score]), np.concatenate([self.id[old].ravel(), other])
         order = np.lexsort((other, ~score, row))  # ~ turns the order around, that of NONE too
